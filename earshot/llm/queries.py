@@ -5,8 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+from . import language, mixing, quality, sharding, simhash, topk
+from .common import byte_length, table
+
+SHARDS = 24
+
+
+def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards by jump consistent hashing of the id, with gapless slots."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (byte_length("text") + 8).alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    placed = sharding.shard(docs, SHARDS)
+    slotted = sharding.with_slots(placed, order=["doc_id", "size", "text_crc32"])
+    return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of all documents that bring the sources to shares tempered by 0.7, at one epoch."""
+    docs = table(spark, sf_dir, "documents")
+    copies = mixing.replicate(docs, temperature=0.7, epochs=1.0, columns=["doc_id", "source"])
+    return copies.select("doc_id", "source", F.round("rate", 9).alias("rate"), F.col("copies").cast("long"), F.col("copy").cast("long"), "place")
+
+
+def op7_columnar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products for each twentieth vector, against all rows."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
+
+
+def op8_language_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents."""
+    return language.language_scores(table(spark, sf_dir, "documents"))
 
 
 def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +53,65 @@ def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jump_sharding": op1_jump_sharding,
+    "op4_quality_discriminant": op4_quality_discriminant,
+    "op6_poisson_mixing": op6_poisson_mixing,
+    "op7_columnar_topk": op7_columnar_topk,
+    "op8_language_bayes": op8_language_bayes,
     "op10_simhash_popcount": op10_simhash_popcount,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    # crc32 bit by bit; the jump hash walks one jump a round in 128-bit integers.
+    "op1_jump_sharding": """
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([r, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY r) AS t
+  FROM range(256) AS x(r)),
+walk AS (
+  SELECT doc_id, coalesce(doc_id, 0)::UHUGEINT AS key, -1::BIGINT AS b, 0::BIGINT AS j FROM documents
+  UNION ALL
+  SELECT doc_id, k, j, floor((j + 1) * (2147483648::DOUBLE / ((k >> 33) + 1)::DOUBLE))::BIGINT
+  FROM (SELECT doc_id, j, (key * 2862933555777941757::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT AS k
+        FROM walk WHERE j < 24)),
+placed AS (SELECT doc_id, max(b) AS shard, max(CASE WHEN j = 24 THEN 24 ELSE b END) AS grown FROM walk WHERE j >= 24 GROUP BY doc_id),
+sized AS (
+  SELECT d.doc_id, coalesce(strlen(text), 0) + 8 AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(h, 2 * i + 1, 2))::BIGINT FOR i IN range(strlen(text))]),
+      lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents) d, crc_table)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+  (row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1)::BIGINT AS slot, grown::INTEGER AS grown_shard
+FROM sized JOIN placed USING (doc_id)
+""",
+    "op6_poisson_mixing": """
+WITH RECURSIVE sizes AS (
+  SELECT source, sum(coalesce(strlen(text), 0))::DOUBLE AS bytes FROM documents GROUP BY source),
+wanted AS (SELECT source, bytes, CASE WHEN bytes > 0 THEN pow(bytes, 0.7) ELSE 0 END AS w FROM sizes),
+rates AS (
+  SELECT source, CASE WHEN bytes > 0 THEN 1.0::DOUBLE * (w / sum(w) OVER ()) * sum(bytes) OVER () / bytes ELSE 1.0 END AS rate
+  FROM wanted),
+drawn AS (
+  SELECT d.doc_id, d.source, rate,
+    ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, 'null') || ':0'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
+  FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
+steps AS (
+  SELECT doc_id, source, rate, u, exp(-rate) AS p, exp(-rate) AS cdf, 0 AS k FROM drawn
+  UNION ALL
+  SELECT doc_id, source, rate, u, p * rate / (k + 1), cdf + p * rate / (k + 1), k + 1 FROM steps WHERE cdf <= u),
+counted AS (SELECT doc_id, source, rate, k AS copies FROM steps WHERE cdf > u AND k > 0)
+SELECT doc_id, source, round(rate, 9) AS rate, copies::BIGINT AS copies, c::BIGINT AS copy,
+  ('0x' || substr(md5('mix-1-place:' || coalesce(doc_id::VARCHAR, 'null') || ':' || c), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS place
+FROM (SELECT *, unnest(range(copies)) AS c FROM counted)
+""",
+    "op7_columnar_topk": """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+""",
+}
