@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, quality, sharding, simhash, topk
+from . import language, mixing, packing, quality, sharding, simhash, topk
 from .common import byte_length, table
 
 SHARDS = 24
@@ -28,6 +28,12 @@ def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens, every source at its share of the corpus in each."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of all documents that bring the sources to shares tempered by 0.7, at one epoch."""
     docs = table(spark, sf_dir, "documents")
@@ -55,6 +61,7 @@ def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_jump_sharding": op1_jump_sharding,
     "op4_quality_discriminant": op4_quality_discriminant,
+    "op5_mixture_packing": op5_mixture_packing,
     "op6_poisson_mixing": op6_poisson_mixing,
     "op7_columnar_topk": op7_columnar_topk,
     "op8_language_bayes": op8_language_bayes,
