@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality, sharding, simhash, topk
+from . import language, mixing, ngram_lm, packing, quality, sharding, simhash, topk
 from .common import byte_length, table
 
 SHARDS = 24
@@ -23,6 +23,11 @@ def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op3_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of all documents."""
+    return ngram_lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -60,6 +65,7 @@ def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_jump_sharding": op1_jump_sharding,
+    "op3_elias_fano_lm": op3_elias_fano_lm,
     "op4_quality_discriminant": op4_quality_discriminant,
     "op5_mixture_packing": op5_mixture_packing,
     "op6_poisson_mixing": op6_poisson_mixing,
