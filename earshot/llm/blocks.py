@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def batched(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, ...]]:
@@ -26,3 +30,21 @@ def batched(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[lis
                 held, size = [[] for _ in b.columns], 0
     if held and held[0]:
         yield tuple(held)
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Unsigned integers in the narrowest width, byte planes apart, compressed."""
+    top = int(values.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
+    planes = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + zstandard.ZstdCompressor(3).compress(planes.tobytes())
+
+
+def expand(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{blob[0]}").ravel().astype(np.int64)
+
+
+def by_block(rows: DataFrame, *columns: str, into: str) -> DataFrame:
+    """What a block is told by the shards it has asked: a row for each block."""
+    return rows.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias(into))

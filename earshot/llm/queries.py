@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, ngram_lm, packing, quality, sharding, simhash, topk
+from . import language, mixing, ngram_lm, packing, quality, sharding, simhash, substrings, topk
 from .common import byte_length, table
 
 SHARDS = 24
@@ -23,6 +23,12 @@ def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words that 13-word windows of earlier documents cover."""
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), length=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model scores of all documents."""
     return ngram_lm.lm_scores(table(spark, sf_dir, "documents"))
@@ -65,6 +71,7 @@ def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_jump_sharding": op1_jump_sharding,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_elias_fano_lm": op3_elias_fano_lm,
     "op4_quality_discriminant": op4_quality_discriminant,
     "op5_mixture_packing": op5_mixture_packing,
