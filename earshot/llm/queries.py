@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, ngram_lm, packing, quality, sharding, simhash, substrings, topk
+from . import language, media, mixing, ngram_lm, packing, quality, sharding, simhash, substrings, topk
 from .common import byte_length, table
 
 SHARDS = 24
@@ -62,6 +62,22 @@ def op8_language_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_scores(table(spark, sf_dir, "documents"))
 
 
+def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all texts kept in progressive JPEG files, and of what is read back from these."""
+    read = media.from_media(media.to_media(table(spark, sf_dir, "documents")))
+    payload = F.octet_length("payload")
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        payload.cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring(F.col("payload"), payload - 63, F.lit(64))).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.concat_ws("x", "width", "height"), F.md5("rgb")).alias("feature"),
+    )
+
+
 def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: four-word shingles, links at four or fewer differing bits."""
     docs = table(spark, sf_dir, "documents")
@@ -78,6 +94,7 @@ QUERIES = {
     "op6_poisson_mixing": op6_poisson_mixing,
     "op7_columnar_topk": op7_columnar_topk,
     "op8_language_bayes": op8_language_bayes,
+    "op9_progressive_jpeg": op9_progressive_jpeg,
     "op10_simhash_popcount": op10_simhash_popcount,
 }
 
