@@ -13,18 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the reliable checkpoint folder.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests) a local one is chosen. The files go when the returned DataFrame is collected as garbage
-    and ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "earshot-checkpoints"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read back from the shared folder, so that a lost executor costs no recomputation.
+
+    The files go when the returned DataFrame is collected as garbage and
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,6 +127,26 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), c)), pa.array(np.arange(len(values))), pa.array(values)], ["label", "at", "v"])
 
 
+def learn(rows: DataFrame, labels: DataFrame, *, id_col: str, label_col: str, folds: int, shrink_pooled: float, shrink_diagonal: float, ridge: float) -> Discriminant | float:
+    """Discriminant from the labelled ones of ``rows`` (doc_id, x) outside fold 0; only sums leave the executors."""
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
+    taught = rows.where(fold_of("doc_id", folds) != 0).join(known, "doc_id").select("x", "y")
+    parts = taught.mapInArrow(_sums, "label long, at long, v double").groupBy("label", "at").agg(F.sum("v").alias("v"))
+    d = len(FEATURES)
+    flat: dict[int, np.ndarray] = {}
+    for r in parts.collect():  # at most two classes times the size of a covariance
+        flat.setdefault(r.label, np.zeros(1 + d + d * d))[r["at"]] = r.v
+    return fit({c: (int(v[0]), v[1 : 1 + d], v[1 + d :].reshape(d, d)) for c, v in flat.items()}, shrink_pooled, shrink_diagonal, ridge)
+
+
+def _apply(model: Discriminant | float, x: list) -> np.ndarray:
+    return np.full(len(x), model) if isinstance(model, float) else model.score(np.array(x, dtype=np.float64).reshape(len(x), len(FEATURES)))
+
+
+#: Defaults: shares of the pooled covariance and of the diagonal, and what is added to variances.
+SHRINKAGE = {"shrink_pooled": 0.05, "shrink_diagonal": 0.05, "ridge": 1e-3}
+
+
 def quality_scores(
     docs: DataFrame,
     labels: DataFrame,
@@ -135,34 +156,47 @@ def quality_scores(
     label_col: str = "quality",
     folds: int = 5,
     threshold: float = 0.3,
-    shrink_pooled: float = 0.05,
-    shrink_diagonal: float = 0.05,
-    ridge: float = 1e-3,
+    **shrinkage: float,
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``.
 
     Learns from every labelled row outside fold 0 of ``folds`` (crc32 of the id as text); no bound on
-    their number, as only sums leave the executors. Only the text feeds a score. Null and empty texts
-    have statistics like any other. Labels that are null or neither 0 nor 1 are left out; a document
-    labelled twice counts twice. With one class learned the score is that class, with none 0.5.
+    their number. Only the text feeds a score. Null and empty texts have statistics like any other.
+    Labels that are null or neither 0 nor 1 are left out; a document labelled twice counts twice. With
+    one class learned the score is that class, with none 0.5.
     """
     rows = cut(featurised(docs, id_col=id_col, text_col=text_col))
-    held = fold_of("doc_id", folds) == 0
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
-    taught = rows.where(~held).join(known, "doc_id").select("x", "y")
-    parts = taught.mapInArrow(_sums, "label long, at long, v double").groupBy("label", "at").agg(F.sum("v").alias("v"))
-    d = len(FEATURES)
-    flat: dict[int, np.ndarray] = {}
-    for r in parts.collect():  # at most two classes times the size of a covariance
-        flat.setdefault(r.label, np.zeros(1 + d + d * d))[r["at"]] = r.v
-    model = fit({c: (int(v[0]), v[1 : 1 + d], v[1 + d :].reshape(d, d)) for c, v in flat.items()}, shrink_pooled, shrink_diagonal, ridge)
+    model = learn(rows, labels, id_col=id_col, label_col=label_col, folds=folds, **SHRINKAGE | shrinkage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), dtype=np.float64).reshape(b.num_rows, d)
-            score = np.full(b.num_rows, model) if isinstance(model, float) else model.score(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_apply(model, b.column(1).to_pylist()))], ["doc_id", "score"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
     scored = rows.mapInArrow(run, schema)
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", (fold_of("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    folds: int = 5,
+    threshold: float = 0.3,
+    **shrinkage: float,
+) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, unchanged; see quality_scores.
+
+    Rows are judged where they are, so no text is shuffled and null or repeated ids do no harm.
+    """
+    rows = featurised(docs, id_col=id_col, text_col=text_col)
+    model = learn(rows, labels, id_col=id_col, label_col=label_col, folds=folds, **SHRINKAGE | shrinkage)
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(_apply(model, [statistics(t) for t in text]))
+
+    return docs.where(score(F.col(text_col)) >= threshold)

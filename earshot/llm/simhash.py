@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -150,6 +151,15 @@ def near_links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFra
     )
 
 
+def classes(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(fp, first_id, root, component_id) for each distinct fingerprint of ``fps`` (doc_id, fp)."""
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    linked = near_links(distinct, max_distance)
+    rooted = distinct.join(linked, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    tops = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rooted.join(tops, "root").select("fp", "first_id", "root", "component_id")
+
+
 def near_duplicate_classes(
     docs: DataFrame,
     *,
@@ -166,10 +176,26 @@ def near_duplicate_classes(
     Repeated rows give repeated results; columns other than the two named are not read.
     """
     fps = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    linked = near_links(distinct, max_distance)
-    rooted = distinct.join(linked, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    tops = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     # One row per distinct fingerprint: small beside the documents, and a hot fingerprint is one row of it.
-    classes = rooted.join(tops, "root").select("fp", "component_id")
-    return fps.join(classes, "fp")
+    return fps.join(classes(fps, max_distance).select("fp", "component_id"), "fp")
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their class, one row for each class.
+
+    In a class of null ids alone one row stays. All columns are kept as they are. Texts without a word
+    are one class.
+    """
+    fps = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
+    # min over a struct puts null first, so null ids are set behind all others
+    first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp"))
+    kept = classes(fps, max_distance).groupBy("root").agg(first.alias("k"))
+    kept = kept.select(F.col("k.first_id").alias("_id"), F.col("k.fp").alias("_kept_fp"))
+
+    @F.pandas_udf("long")
+    def of(text: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in text], dtype=np.uint64).view(np.int64))
+
+    marked = docs.withColumn("_fp", of(F.col(text_col)))
+    found = marked.join(kept, (F.col("_fp") == F.col("_kept_fp")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return found.dropDuplicates(["_fp", id_col]).select(*docs.columns)
