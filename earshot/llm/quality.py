@@ -195,7 +195,7 @@ def keep_good(
     rows = featurised(docs, id_col=id_col, text_col=text_col)
     model = learn(rows, labels, id_col=id_col, label_col=label_col, folds=folds, **SHRINKAGE | shrinkage)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def score(text: pd.Series) -> pd.Series:
         return pd.Series(_apply(model, [statistics(t) for t in text]))
 

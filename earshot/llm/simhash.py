@@ -192,7 +192,7 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     kept = classes(fps, max_distance).groupBy("root").agg(first.alias("k"))
     kept = kept.select(F.col("k.first_id").alias("_id"), F.col("k.fp").alias("_kept_fp"))
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(T.LongType())
     def of(text: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in text], dtype=np.uint64).view(np.int64))
 
