@@ -3,8 +3,14 @@
 from pyspark.sql import types as T
 
 
+TYPES = {
+    "long": T.LongType(), "int": T.IntegerType(), "short": T.ShortType(), "string": T.StringType(), "boolean": T.BooleanType(), "float": T.FloatType(),
+    "timestamp": T.TimestampType(), "date": T.DateType(), "array<string>": T.ArrayType(T.StringType()), "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in (f.split(" ") for f in text.split(", "))])
 
 
 LISTEN_INPUT = _struct(
