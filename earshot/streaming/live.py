@@ -12,57 +12,80 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import rollups
 
-TABLES = ("daily", "clock", "first_listens", "global_stats")
+#: Keys of the stored deltas, and how their measures combine.
+KEYS = {"daily": ["user_id", "song_id", "day"], "clock": ["user_id", "day", "hour"], "per_user": ["user_id", "entity_type", "entity_id"]}
+MEASURES = {"listen_count": F.sum, "played_ms": F.sum, "plays": F.sum, "first_at": F.min}
 
 
 class Store:
-    """Versions of the rollups in a shared folder; a batch writes the next version and then names it."""
+    """Rollups in a shared folder as one delta for each batch, added up when they are read.
+
+    A batch writes no more than its own share, into folders named by its number; a replay replaces them.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def version(self) -> int | None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(conf)
-        if not fs.exists(folder):
-            return None
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        done = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/done"))]
-        return max(done, default=None)
+    def exists(self) -> bool:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/listens")
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
 
-    def read(self, version: int) -> dict[str, DataFrame]:
-        return {t: self.spark.read.parquet(f"{self.path}/v={version}/{t}") for t in (*TABLES, "listens")}
+    def deltas(self, table: str, before: int | None = None) -> DataFrame:
+        df = self.spark.read.option("basePath", f"{self.path}/{table}").parquet(f"{self.path}/{table}")
+        return (df if before is None else df.where(F.col("batch") < before)).drop("batch")
 
-    def write(self, version: int, tables: dict[str, DataFrame]) -> None:
+    def write(self, batch_id: int, tables: dict[str, DataFrame]) -> None:
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/v={version}/{name}")
-        self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/v={version}/done")
+            (df.write.partitionBy("day") if name == "listens" else df.write).mode("overwrite").parquet(f"{self.path}/{name}/batch={batch_id}")
+
+    def _sum(self, table: str) -> DataFrame:
+        df = self.deltas(table)
+        return df.groupBy(*KEYS[table]).agg(*(MEASURES[c](c).alias(c) for c in df.columns if c not in KEYS[table]))
+
+    def daily(self) -> DataFrame:
+        return self._sum("daily")
+
+    def clock(self) -> DataFrame:
+        return self._sum("clock")
+
+    def first_listens(self) -> DataFrame:
+        return self._sum("per_user").select("user_id", "entity_type", "entity_id", "first_at")
+
+    def global_stats(self) -> DataFrame:
+        return self._sum("per_user").groupBy("entity_type", "entity_id").agg(
+            F.sum("plays").alias("plays"), F.count("*").alias("unique_listeners"), F.sum("played_ms").alias("played_ms"), F.min("first_at").alias("first_listened_at")
+        )
+
+    def compact(self, into: str) -> Store:
+        """A store whose one batch holds all that this one does."""
+        other = Store(self.spark, into)
+        other.write(0, {t: self._sum(t) for t in KEYS} | {"listens": self.deltas("listens")})
+        return other
+
+
+def per_user(heard: DataFrame, song_albums: DataFrame, song_artists: DataFrame) -> DataFrame:
+    """(user_id, entity_type, entity_id, plays, played_ms, first_at): what first and global rollups are summed from."""
+    songs = heard.groupBy("user_id", "song_id").agg(F.count("*").alias("plays"), F.sum("played_ms").alias("played_ms"), F.min("listened_at").alias("first_at"))
+    sums = [MEASURES[c](c).alias(c) for c in ("plays", "played_ms", "first_at")]
+    return rollups.attributed(songs, song_albums, song_artists).groupBy(*KEYS["per_user"]).agg(*sums)
 
 
 def fold_batch(store: Store, songs: DataFrame, song_albums: DataFrame, song_artists: DataFrame, batch: DataFrame, batch_id: int) -> None:
-    """The next version of the rollups with one micro-batch folded in. A batch that is replayed writes the same version."""
-    current = store.version()
-    if current is not None and current > batch_id:
-        return
-    before = batch_id - 1 if current is not None and current >= batch_id else current
-    old = store.read(before) if before is not None and before >= 0 else None
-    new = rollups.dedupe(batch, old["listens"] if old else None)
+    """Add one micro-batch. Listens that an earlier batch holds are dropped; only the days of this batch are looked at for that."""
+    new = rollups.dedupe(batch).withColumn("day", F.to_date("listened_at"))
+    if store.exists():
+        days = new.select("day").distinct()
+        key = ["user_id", "song_id", "listened_at"]
+        present = store.deltas("listens", before=batch_id).join(F.broadcast(days), "day", "left_semi").select(*key)
+        new = new.join(present, key, "left_anti")
+    new = new.select("id", "user_id", "song_id", "listened_at", "client", "duration_played_ms", "day").persist()
     heard = rollups.eligible_listens(new, songs)
-    if old is None:
-        tables = {
-            "daily": rollups.daily(heard), "clock": rollups.clock(heard),
-            "first_listens": rollups.first_listens(heard, song_albums, song_artists), "global_stats": rollups.global_stats(heard, song_albums, song_artists),
-        }
-        listens = new
-    else:
-        tables = rollups.fold({t: old[t] for t in TABLES}, heard, song_albums, song_artists)
-        listens = old["listens"].unionByName(new)
-    store.write(batch_id, tables | {"listens": listens})
+    store.write(batch_id, {"listens": new, "daily": rollups.daily(heard), "clock": rollups.clock(heard), "per_user": per_user(heard, song_albums, song_artists)})
+    new.unpersist()
 
 
 def start(listens: DataFrame, store: Store, songs: DataFrame, song_albums: DataFrame, song_artists: DataFrame, checkpoint: str, every: str | None = "1 second") -> StreamingQuery:
-    """Keep the store's rollups up to date with a stream (id, user_id, song_id, listened_at, client, duration_played_ms)."""
+    """Keep the store up to date with a stream (id, user_id, song_id, listened_at, client, duration_played_ms)."""
     writer = listens.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda b, i: fold_batch(store, songs, song_albums, song_artists, b, i))
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
