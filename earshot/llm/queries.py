@@ -120,6 +120,23 @@ sized AS (
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
   (row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1)::BIGINT AS slot, grown::INTEGER AS grown_shard
 FROM sized JOIN placed USING (doc_id)
+""",
+    "op2_substring_dedup": """
+WITH words AS (
+  SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)),
+windows AS (
+  SELECT doc_id, pos, word, CASE WHEN lead(word, 12) OVER w IS NOT NULL THEN concat_ws(' ', word, lead(word, 1) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w, lead(word, 4) OVER w, lead(word, 5) OVER w, lead(word, 6) OVER w, lead(word, 7) OVER w, lead(word, 8) OVER w, lead(word, 9) OVER w, lead(word, 10) OVER w, lead(word, 11) OVER w, lead(word, 12) OVER w) END AS key
+  FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+firsts AS (SELECT key, min(doc_id) AS first_id FROM windows WHERE key IS NOT NULL GROUP BY key),
+marked AS (
+  SELECT doc_id, pos, word, max(CASE WHEN first_id < doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+  FROM windows LEFT JOIN firsts USING (key)),
+kept AS (
+  SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0), '') AS text
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
 """,
     "op6_poisson_mixing": """
 WITH RECURSIVE sizes AS (
