@@ -19,10 +19,10 @@ pairs, as a link within a class adds nothing.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -42,20 +42,24 @@ MAX_DISTANCE = 4
 GROUPS = [np.arange(g, SEGMENTS, 3) for g in range(3)]
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """64-bit SimHash of the word shingles of ``text``, repeats included; 0 if there is no word."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of the word shingles of ``text``, repeats included; of the whole sequence if it is shorter."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     n = len(words) - shingle + 1
     if n <= 1:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype="<u8")
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = [0, *(ends[: n - 1] + 1).tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], dtype="<u8")
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype="<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[: n - 1] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """64-bit SimHash of the word shingles of ``text``; 0 if there is no word."""
+    hashes = shingle_hashes(text, shingle)
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 15):
         rows = hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8)
@@ -180,22 +184,101 @@ def near_duplicate_classes(
     return fps.join(classes(fps, max_distance).select("fp", "component_id"), "fp")
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their class, one row for each class.
+# ---- wide fingerprints, for similarities that 64 bits are too few to tell
+#
+# At a Jaccard similarity of 0.8 two 64-bit fingerprints differ in about ten bits, give or take three, and
+# no grid over so many differences selects anything. 1024 bits put the share of differing bits at 0.15 give
+# or take 0.01, half of them between strangers. Segments are single bits here, and the grids hold sampled
+# coordinates of the embedding: near fingerprints meet in one of them with high probability, not always.
+
+WIDE_WORDS = 16
+GRIDS, GRID_BITS = 150, 24
+_SAMPLE = np.stack([np.random.default_rng(SEED + g).choice(64 * WIDE_WORDS, GRID_BITS, replace=False) for g in range(GRIDS)])
+
+
+def differing_share(similarity: float) -> float:
+    """Share of bits that two fingerprints of the Jaccard similarity differ in on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
+    """1024-bit SimHash as 16 unsigned words, each shingle's hash stretched by a counter; zeros if there is no word."""
+    hashes = shingle_hashes(text, shingle)
+    ones = np.zeros(64 * WIDE_WORDS, dtype=np.int64)
+    counter = np.arange(WIDE_WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 1024):
+        x = hashes[at : at + 1024, None] + counter
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def _wide(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([wide_fingerprint(x.as_py(), shingle) for x in b.column(1)], dtype=np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
+            words = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, WIDE_WORDS, dtype=np.int32)), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), words], ["doc_id", "text_hash", "fp"])
+
+    return run
+
+
+def _wide_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    power = np.int64(1) << np.arange(GRID_BITS)
+    for b in batches:
+        keys = b.column(0).to_numpy(zero_copy_only=False)
+        words = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDE_WORDS)
+        for at in range(0, len(keys), 512):
+            bits = np.unpackbits(words[at : at + 512].view(np.uint8), axis=1, bitorder="little")
+            cells = (bits[:, _SAMPLE].astype(np.int64) * power).sum(2) + (np.arange(GRIDS, dtype=np.int64) << GRID_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(np.repeat(keys[at : at + 512], GRIDS))], ["cell", "key"])
 
-    In a class of null ids alone one row stays. All columns are kept as they are. Texts without a word
-    are one class.
+
+def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
+    """(key, root): classes of fingerprints (key, fp) that are linked at all.
+
+    Members of a cell are compared with three of it, its smallest, its largest and one picked by a hash,
+    so a cell of any size costs no more than three comparisons a member.
     """
-    fps = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
-    # min over a struct puts null first, so null ids are set behind all others
-    first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp"))
-    kept = classes(fps, max_distance).groupBy("root").agg(first.alias("k"))
-    kept = kept.select(F.col("k.first_id").alias("_id"), F.col("k.fp").alias("_kept_fp"))
-
-    @F.pandas_udf(T.LongType())
-    def of(text: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in text], dtype=np.uint64).view(np.int64))
-
-    marked = docs.withColumn("_fp", of(F.col(text_col)))
-    found = marked.join(kept, (F.col("_fp") == F.col("_kept_fp")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return found.dropDuplicates(["_fp", id_col]).select(*docs.columns)
+    cell = Window.partitionBy("cell")
+    picks = [F.min("key").over(cell), F.max("key").over(cell), F.min_by("key", F.xxhash64("key")).over(cell)]
+    shared = distinct.select("key", "fp").mapInArrow(_wide_cells, "cell long, key long").withColumns({f"p{i}": p for i, p in enumerate(picks)}).where("p0 < p1")
+    pairs = cut(
+        shared.select(F.col("key").alias("a"), F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("b")).where("a <> b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    )
+    fps = distinct.select("key", "fp")
+    both = pairs.join(fps.select(F.col("key").alias("a"), F.col("fp").alias("x")), "a").join(fps.select(F.col("key").alias("b"), F.col("fp").alias("y")), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    share, bits = differing_share(similarity), 64 * WIDE_WORDS
+    most = round(share * bits + math.sqrt(share * (1 - share) * bits))  # one standard deviation, for pairs right at the threshold
+    links = both.where(apart <= most).select("a", "b")
+    return connected_components(links).select(F.col("node").alias("key"), "root")
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that come first, by id, of their class of similar texts; one row for each class.
+
+    Texts are similar if their 1024-bit SimHashes differ in no more bits than a Jaccard similarity of
+    ``similarity`` over ``shingle``-word shingles gives on average, plus one standard deviation (0.8 and
+    0.775 are told apart in five cases of six); classes are closed over links. Equal
+    texts are always linked. Null ids come after all others. Texts without a word are one class. All
+    columns are kept as they are; of repeated rows one stays.
+    """
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.ArrayType(T.LongType()))])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash.alias("text_hash"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    fps = rows.mapInArrow(_wide(shingle), schema).withColumn("key", F.xxhash64("fp"))
+    distinct = cut(fps.groupBy("key").agg(F.any_value("fp").alias("fp"), first))
+    linked = similar_links(distinct, similarity)
+    kept = (
+        distinct.select("key", "first").join(linked, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first"))
+        .select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    )
+    marked = docs.withColumn("_text_hash", text_hash)
+    found = marked.join(kept, (F.col("_text_hash") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return found.dropDuplicates(["_text_hash", id_col]).select(*docs.columns)

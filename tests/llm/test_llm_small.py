@@ -416,11 +416,37 @@ def test_simhash_matches_brute_force(docs, rows, odd_docs, no_docs):
     want = plain_classes(fps, 4)
     got = {r.doc_id: r for r in simhash.near_duplicate_classes(docs, shingle=4).collect()}
     assert {i: r.fp % (1 << 64) for i, r in got.items()} == fps and {i: r.component_id for i, r in got.items()} == want
-    kept = simhash.keep_first(docs, shingle=4)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
     assert simhash.near_duplicate_classes(odd_docs).count() == 4 and simhash.near_duplicate_classes(no_docs).count() == 0
-    left = simhash.keep_first(odd_docs).collect()
-    assert sorted(str(r.text) for r in left) == ["None", "four five six seven", "one two three"]
+
+
+def test_first_of_similar_texts_stays(spark, odd_docs, no_docs):
+    """Chains of edited copies and strangers; what is told apart lies well on either side of the threshold."""
+    import random
+
+    r = random.Random(11)
+    words = ["".join(r.choices("abcdefghij", k=5)) for _ in range(3000)]
+    texts, group = [], []
+    for g in range(30):
+        base = r.choices(words, k=r.randint(150, 400))
+        for c in range(6):
+            own = list(base)
+            for _ in range(len(own) // 200 * (c > 0)):  # about one word in two hundred: similarity 0.95
+                own[r.randrange(len(own))] = "edited" + str(r.random())
+            texts.append(" ".join(own))
+            group.append(g)
+        texts.append(" ".join(w if r.random() > 0.15 else "other" for w in base))  # similarity below 0.4
+        group.append(1000 + g)
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    r.shuffle(rows)
+    frame = spark.createDataFrame(rows, odd_docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    kept = simhash.keep_first(frame)
+    want = {}
+    for i, g in enumerate(group):
+        want.setdefault(g, i)
+    assert kept.columns == frame.columns and sorted(x.doc_id for x in kept.collect()) == sorted(want.values())
+    left = simhash.keep_first(odd_docs)
+    assert left.columns == odd_docs.columns and sorted(str(x.text) for x in left.collect()) == ["None", "four five six seven", "one two three"]
+    assert simhash.keep_first(no_docs).collect() == []
 
 
 def test_simhash_links_of_dense_clusters(spark):
