@@ -25,9 +25,9 @@ from .blocks import batched
 from .common import cut
 
 END_ID = 2
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Words kept in a worker's cache; bounds memory only.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 _TAIL = re.compile(rb"(?<=[a-z0-9])[.,;:!?|]+$")
 
 

@@ -27,7 +27,7 @@ from .blocks import batched, by_block, expand, squeeze
 from .common import byte_length, cut
 from .eliasfano import EliasFano, encode
 
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
 ANCHOR_WORDS = 5
 #: A null id: later than any other, so that it is never the first to hold a passage.
 NO_ID = (1 << 63) - 1
