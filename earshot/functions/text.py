@@ -137,6 +137,25 @@ def format_duration(seconds: Column) -> Column:
     return F.when(seconds < 60, F.format_string("%ds", seconds)).when(seconds < 3600, F.format_string("%dm %ds", m, s)).otherwise(F.format_string("%dh %dm", h, m))
 
 
+def username(raw: Column) -> Column:
+    """The trimmed, lower-case name, null unless it has 2 to 32 of a-z, 0-9, _ and ., periods single and inside."""
+    name = F.lower(F.trim(raw))
+    return F.when(name.rlike("^[a-z0-9_.]{2,32}$") & ~name.startswith(".") & ~name.endswith(".") & ~name.contains(".."), name)
+
+
+def json_at(document: Column, *steps: str | int) -> Column:
+    """The text at a path of keys and indices of a JSON document, null if a step misses."""
+    path = "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in steps)
+    return F.get_json_object(document, "$" + path)
+
+
+def widest_image(images: Column) -> Column:
+    """The link of the widest of (url, width) that has one; the first of equals."""
+    with_link = F.filter(images, lambda i: F.coalesce(i["url"], F.lit("")) != "")
+    best = F.aggregate(with_link, F.struct(F.lit(None).cast("string").alias("url"), F.lit(-1).alias("width")), lambda b, i: F.when(i["width"] > b["width"], F.struct(i["url"].alias("url"), i["width"].cast("int").alias("width"))).otherwise(b))
+    return best["url"]
+
+
 def register(spark: SparkSession) -> None:
     """The scalar functions under SQL names."""
     for name, f in (("normalize_name", normalize_name), ("romanize", romanize_name), ("jaro_winkler", jaro_winkler)):

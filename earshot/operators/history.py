@@ -80,6 +80,10 @@ def search_listens(lib: Library, user_id: int, text: str) -> DataFrame:
     return of_user(lib.listens, user_id).join(known, "song_id", "left_semi").join(hit, "song_id", "left_semi").select("id", "song_id", "listened_at")
 
 
+def search_aliases(aliases: DataFrame, entity_type: str, text: str, limit: int) -> DataFrame:
+    return aliases.where((F.col("entity_type") == entity_type) & F.col("alias").ilike(f"%{text}%")).orderBy("alias", "id").limit(limit)
+
+
 def search_names(entities: DataFrame, aliases: DataFrame | None, text: str, limit: int = 25) -> DataFrame:
     """(id, name, score): entities that hold words of the text in name or alias, the share of words found first."""
     words = list(dict.fromkeys(text.lower().split()))

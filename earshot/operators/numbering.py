@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the folder that ``spark.checkpoint.dir`` names (a local one only if that is unset)."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/earshot-checkpoints"))
+    return df.checkpoint()
+
+
 def numbered(df: DataFrame, *order: str, into: str = "n") -> DataFrame:
     """``df`` with numbers from 1 in the order given; equal rows are numbered in any order.
 
     Rows are dealt by range and numbered within a range; the ranges' sizes, a row each, are summed up to
     where a range begins. The dealt rows go to the checkpoint folder, so that both uses see the same ranges.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/earshot-checkpoints"))
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(width, *order).withColumn("_range", F.spark_partition_id()))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
     before = sizes.withColumnRenamed("_range", "_earlier").withColumnRenamed("_size", "_n")
     starts = sizes.join(before, F.col("_earlier") < F.col("_range"), "left").groupBy("_range").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_start"))
