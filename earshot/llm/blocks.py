@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +30,17 @@ def batched(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[lis
             if size >= limit:
                 yield tuple(held)
                 held, size = [[] for _ in b.columns], 0
+                give_back()
     if held and held[0]:
         yield tuple(held)
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory back to the system: a Python worker lives on after its task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library has no such call elsewhere
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def squeeze(values: np.ndarray) -> bytes:

@@ -32,6 +32,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of texts that are handed to Python at once.
+TEXT_ROWS = 500
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches cut to TEXT_ROWS rows: ten thousand texts fill an executor's memory."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return df
+
+
 def byte_length(text: str | Column) -> Column:
     """UTF-8 bytes of a text, 0 for null."""
     return F.coalesce(F.octet_length(F.col(text) if isinstance(text, str) else text), F.lit(0)).cast("long")

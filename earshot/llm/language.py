@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of
+from .common import fold_of, in_small_batches
 
 UNDETERMINED = "und"
 #: n-grams gathered at a time while a text is scored; bounds memory, not the text.
@@ -76,7 +76,7 @@ def language_scores(
     number of languages (at most MAX_LANGUAGES).
     """
     held = fold_of(id_col, folds) == 0
-    taught = docs.where(~held & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    taught = in_small_batches(docs).where(~held & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     counted = (
         taught.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
         .mapInArrow(_count(orders, buckets), "lang string, bucket long, n long")

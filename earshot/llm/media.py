@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
+from .common import in_small_batches
 
 #: Payload bytes written, and file bytes read, at a time; bounds memory, no file is split.
 WRITE_BYTES, READ_BYTES = 256 << 10, 1 << 20
@@ -41,7 +42,7 @@ def to_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     up to about 6 GB, the largest picture of the format.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("raw")).mapInArrow(_write, "doc_id long, n_bytes long, media binary")
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("raw")).mapInArrow(_write, "doc_id long, n_bytes long, media binary")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .blocks import batched
-from .common import cut
+from .blocks import batched, give_back
+from .common import cut, in_small_batches
 
 END_ID = 2
 BLOCK_BYTES = 6 << 20
@@ -31,6 +32,12 @@ CACHE_WORDS = 500_000
 _TAIL = re.compile(rb"(?<=[a-z0-9])[.,;:!?|]+$")
 
 
+def _gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin at ``first`` and have ``size`` entries, in a row."""
+    stops = np.cumsum(size)
+    return flat[np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(first - (stops - size), size)]
+
+
 class WordTokenizer:
     """Token ids of words. White space always parts tokens here, so a text is its words' ids in a row;
     so is a run of ASCII punctuation at the end of a word from the letter or digit before it."""
@@ -41,7 +48,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        # Known words as sorted 128-bit hashes with the place of their ids: a tenth of what a dict would take.
+        self.keys = np.zeros((0, 2), "<u8")
+        self.first, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     @classmethod
     def of(cls, path: str | None) -> WordTokenizer:
@@ -53,26 +62,43 @@ class WordTokenizer:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word as little-endian unsigned 32-bit integers."""
-        cores, tails = [], []
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, number of ids of each)."""
+        index: dict[bytes, int] = {}
+        halves = []
         for w in words:
             if b"<|" not in w:  # special tokens are only recognised as written
                 w = w.lower()
             m = _TAIL.search(w)
-            cores.append(w[: m.start()] if m else w)
-            tails.append(m[0] if m else b"")
-        cache = self.cache
-        new = [w for w in dict.fromkeys([*cores, *tails]) if w not in cache]
-        own: dict[bytes, bytes] = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
-            own.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, encoded))
-        found = [(own.get(c) or cache.get(c, b"")) + (own.get(t) or cache.get(t, b"")) for c, t in zip(cores, tails)]
-        room = CACHE_WORDS - len(cache)
-        cache.update(own if len(own) <= room else dict(list(own.items())[: max(0, room)]))
-        return found
+            core, tail = (w[: m.start()], m[0]) if m else (w, b"")
+            halves += [index.setdefault(core, len(index)), index.setdefault(tail, len(index))]
+        pieces = list(index)
+        keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), "<u8").reshape(-1, 2)
+        at = np.minimum(np.searchsorted(self.keys[:, 0], keys[:, 0]), max(0, len(self.keys) - 1))
+        known = (self.keys[at] == keys).all(1) if len(self.keys) else np.zeros(len(keys), bool)
+        new = np.flatnonzero(~known)
+        ids, sizes = [], []
+        for a in range(0, len(new), 4096):
+            part = [pieces[i].decode("utf-8", "surrogatepass") for i in new[a : a + 4096]]
+            for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
+                own = e.ids
+                ids += own
+                sizes.append(len(own))
+        first, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        first[known], size[known] = self.first[at[known]], self.size[at[known]]
+        size[new] = sizes
+        first[new] = len(self.flat) + np.cumsum(size[new]) - size[new]
+        flat = np.concatenate([self.flat, np.array(ids, dtype="<u4")])
+        which = np.array(halves, dtype=np.int64)
+        out = _gather(flat, first[which], size[which])
+        room = max(0, CACHE_WORDS - len(self.keys))
+        if room and len(new):
+            new = new[:room]
+            every = np.concatenate([self.keys, keys[new]])
+            order = np.argsort(every[:, 0], kind="stable")
+            self.keys, self.first, self.size = every[order], np.concatenate([self.first, first[new]])[order], np.concatenate([self.size, size[new]])[order]
+            self.flat = flat[: int((first[new] + size[new]).max())]
+        return out, size[which].reshape(-1, 2).sum(1)
 
     def texts(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, each closed by ``end``; number of ids of each text)."""
@@ -84,15 +110,11 @@ class WordTokenizer:
             words += [index.setdefault(w, len(index)) for w in own]
             words.append(0)
             counts.append(len(own) + 1)
-        blobs = [np.array([end], dtype="<u4").tobytes(), *self.words(list(index)[1:])]
-        flat = np.frombuffer(b"".join(blobs), "<u4")
-        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        first = np.cumsum(size) - size
+        flat, size = self.words(list(index)[1:])
+        flat, size = np.append(np.array([end], "<u4"), flat), np.append(1, size)
         at = np.array(words, dtype=np.int64)
-        n = size[at]
-        stops = np.cumsum(n)
-        ids = flat[np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(first[at] - (stops - n), n)]
-        ends = stops[np.cumsum(counts) - 1] if counts else np.zeros(0, np.int64)
+        ids = _gather(flat, (np.cumsum(size) - size)[at], size[at])
+        ends = np.cumsum(size[at])[np.cumsum(counts) - 1] if counts else np.zeros(0, np.int64)
         return ids, np.diff(ends, prepend=0)
 
 
@@ -211,7 +233,7 @@ def pack(
     empty texts are the end id alone; null sources form a source; repeated rows are packed each; an
     empty table gives no piece. A document is taken into its queue in the order its block was read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
     blocks = cut(rows.mapInArrow(_tokenise(tokenizer_path, end_id), _BLOCK_SQL))
     parts = blocks.select("block", F.explode("totals").alias("t")).select("block", "t.source", "t.n")
     largest = parts.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source")
@@ -265,6 +287,7 @@ def pack(
                         [ids.values.take(take), sources.take(take), *(pa.array(x[a:b]) for x in (start, length, counts[doc], sequence, offset)), blob],
                         ["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
                     )
+                give_back()
 
     found = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     return blocks.join(starts, "block").select("doc_ids", "sources", "counts", "tokens", "wide", "firsts").mapInArrow(run, found)

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fold_of
+from .blocks import give_back
+from .common import cut, fold_of, in_small_batches
 
 FEATURES = [
     "log_words", "log_mean_word", "log_distinct", "logit_upper", "logit_digit", "logit_symbol", "logit_pipe",
@@ -72,9 +73,10 @@ def featurised(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             rows = [statistics(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
+        give_back()
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, schema)
+    return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)

@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .blocks import give_back
+from .common import cut, in_small_batches
 from .components import connected_components
-from .common import cut
 
 SEED = 42
 BITS = 64
@@ -74,10 +75,11 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             found = np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        give_back()
 
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def grid_cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,6 +223,7 @@ def _wide(shingle: int):
             found = np.array([wide_fingerprint(x.as_py(), shingle) for x in b.column(1)], dtype=np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
             words = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, WIDE_WORDS, dtype=np.int32)), pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), words], ["doc_id", "text_hash", "fp"])
+        give_back()
 
     return run
 
@@ -234,6 +237,7 @@ def _wide_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.unpackbits(words[at : at + 512].view(np.uint8), axis=1, bitorder="little")
             cells = (bits[:, _SAMPLE].astype(np.int64) * power).sum(2) + (np.arange(GRIDS, dtype=np.int64) << GRID_BITS)
             yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(np.repeat(keys[at : at + 512], GRIDS))], ["cell", "key"])
+    give_back()
 
 
 def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
@@ -270,7 +274,7 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.ArrayType(T.LongType()))])
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash.alias("text_hash"))
+    rows = in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash.alias("text_hash"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     fps = rows.mapInArrow(_wide(shingle), schema).withColumn("key", F.xxhash64("fp"))
     distinct = cut(fps.groupBy("key").agg(F.any_value("fp").alias("fp"), first))

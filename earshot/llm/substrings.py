@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .blocks import batched, by_block, expand, squeeze
-from .common import byte_length, cut
+from .blocks import batched, by_block, expand, give_back, squeeze
+from .common import byte_length, cut, in_small_batches
 from .eliasfano import EliasFano, encode
 
 BLOCK_CHARS = 4 << 20
@@ -192,6 +192,7 @@ def _windows(shards: int, length: int):
                     base = int(low[at].min())
                     rows.append({"shard": s, "block": batch.column("block")[r].as_py(), "hashes": code, "base": base, "firsts": squeeze((low[at] - base).astype(np.uint64))})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                give_back()
 
     return run
 
@@ -232,6 +233,7 @@ def _remove(length: int, rejoin: bool, rest_type: pa.DataType):
                         pa.array(kept[a:b], pa.string()), pa.array(spans[a:b], span), rest[a:b],
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names)
+                give_back()
 
     return run
 
@@ -249,7 +251,7 @@ def remove_repeats(
     rows with equal ids take nothing from each other. Windows are told apart by 64-bit hashes.
     """
     carried = F.struct(*carry) if carry else F.struct(F.lit(True).alias("none"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), carried.alias("rest"))
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), carried.alias("rest"))
     rest = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema["rest"].dataType])
     rest_type = to_arrow_type(rest)
     size = rows.agg(F.sum(byte_length("text"))).first()[0] or 0
