@@ -32,15 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows of texts that are handed to Python at once.
-TEXT_ROWS = 500
+#: Rows of texts, and bytes of rows, that are handed to Python at once.
+TEXT_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches cut to TEXT_ROWS rows: ten thousand texts fill an executor's memory."""
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
-        conf.set(name, str(TEXT_ROWS))
+    """``df``, with the session's Arrow batches cut to TEXT_ROWS rows or BATCH_BYTES: ten thousand texts, or a task's blocks, fill an executor's memory."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        set_to = conf.get(name).removesuffix("b").removesuffix("B")
+        if not set_to.isdigit() or not 0 < int(set_to) <= most:
+            conf.set(name, str(most))
     return df
 
 

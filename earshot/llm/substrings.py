@@ -27,7 +27,7 @@ from .blocks import batched, by_block, expand, give_back, squeeze
 from .common import byte_length, cut, in_small_batches
 from .eliasfano import EliasFano, encode
 
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
 ANCHOR_WORDS = 5
 #: A null id: later than any other, so that it is never the first to hold a passage.
 NO_ID = (1 << 63) - 1
@@ -124,20 +124,27 @@ def _anchors(shards: int, length: int, rest_type: pa.DataType):
         ]
     )
 
+    def anchors(raw: list[bytes]) -> list[dict]:
+        w = Windows(raw, length)
+        # a new run begins where the anchor or the document changes
+        doc = w.doc[w.at]
+        begins = np.flatnonzero(np.append(True, (w.anchor[1:] != w.anchor[:-1]) | (doc[1:] != doc[:-1]))) if len(w.at) else w.at
+        distinct, low, high, _ = _by_first(w.anchor[begins], doc[begins])
+        return [{"shard": s, "hashes": code, "several": np.packbits(low[at] < high[at]).tobytes()} for s, at, code in _sharded(distinct, shards)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for seq, (ids, texts, rest) in enumerate(batched(batches, BLOCK_CHARS)):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-            w = Windows(raw, length)
-            # a new run begins where the anchor or the document changes
-            doc = w.doc[w.at]
-            begins = np.flatnonzero(np.append(True, (w.anchor[1:] != w.anchor[:-1]) | (doc[1:] != doc[:-1]))) if len(w.at) else w.at
-            distinct, low, high, _ = _by_first(w.anchor[begins], doc[begins])
-            anchors = [{"shard": s, "hashes": code, "several": np.packbits(low[at] < high[at]).tobytes()} for s, at, code in _sharded(distinct, shards)]
             yield pa.RecordBatch.from_pylist(
-                [{"block": (part << 32) + seq, "doc_ids": ids, "sizes": [len(t) for t in raw], "texts": zstandard.ZstdCompressor(3).compress(b"".join(raw)), "rest": rest, "anchors": anchors}],
+                [
+                    {
+                        "block": (part << 32) + seq, "doc_ids": ids, "sizes": [len(t) for t in raw], "texts": zstandard.ZstdCompressor(3).compress(b"".join(raw)),
+                        "rest": rest, "anchors": anchors(raw),
+                    }
+                ],
                 schema=schema,
-            )
+            )
 
     return run
 
@@ -150,17 +157,24 @@ def _shared_anchors(rows: pa.Table) -> pa.Table:
     shared = counts > 1
     np.logical_or.at(shared, inverse, np.concatenate(several).astype(bool))
     parts = np.split(shared[inverse], np.cumsum([len(h) for h in hashes])[:-1])
-    return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "bits": pa.array([squeeze(p) for p in parts], pa.binary())})
+    bits = pa.array([squeeze(p) for p in parts], pa.binary())
+    del hashes, several, distinct, inverse, counts, shared, parts
+    give_back()
+    return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "bits": bits})
 
 
 def _first_holders(rows: pa.Table) -> pa.Table:
     """A shard of the window table: a bit for each window asked about, set if another block holds it in an earlier document."""
     hashes = [EliasFano.of(x.as_py()).decode() for x in rows.column("hashes")]
-    firsts = [expand(x.as_py()) + base.as_py() for x, base in zip(rows.column("firsts"), rows.column("base"))]
-    every = np.concatenate(firsts)
-    _, low, _, inverse = _by_first(np.concatenate(hashes), every)
-    parts = np.split(low[inverse] < every, np.cumsum([len(h) for h in hashes])[:-1])
-    return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "bits": pa.array([squeeze(p) for p in parts], pa.binary())})
+    edges = np.cumsum([len(h) for h in hashes])[:-1]
+    hashes = np.concatenate(hashes)
+    every = np.concatenate([expand(x.as_py()) + base.as_py() for x, base in zip(rows.column("firsts"), rows.column("base"))])
+    _, low, _, inverse = _by_first(hashes, every)
+    parts = np.split(low[inverse] < every, edges)
+    bits = pa.array([squeeze(p) for p in parts], pa.binary())
+    del hashes, every, low, inverse, parts
+    give_back()
+    return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "bits": bits})
 
 
 def _bits(told: list[dict] | None) -> np.ndarray:
@@ -182,17 +196,21 @@ def _candidates(batch: pa.RecordBatch, r: int, length: int) -> tuple[list[bytes]
 def _windows(shards: int, length: int):
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("base", pa.int64()), ("firsts", pa.binary())])
 
+    def asked(batch: pa.RecordBatch, r: int) -> pa.RecordBatch:
+        _, ids, w, keep = _candidates(batch, r, length)
+        distinct, low, _, _ = _by_first(w.hash[keep], ids[w.doc[w.at[keep]]])
+        rows = []
+        for s, at, code in _sharded(distinct, shards):
+            base = int(low[at].min())
+            rows.append({"shard": s, "block": batch.column("block")[r].as_py(), "hashes": code, "base": base, "firsts": squeeze((low[at] - base).astype(np.uint64))})
+        return pa.RecordBatch.from_pylist(rows, schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                _, ids, w, keep = _candidates(batch, r, length)
-                distinct, low, _, _ = _by_first(w.hash[keep], ids[w.doc[w.at[keep]]])
-                rows = []
-                for s, at, code in _sharded(distinct, shards):
-                    base = int(low[at].min())
-                    rows.append({"shard": s, "block": batch.column("block")[r].as_py(), "hashes": code, "base": base, "firsts": squeeze((low[at] - base).astype(np.uint64))})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                out = asked(batch, r)  # what it worked on is freed before the next block
                 give_back()
+                yield out
 
     return run
 
@@ -201,45 +219,49 @@ def _remove(length: int, rejoin: bool, rest_type: pa.DataType):
     names = ["doc_id", "n_words", "n_removed", "kept", "spans", "rest"]
     span = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
 
+    def cleaned(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, list[str], list[list[dict]]]:
+        texts, ids, w, keep = _candidates(batch, r, length)
+        own = ids[w.doc[w.at[keep]]]
+        _, low, _, inverse = _by_first(w.hash[keep], own)
+        earlier = _bits(batch.column("earlier")[r].as_py())
+        repeats = w.at[keep][(earlier[inverse] | (low[inverse] < own)) if len(keep) else np.zeros(0, bool)]
+        depth = np.zeros(len(w.doc) + 1, np.int64)
+        np.add.at(depth, repeats, 1)
+        np.add.at(depth, repeats + length, -1)
+        gone = np.cumsum(depth[:-1]) > 0
+        first = np.cumsum(w.counts) - w.counts
+        removed = np.diff(np.append(0, np.cumsum(gone))[np.append(first, len(gone))])
+        kept, spans = [], []
+        for i, words in enumerate(w.words):
+            if not removed[i]:
+                kept.append((b" ".join(words) if rejoin else texts[i]).decode("utf-8", "surrogatepass"))
+                spans.append([])
+                continue
+            mask = gone[first[i] : first[i] + w.counts[i]]
+            kept.append(b" ".join([x for x, g in zip(words, mask.tolist()) if not g]).decode("utf-8", "surrogatepass"))
+            edges = np.flatnonzero(np.diff(mask, prepend=False, append=False))
+            spans.append([{"first": a, "words": b - a} for a, b in edges.reshape(-1, 2).tolist()])
+        return w.counts, removed.astype(np.int64), kept, spans
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                texts, ids, w, keep = _candidates(batch, r, length)
-                own = ids[w.doc[w.at[keep]]]
-                _, low, _, inverse = _by_first(w.hash[keep], own)
-                earlier = _bits(batch.column("earlier")[r].as_py())
-                repeats = w.at[keep][(earlier[inverse] | (low[inverse] < own)) if len(keep) else np.zeros(0, bool)]
-                depth = np.zeros(len(w.doc) + 1, np.int64)
-                np.add.at(depth, repeats, 1)
-                np.add.at(depth, repeats + length, -1)
-                gone = np.cumsum(depth[:-1]) > 0
-                first = np.cumsum(w.counts) - w.counts
-                removed = np.diff(np.append(0, np.cumsum(gone))[np.append(first, len(gone))])
-                kept, spans = [], []
-                for i, words in enumerate(w.words):
-                    if not removed[i]:
-                        kept.append((b" ".join(words) if rejoin else texts[i]).decode("utf-8", "surrogatepass"))
-                        spans.append([])
-                        continue
-                    mask = gone[first[i] : first[i] + w.counts[i]]
-                    kept.append(b" ".join([x for x, g in zip(words, mask.tolist()) if not g]).decode("utf-8", "surrogatepass"))
-                    edges = np.flatnonzero(np.diff(mask, prepend=False, append=False))
-                    spans.append([{"first": a, "words": b - a} for a, b in edges.reshape(-1, 2).tolist()])
+                counts, removed, kept, spans = cleaned(batch, r)
+                give_back()
                 rest = batch.column("rest")[r].values
-                for a in range(0, len(kept), 2048):
-                    b = a + 2048
+                for a in range(0, len(kept), 512):
+                    b = a + 512
                     columns = [
-                        batch.column("doc_ids")[r].values[a:b], pa.array(w.counts[a:b]), pa.array(removed[a:b].astype(np.int64)),
+                        batch.column("doc_ids")[r].values[a:b], pa.array(counts[a:b]), pa.array(removed[a:b]),
                         pa.array(kept[a:b], pa.string()), pa.array(spans[a:b], span), rest[a:b],
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names)
-                give_back()
 
     return run
 
 
 def remove_repeats(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 13, rejoin: bool = True, carry: list[str] | None = None, shard_bytes: int = 12 << 20
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 13, rejoin: bool = True, carry: list[str] | None = None, shard_bytes: int = 6 << 20
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, spans, rest) for each row of ``docs``.
 
