@@ -194,8 +194,23 @@ def near_duplicate_classes(
 # coordinates of the embedding: near fingerprints meet in one of them with high probability, not always.
 
 WIDE_WORDS = 16
-GRIDS, GRID_BITS = 150, 24
-_SAMPLE = np.stack([np.random.default_rng(SEED + g).choice(64 * WIDE_WORDS, GRID_BITS, replace=False) for g in range(GRIDS)])
+#: Share of pairs right at the threshold that may meet in no grid, by the average share of differing bits.
+MISSED = 0.005
+#: Cells of up to so many members are compared whole at once; larger ones first with their middle member.
+SMALL_CELL = 8
+
+
+def grid_shape(distinct: int, similarity: float) -> tuple[int, int]:
+    """(bits, grids) for a number of fingerprints: a grid has at least as many cells, so that strangers stay about one a cell at every size."""
+    bits = max(12, math.ceil(math.log2(max(distinct, 2))))
+    meet = (1 - differing_share(similarity)) ** bits
+    return bits, 1 if meet > 1 - MISSED else math.ceil(math.log(MISSED) / math.log1p(-meet))
+
+
+def most_apart(similarity: float, bits: int, deviations: float) -> int:
+    """Differing bits of ``bits`` that a pair right at the similarity passes only beyond so many standard deviations."""
+    share = differing_share(similarity)
+    return math.ceil(share * bits + deviations * math.sqrt(share * (1 - share) * bits))
 
 
 def differing_share(similarity: float) -> float:
@@ -228,38 +243,174 @@ def _wide(shingle: int):
     return run
 
 
-def _wide_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    power = np.int64(1) << np.arange(GRID_BITS)
+def _wide_cells(bits: int, grids: int):
+    sample = np.stack([np.random.default_rng(SEED + g).choice(64 * WIDE_WORDS, bits, replace=False) for g in range(grids)])
+    power = np.int64(1) << np.arange(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            words = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDE_WORDS)
+            for at in range(0, len(keys), 256):
+                part = words[at : at + 256]
+                ones = np.unpackbits(part.view(np.uint8), axis=1, bitorder="little")
+                cells = np.stack([ones[:, s] @ power for s in sample], 1) + (np.arange(grids, dtype=np.int64) << bits)
+                columns = [cells.ravel(), np.repeat(keys[at : at + 256], grids), np.repeat(part[:, 0], grids)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "key", "sketch"])
+        give_back()
+
+    return run
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows that come sorted by their first column, the cell, in arrays that end with a cell."""
+    held: list[np.ndarray] = []
+    size = 0
     for b in batches:
-        keys = b.column(0).to_numpy(zero_copy_only=False)
-        words = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDE_WORDS)
-        for at in range(0, len(keys), 512):
-            bits = np.unpackbits(words[at : at + 512].view(np.uint8), axis=1, bitorder="little")
-            cells = (bits[:, _SAMPLE].astype(np.int64) * power).sum(2) + (np.arange(GRIDS, dtype=np.int64) << GRID_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(np.repeat(keys[at : at + 512], GRIDS))], ["cell", "key"])
-    give_back()
+        if not b.num_rows:
+            continue
+        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1))
+        size += b.num_rows
+        if size >= 1 << 16 and held[-1][-1, 0] != held[0][0, 0]:
+            rows = np.concatenate(held)
+            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            yield rows[:last]
+            held, size = [rows[last:]], len(rows) - last
+    if held:
+        yield np.concatenate(held)
+
+
+def _ends(*columns: np.ndarray) -> np.ndarray:
+    """For each row the row after the last one of its run of equal values."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], 0)
+    starts = np.flatnonzero(new)
+    return np.append(starts[1:], len(new))[np.cumsum(new) - 1]
+
+
+def _near_pairs(at: np.ndarray, end: np.ndarray, key: np.ndarray, sketch: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row with the rows ``at`` up to ``end`` of it, where the sketches are near."""
+    at, live = at.copy(), np.flatnonzero(at < end)
+    while len(live):
+        other = at[live]
+        near = np.bitwise_count(sketch[live] ^ sketch[other]) <= most
+        if near.any():
+            yield key[live[near]], key[other[near]]
+        at[live] += 1
+        live = live[at[live] < end[live]]
+
+
+def _middles(cell: np.ndarray, key: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """For each row the row of its cell that is nearest to the majority of the cell's sketches, the smallest key of equals."""
+    number = np.cumsum(np.append(0, cell[1:] != cell[:-1]))
+    ones = np.zeros((number[-1] + 1, 64), np.int64)
+    for a in range(0, len(cell), 1 << 16):
+        n = number[a : a + (1 << 16)]
+        bits = np.unpackbits(np.ascontiguousarray(sketch[a : a + (1 << 16)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        starts = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
+        ones[n[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+    common = np.packbits(2 * ones > np.bincount(number)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    order = np.lexsort((key, np.bitwise_count(sketch ^ common[number]), number))
+    return order[np.flatnonzero(np.append(True, number[1:] != number[:-1]))][number]
+
+
+def _first_pairs(most: int):
+    """(a, b, cell): pairs of near sketches, all of a small cell and those with the middle of a larger one (cell is null); then the members of larger cells (key, sketch, cell)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_cells(batches):
+            cell, key = rows[:, 0], rows[:, 1]
+            sketch = np.ascontiguousarray(rows[:, 2]).view(np.uint64)
+            end = _ends(cell)
+            large = np.zeros(len(cell), bool)
+            large[SMALL_CELL:] = cell[SMALL_CELL:] == cell[: len(cell) - SMALL_CELL]
+            large = large[end - 1]
+            pairs = list(_near_pairs(np.where(large, end, np.arange(1, len(cell) + 1)), end, key, sketch, most))
+            if large.any():
+                c, k, s = cell[large], key[large], sketch[large]
+                middle = _middles(c, k, s)
+                near = (np.bitwise_count(s ^ s[middle]) <= most) & (middle != np.arange(len(k)))
+                pairs.append((k[near], k[middle[near]]))
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(s.view(np.int64)), pa.array(c)], ["a", "b", "cell"])
+            if pairs:
+                a, b = (np.concatenate(x) for x in zip(*pairs))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], ["a", "b", "cell"])
+        give_back()
 
-def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
-    """(key, root): classes of fingerprints (key, fp) that are linked at all.
+    return run
 
-    Members of a cell are compared with three of it, its smallest, its largest and one picked by a hash,
-    so a cell of any size costs no more than three comparisons a member.
-    """
-    cell = Window.partitionBy("cell")
-    picks = [F.min("key").over(cell), F.max("key").over(cell), F.min_by("key", F.xxhash64("key")).over(cell)]
-    shared = distinct.select("key", "fp").mapInArrow(_wide_cells, "cell long, key long").withColumns({f"p{i}": p for i, p in enumerate(picks)}).where("p0 < p1")
-    pairs = cut(
-        shared.select(F.col("key").alias("a"), F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("b")).where("a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
+
+def _pairs_across(most: int):
+    """(a, b): pairs of near sketches in a cell whose classes differ; rows are (cell, root, key, sketch), sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_cells(batches):
+            cell, root, key = rows[:, 0], rows[:, 1], rows[:, 2]
+            sketch = np.ascontiguousarray(rows[:, 3]).view(np.uint64)
+            for a, b in _near_pairs(_ends(cell, root), _ends(cell), key, sketch, most):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        give_back()
+
+    return run
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a task as stars to the smallest node of each class they form: no more links than nodes, and the same classes."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = above.setdefault(up, up)
+            x = above[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = sorted((top(a), top(b)))
+            above[y] = x
+    stars = [(x, top(x)) for x in list(above) if top(x) != x]
+    for at in range(0, len(stars), 1 << 16):
+        a, b = zip(*stars[at : at + (1 << 16)])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _components(links: DataFrame) -> DataFrame:
+    found = connected_components(links.select("a", "b").mapInArrow(_forest, "a long, b long"))
+    return found.select(F.col("node").alias("key"), "root")
+
+
+def near_fingerprints(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of keys whose 1024-bit fingerprints are near enough."""
     fps = distinct.select("key", "fp")
     both = pairs.join(fps.select(F.col("key").alias("a"), F.col("fp").alias("x")), "a").join(fps.select(F.col("key").alias("b"), F.col("fp").alias("y")), "b")
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
-    share, bits = differing_share(similarity), 64 * WIDE_WORDS
-    most = round(share * bits + math.sqrt(share * (1 - share) * bits))  # one standard deviation, for pairs right at the threshold
-    links = both.where(apart <= most).select("a", "b")
-    return connected_components(links).select(F.col("node").alias("key"), "root")
+    return both.where(apart <= most_apart(similarity, 64 * WIDE_WORDS, 1.0)).select("a", "b")
+
+
+def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
+    """(key, root): classes of fingerprints (key, fp) that are linked at all, closed over all pairs that meet in a cell.
+
+    Small cells are compared whole, members of larger ones with the cell's middle member, which a star of
+    copies has at its centre. Links contract to classes; then all pairs of a cell whose classes still differ
+    are compared, so what is left out are only pairs within a class, which add nothing.
+    """
+    bits, grids = grid_shape(distinct.count(), similarity)
+    most = most_apart(similarity, 64, 3.5)
+    cells = distinct.select("key", "fp").mapInArrow(_wide_cells(bits, grids), "cell long, key long, sketch long")
+    met = cut(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_first_pairs(most), "a long, b long, cell long"))
+    pairs = cut(met.where("cell is null").select("a", "b").distinct())
+    links = cut(near_fingerprints(pairs, distinct, similarity))
+    first = cut(_components(links))
+    members = (
+        met.where("cell is not null").select("cell", F.col("a").alias("key"), F.col("b").alias("sketch"))
+        .join(first, "key", "left").select("cell", F.coalesce("root", "key").alias("root"), "key", "sketch")
+    )
+    across = members.repartition("cell").sortWithinPartitions("cell", "root").mapInArrow(_pairs_across(most), "a long, b long")
+    untested = cut(across.distinct().join(pairs, ["a", "b"], "left_anti"))
+    if untested.isEmpty():
+        return first
+    # A class found so far hangs together by links to its root.
+    return _components(near_fingerprints(untested, distinct, similarity).unionByName(first.select(F.col("key").alias("a"), F.col("root").alias("b"))))
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

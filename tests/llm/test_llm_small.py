@@ -477,3 +477,24 @@ def test_components_of_long_chains(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {got[i] for i in range(201)} == {0} and got[301] == 300
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_large_star_of_similar_fingerprints(spark):
+    """1500 fingerprints near one and not near each other, the one neither first nor last in any order: one class."""
+    r = np.random.default_rng(3)
+    centre = r.integers(0, 2, 1024).astype(np.uint8)
+    rows = []
+    for key in range(1, 1502):
+        own = centre.copy()
+        if key != 751:
+            own[r.choice(1024, 150, replace=False)] ^= 1
+        rows.append((key, np.packbits(own, bitorder="little").view("<i8").tolist()))
+    found = simhash.similar_links(spark.createDataFrame(rows, "key long, fp array<long>"), 0.8).collect()
+    largest = Counter(x.root for x in found).most_common(1)[0][1] if found else 0
+    assert largest >= 0.98 * len(rows), largest
+
+
+def test_grids_grow_with_the_fingerprints():
+    for n in (10, 10**5, 10**7, 10**9):
+        bits, grids = simhash.grid_shape(n, 0.8)
+        assert 1 << bits >= n and (1 - (1 - simhash.differing_share(0.8)) ** bits) ** grids <= simhash.MISSED
