@@ -20,7 +20,7 @@ pairs, as a link within a class adds nothing.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -218,9 +218,8 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
-    """1024-bit SimHash as 16 unsigned words, each shingle's hash stretched by a counter; zeros if there is no word."""
-    hashes = shingle_hashes(text, shingle)
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """1024-bit SimHash of shingle hashes as 16 unsigned words, each hash stretched by a counter; zeros if there is none."""
     ones = np.zeros(64 * WIDE_WORDS, dtype=np.int64)
     counter = np.arange(WIDE_WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(hashes), 1024):
@@ -233,11 +232,25 @@ def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
 
 
 def _wide(shingle: int):
+    """The fingerprint over a text's distinct shingles and a hash of their set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([wide_fingerprint(x.as_py(), shingle) for x in b.column(1)], dtype=np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
+            sets = [np.unique(shingle_hashes(x.as_py(), shingle)) for x in b.column(1)]
+            found = np.array([wide_fingerprint(x) for x in sets], dtype=np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
             words = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, WIDE_WORDS, dtype=np.int32)), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), words], ["doc_id", "text_hash", "fp"])
+            keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), words, pa.array(keys)], ["doc_id", "text_hash", "fp", "key"])
+        give_back()
+
+    return run
+
+
+def _shingle_sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(x.as_py(), shingle)).view(np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
         give_back()
 
     return run
@@ -322,9 +335,8 @@ def _first_pairs(most: int):
             cell, key = rows[:, 0], rows[:, 1]
             sketch = np.ascontiguousarray(rows[:, 2]).view(np.uint64)
             end = _ends(cell)
-            large = np.zeros(len(cell), bool)
-            large[SMALL_CELL:] = cell[SMALL_CELL:] == cell[: len(cell) - SMALL_CELL]
-            large = large[end - 1]
+            number = np.cumsum(np.append(0, cell[1:] != cell[:-1]))
+            large = np.bincount(number)[number] > SMALL_CELL
             pairs = list(_near_pairs(np.where(large, end, np.arange(1, len(cell) + 1)), end, key, sketch, most))
             if large.any():
                 c, k, s = cell[large], key[large], sketch[large]
@@ -380,56 +392,72 @@ def _components(links: DataFrame) -> DataFrame:
 
 
 def near_fingerprints(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of keys whose 1024-bit fingerprints are near enough."""
+    """The pairs (a, b) of keys whose 1024-bit fingerprints leave it open that they are similar."""
     fps = distinct.select("key", "fp")
     both = pairs.join(fps.select(F.col("key").alias("a"), F.col("fp").alias("x")), "a").join(fps.select(F.col("key").alias("b"), F.col("fp").alias("y")), "b")
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
-    return both.where(apart <= most_apart(similarity, 64 * WIDE_WORDS, 1.0)).select("a", "b")
+    return both.where(apart <= most_apart(similarity, 64 * WIDE_WORDS, 3.5)).select("a", "b")
+
 
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of keys whose ``sets`` (key, shingles) have the Jaccard similarity or more."""
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b")
 
-def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
-    """(key, root): classes of fingerprints (key, fp) that are linked at all, closed over all pairs that meet in a cell.
 
-    Small cells are compared whole, members of larger ones with the cell's middle member, which a star of
-    copies has at its centre. Links contract to classes; then all pairs of a cell whose classes still differ
-    are compared, so what is left out are only pairs within a class, which add nothing.
+def similar_links(distinct: DataFrame, similarity: float, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, root): classes of keys (key, fp) that are linked at all, closed over all similar pairs that meet in a cell.
+
+    Fingerprints only name candidates; links are decided on the shingle sets (key, shingles) that ``sets_of``
+    gives for keys. Small cells are compared whole, members of larger ones with the cell's middle member, which a
+    star of copies has at its centre. Links contract to classes; then all pairs of a cell whose classes still
+    differ are compared, so what is left out are only pairs within a class, which add nothing.
     """
     bits, grids = grid_shape(distinct.count(), similarity)
     most = most_apart(similarity, 64, 3.5)
     cells = distinct.select("key", "fp").mapInArrow(_wide_cells(bits, grids), "cell long, key long, sketch long")
     met = cut(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_first_pairs(most), "a long, b long, cell long"))
-    pairs = cut(met.where("cell is null").select("a", "b").distinct())
-    links = cut(near_fingerprints(pairs, distinct, similarity))
-    first = cut(_components(links))
+    tried = cut(met.where("cell is null").select("a", "b").distinct())
+    pairs = cut(near_fingerprints(tried, distinct, similarity))
+    in_large = met.where("cell is not null").select(F.col("a").alias("key"))
+    sets = cut(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(in_large).distinct()))
+    first = cut(_components(similar_pairs(pairs, sets, similarity)))
     members = (
         met.where("cell is not null").select("cell", F.col("a").alias("key"), F.col("b").alias("sketch"))
         .join(first, "key", "left").select("cell", F.coalesce("root", "key").alias("root"), "key", "sketch")
     )
     across = members.repartition("cell").sortWithinPartitions("cell", "root").mapInArrow(_pairs_across(most), "a long, b long")
-    untested = cut(across.distinct().join(pairs, ["a", "b"], "left_anti"))
-    if untested.isEmpty():
+    untried = cut(across.distinct().join(tried, ["a", "b"], "left_anti"))
+    if untried.isEmpty():
         return first
     # A class found so far hangs together by links to its root.
-    return _components(near_fingerprints(untested, distinct, similarity).unionByName(first.select(F.col("key").alias("a"), F.col("root").alias("b"))))
+    links = similar_pairs(near_fingerprints(untried, distinct, similarity), sets, similarity)
+    return _components(links.unionByName(first.select(F.col("key").alias("a"), F.col("root").alias("b"))))
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that come first, by id, of their class of similar texts; one row for each class.
 
-    Texts are similar if their 1024-bit SimHashes differ in no more bits than a Jaccard similarity of
-    ``similarity`` over ``shingle``-word shingles gives on average, plus one standard deviation (0.8 and
-    0.775 are told apart in five cases of six); classes are closed over links. Equal
-    texts are always linked. Null ids come after all others. Texts without a word are one class. All
-    columns are kept as they are; of repeated rows one stays.
+    Texts are similar if the sets of their ``shingle``-word shingles have a Jaccard similarity of ``similarity``
+    or more; 1024-bit SimHashes of the sets find the candidates, and about one pair in a hundred right at the
+    threshold is missed. Classes are closed over links. Equal texts are always linked. Null ids come after all
+    others. Texts without a word are one class. All columns are kept as they are; of repeated rows one stays.
     """
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("key", T.LongType())])
     rows = in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash.alias("text_hash"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    fps = rows.mapInArrow(_wide(shingle), schema).withColumn("key", F.xxhash64("fp"))
+    fps = rows.mapInArrow(_wide(shingle), schema)
     distinct = cut(fps.groupBy("key").agg(F.any_value("fp").alias("fp"), first))
-    linked = similar_links(distinct, similarity)
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        texts = distinct.join(keys, "key", "left_semi").select("key", F.col("first.text_hash").alias("text_hash"))
+        found = rows.select("text", "text_hash").join(texts, "text_hash").dropDuplicates(["key"])
+        return found.select("key", "text").mapInArrow(_shingle_sets(shingle), "key long, shingles array<long>")
+
+    linked = similar_links(distinct, similarity, sets_of)
     kept = (
         distinct.select("key", "first").join(linked, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first"))
         .select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -489,12 +490,81 @@ def test_large_star_of_similar_fingerprints(spark):
         if key != 751:
             own[r.choice(1024, 150, replace=False)] ^= 1
         rows.append((key, np.packbits(own, bitorder="little").view("<i8").tolist()))
-    found = simhash.similar_links(spark.createDataFrame(rows, "key long, fp array<long>"), 0.8).collect()
+    sets = [(k, list(range(100)) + ([] if k == 751 else list(range(100 * k, 100 * k + 20)))) for k, _ in rows]  # 100/120 to the one, 100/140 else
+    sets = spark.createDataFrame(sets, "key long, shingles array<long>")
+    found = simhash.similar_links(spark.createDataFrame(rows, "key long, fp array<long>"), 0.8, lambda keys: sets.join(keys, "key", "left_semi")).collect()
     largest = Counter(x.root for x in found).most_common(1)[0][1] if found else 0
     assert largest >= 0.98 * len(rows), largest
 
 
+def edited(base, n, r):
+    """``base`` with ``n`` words replaced, so far apart that each takes five shingles."""
+    own = list(base)
+    for k in r.sample(range(1, len(base) // 5 - 1), n):
+        own[5 * k] = "edited%d" % r.randrange(1 << 40)
+    return own
+
+
+def shingle_set(words):
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(x, y):
+    x, y = shingle_set(x), shingle_set(y)
+    return len(x & y) / len(x | y)
+
+
+@pytest.fixture(scope="module")
+def near_and_far():
+    """(texts as words, groups): pairs at 0.75, 0.79, 0.81 and 0.85, and texts that share a line many times over and little else."""
+    import random
+
+    r = random.Random(21)
+    word = lambda: f"w{r.randrange(20000)}"
+    texts = []
+    for n in (57, 47, 42, 32):  # of 2000 words
+        for _ in range(12):
+            base = [word() for _ in range(2000)]
+            texts += [base, edited(base, n, r)]
+    line = [word() for _ in range(9)]
+    texts += [line * 300 + [word() for _ in range(120)] for _ in range(10)]
+    seen = [round(jaccard(texts[i], texts[i + 1]), 2) for i in range(0, 96, 24)]
+    assert seen == [0.75, 0.79, 0.81, 0.85]
+    want = {i: i - i % 2 if 48 <= i < 96 else i for i in range(len(texts))}
+    sets = [shingle_set(t) for t in texts]
+    assert all((len(a & b) >= 0.8 * len(a | b)) == (want[i] == want[j]) for i, a in enumerate(sets) for j, b in enumerate(sets))
+    return texts, want
+
+
+def test_links_are_decided_on_shingle_sets(spark, near_and_far):
+    texts, want = near_and_far
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {x.doc_id for x in simhash.keep_first(frame).select("doc_id").collect()} == set(want.values())
+
+
+def test_pipeline_links_on_shingle_sets(spark, near_and_far, tmp_path, monkeypatch):
+    """run() up to its packed pieces, with the stages that would drop or copy texts made idle."""
+    import corpus_pipeline
+
+    texts, want = near_and_far
+    rows = [(i, " ".join(t), "en", "s", len(" ".join(t))) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    same = lambda spark, docs, sf_dir: docs
+    idle = {"quality classifier", "substring deduplication", "source mixing"}
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, same if n in idle else f) for n, f in corpus_pipeline.STAGES])
+    assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == set(want.values())
+
+
 def test_grids_grow_with_the_fingerprints():
     for n in (10, 10**5, 10**7, 10**9):
         bits, grids = simhash.grid_shape(n, 0.8)
         assert 1 << bits >= n and (1 - (1 - simhash.differing_share(0.8)) ** bits) ** grids <= simhash.MISSED
+
+
+@pytest.mark.parametrize("sizes", [[1], [6], [8], [9, 1], [3, 70_000, 2]])
+def test_cells_of_any_size(sizes):
+    """Arrays of few rows, and a cell longer than an array: near pairs of small cells, a star in a large one."""
+    cell = np.repeat(np.arange(len(sizes)), sizes)
+    rows = pa.record_batch([pa.array(cell), pa.array(np.arange(len(cell))), pa.array(np.zeros(len(cell), np.int64))], ["cell", "key", "sketch"])
+    pairs = sum(b.num_rows for b in simhash._first_pairs(0)(rows.slice(a, 500) for a in range(0, len(cell), 500)) if b.column(2).null_count)
+    assert pairs == sum(n * (n - 1) // 2 if n <= simhash.SMALL_CELL else n - 1 for n in sizes)
