@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, media, mixing, ngram_lm, packing, quality, sharding, simhash, substrings, topk
-from .common import byte_length, shuffle_width, table
+from .common import byte_length, cut, shuffle_width, table
 
 SHARDS = 24
 
@@ -48,8 +48,9 @@ def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of all documents that bring the sources to shares tempered by 0.7, at one epoch."""
     docs = table(spark, sf_dir, "documents")
-    copies = mixing.replicate(docs, temperature=0.7, epochs=1.0, columns=["doc_id", "source"])
-    copies = mixing.shuffled(copies, shuffle_width(spark))
+    copies = mixing.replicate(docs, temperature=0.7, epochs=1.0)
+    # Whole documents are shuffled and stored; without the cut Spark would leave their texts out.
+    copies = cut(mixing.shuffled(copies, shuffle_width(spark)))
     return copies.select("doc_id", "source", F.round("rate", 9).alias("rate"), F.col("copies").cast("long"), F.col("copy").cast("long"), "place")
 
 

@@ -568,3 +568,18 @@ def test_cells_of_any_size(sizes):
     rows = pa.record_batch([pa.array(cell), pa.array(np.arange(len(cell))), pa.array(np.zeros(len(cell), np.int64))], ["cell", "key", "sketch"])
     pairs = sum(b.num_rows for b in simhash._first_pairs(0)(rows.slice(a, 500) for a in range(0, len(cell), 500)) if b.column(2).null_count)
     assert pairs == sum(n * (n - 1) // 2 if n <= simhash.SMALL_CELL else n - 1 for n in sizes)
+
+
+def test_op6_shuffles_whole_documents(docs, spark, tmp_path, monkeypatch):
+    """What is stored after the shuffle holds each copy's own text and all other columns, in the order of place."""
+    from earshot.llm import queries
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    stored, cut = [], queries.__dict__.get("cut", lambda df: df)
+    monkeypatch.setattr(queries, "cut", lambda df: stored.append(cut(df)) or stored[-1], raising=False)
+    listed = queries.op6_poisson_mixing(spark, str(tmp_path)).collect()
+    (whole,) = stored
+    rows = whole.collect()
+    want = {r.doc_id: r for r in docs.collect()}
+    assert [r.place for r in rows] == sorted(r.place for r in rows) and len(rows) == len(listed) > 0
+    assert all(r[c] == want[r.doc_id][c] for r in rows for c in docs.columns)
