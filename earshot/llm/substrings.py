@@ -1,17 +1,23 @@
 """Removal of passages that repeat across documents: seed and extend on winnowed anchors.
 
-Seeds: each window of consecutive words has an anchor, the smallest hash among the short word runs
-inside it; equal windows have equal anchors, so documents are joined on anchors. Extending: around every
-anchor that two documents share, all windows that it anchors on either side are compared as wholes.
-Overlapping repeats run together into maximal spans, which are at least a window long.
-
-Texts are gathered into blocks, which ask shards of the anchor table and of the window table. A hot
-passage is one entry for each block in either, however many documents of the block hold it.
+Seeds: each window of consecutive words has an anchor, the leftmost smallest hash among the short word runs
+inside it; equal windows have equal anchors at the same place, so documents are joined on anchors, and an
+anchor that only one document has is no seed. Extending: every place of a shared anchor brings the words to
+its left and right, as far as windows that it anchors reach, to the join. There the places of an anchor are
+parted word by word, leftwards and rightwards, so that after i words to the left and j to the right two places
+are together if and only if they agree in all these words; with i + j + anchor = window each learns whether an
+earlier document agrees that far. So places are never paired, a copied context is one row a block, and words
+are compared, not hashes. Overlapping windows run together into maximal repeats, at least a window long.
+
+Texts are gathered into blocks, which ask shards of the anchor table and then bring their seeds to shards of
+the extension. The places of a frequent anchor would fill one shard: they go window by window instead, each
+to the shard of the whole window, with the same result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +35,12 @@ from .eliasfano import EliasFano, encode
 
 BLOCK_CHARS = 2 << 20
 ANCHOR_WORDS = 5
+#: Words beside an anchor at most, on either side: an answer has a bit for each.
+MOST_BESIDE = 60
+#: Places from which on an anchor's windows are routed one by one; both ways are exact.
+HOT_PLACES = 1 << 14
+#: What an anchor can be: in one document, in several, in very many places.
+ALONE, SHARED, HOT = range(3)
 #: A null id: later than any other, so that it is never the first to hold a passage.
 NO_ID = (1 << 63) - 1
 
@@ -57,17 +69,35 @@ def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
         size *= 2
 
 
-def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
-    out, size = values, 1
+def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """Position of the leftmost smallest of the ``width`` values from each position on."""
+    at, size = np.arange(len(values)), 1
     while size < width:
         step = min(size, width - size)
-        out = np.minimum(out[: max(0, len(out) - step)], out[step:])
+        left, right = at[: max(0, len(at) - step)], at[step:]
+        at = np.where(values[right] < values[left], right, left)
         size += step
-    return out
+    return at
+
+
+def anchor_words(length: int) -> int:
+    return max(min(ANCHOR_WORDS, length), length - MOST_BESIDE)
+
+
+@dataclass
+class Seeds:
+    """What a block brings to the extension, sorted by route, and the seed that answers for each window."""
+
+    route: np.ndarray
+    words: np.ndarray
+    low: np.ndarray
+    window: np.ndarray
+    seed: np.ndarray
+    left: np.ndarray
 
 
 class Windows:
-    """The windows of a block's texts that lie in one text each, with their hashes and anchors."""
+    """The windows of a block's texts that lie in one text each, and the places of their anchors."""
 
     def __init__(self, texts: list[bytes], length: int):
         index: dict[bytes, int] = {}
@@ -75,22 +105,76 @@ class Windows:
         self.words = [t.split() for t in texts]
         for own in self.words:
             words += [index.setdefault(w, len(index)) for w in own]
-        digest = xxhash.xxh3_64_intdigest
-        hashes = np.array([digest(w) for w in index], dtype=np.uint64)
-        tokens = hashes[np.array(words, dtype=np.int64)] if words else np.zeros(0, np.uint64)
+        self.vocabulary = list(index)
+        self.ids = np.array(words, dtype=np.int32)
+        self.hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in index], dtype=np.uint64)
         self.counts = np.fromiter(map(len, self.words), np.int64, len(texts))
         self.length = length
+        self.short = anchor_words(length)
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
-        left = np.repeat(np.cumsum(self.counts), self.counts) - np.arange(len(tokens))
-        if len(tokens) < length:
-            self.at = np.zeros(0, np.int64)
-            self.hash = self.anchor = np.zeros(0, np.uint64)
+        self.at = self.begin = self.place = np.zeros(0, np.int64)
+        self.anchor = np.zeros(0, np.uint64)
+        n = len(self.ids) - length + 1
+        if n <= 0:
             return
-        short = min(ANCHOR_WORDS, length)
-        n = len(tokens) - length + 1
+        left = np.repeat(np.cumsum(self.counts), self.counts) - np.arange(len(self.ids))
         self.at = np.flatnonzero(left[:n] >= length)
-        self.hash = run_hashes(tokens, length)[self.at]
-        self.anchor = sliding_minimum(run_hashes(tokens, short), length - short + 1)[self.at]
+        runs = run_hashes(self.hashes[self.ids], self.short)
+        places = sliding_argmin(runs, length - self.short + 1)[self.at]
+        # Windows with the same place follow one another; they are one seed.
+        self.begin = np.flatnonzero(np.diff(places, prepend=-1))
+        self.place = places[self.begin]
+        self.anchor = runs[self.place]
+
+    def seeds(self, state: np.ndarray, ids: np.ndarray) -> Seeds:
+        """Seeds at the places whose ``state`` is not ALONE; ``ids`` are the texts' document ids."""
+        keep = np.flatnonzero(state != ALONE)
+        place, begin = self.place[keep], self.begin[keep]
+        first = self.at[begin]
+        windows = np.append(self.begin, len(self.at))[keep + 1] - begin
+        beside = self.length - self.short
+        column = np.arange(self.length + beside)
+        at = place[:, None] + (column - beside)
+        inside = (at >= first[:, None]) & (at < (first + windows - 1 + self.length)[:, None])
+        words = np.where(inside, self.ids[np.clip(at, 0, max(0, len(self.ids) - 1))] + 1, 0).astype(np.int32) if len(keep) else np.zeros((0, len(column)), np.int32)
+        own, anchor, hot = ids[self.doc[first]], self.anchor[keep], state[keep] == HOT
+        parts = [(words[~hot], own[~hot], anchor[~hot])]
+        # The windows of a frequent anchor: a seed each, of the window's own words.
+        lone = []
+        for left in range(beside + 1 if hot.any() else 0):
+            of = np.flatnonzero(hot & (place - left >= first) & (place - left < first + windows))
+            lone.append((begin[of] + place[of] - left - first[of], np.full(len(of), left)))
+            parts.append((np.where((column >= beside - left) & (column < beside - left + self.length), words[of], 0), own[of], anchor[of]))
+        words, own, anchor = (np.concatenate(x) for x in zip(*parts))
+        seed, chosen = self._distinct(words)
+        cold = int((~hot).sum())
+        route = anchor.copy()
+        route[cold:] = _join(anchor[cold:], self._row_hashes(words[cold:]))
+        order = chosen[np.argsort(route[chosen], kind="stable")]
+        rank = np.empty(len(chosen), np.int64)
+        rank[seed[order]] = np.arange(len(order))
+        low = np.full(len(order), NO_ID, np.int64)
+        np.minimum.at(low, rank[seed], own)
+        many = windows[~hot]
+        window = np.repeat(begin[~hot] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        lefts = np.repeat(place[~hot], many) - self.at[window]
+        of_window = rank[np.append(np.repeat(seed[:cold], many), seed[cold:])]
+        window, left = (np.concatenate(x) for x in zip((window, lefts), *lone))
+        return Seeds(route[order], words[order], low, window, of_window, left)
+
+    def _row_hashes(self, words: np.ndarray) -> np.ndarray:
+        hashes = np.append(np.uint64(0), self.hashes)
+        out = np.zeros(len(words), np.uint64)
+        for c in range(words.shape[1]):
+            out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + hashes[words[:, c]]
+        return out
+
+    def _distinct(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each row among the distinct rows, a row of each number)."""
+        _, chosen, number = np.unique(self._row_hashes(words), return_index=True, return_inverse=True)
+        if (words != words[chosen[number]]).any():  # hashes that agree by chance
+            _, chosen, number = np.unique(words, axis=0, return_index=True, return_inverse=True)
+        return number.reshape(-1), chosen
 
 
 def _by_first(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -120,17 +204,18 @@ def _anchors(shards: int, length: int, rest_type: pa.DataType):
     schema = pa.schema(
         [
             ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary()), ("rest", pa.list_(rest_type)),
-            ("anchors", pa.list_(pa.struct([("shard", pa.int32()), ("hashes", pa.binary()), ("several", pa.binary())]))),
+            ("anchors", pa.list_(pa.struct([("shard", pa.int32()), ("hashes", pa.binary()), ("several", pa.binary()), ("places", pa.binary())]))),
         ]
     )
 
     def anchors(raw: list[bytes]) -> list[dict]:
         w = Windows(raw, length)
-        # a new run begins where the anchor or the document changes
-        doc = w.doc[w.at]
-        begins = np.flatnonzero(np.append(True, (w.anchor[1:] != w.anchor[:-1]) | (doc[1:] != doc[:-1]))) if len(w.at) else w.at
-        distinct, low, high, _ = _by_first(w.anchor[begins], doc[begins])
-        return [{"shard": s, "hashes": code, "several": np.packbits(low[at] < high[at]).tobytes()} for s, at, code in _sharded(distinct, shards)]
+        distinct, low, high, inverse = _by_first(w.anchor, w.doc[w.place])
+        places = np.bincount(inverse, minlength=len(distinct))
+        return [
+            {"shard": s, "hashes": code, "several": np.packbits(low[at] < high[at]).tobytes(), "places": squeeze(places[at])}
+            for s, at, code in _sharded(distinct, shards)
+        ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -150,65 +235,111 @@ def _anchors(shards: int, length: int, rest_type: pa.DataType):
 
 
 def _shared_anchors(rows: pa.Table) -> pa.Table:
-    """A shard of the anchor table: a bit for each anchor asked about, set if two documents have it."""
+    """A shard of the anchor table: for each anchor asked about whether it is ALONE, SHARED or HOT."""
     hashes = [EliasFano.of(x.as_py()).decode() for x in rows.column("hashes")]
     several = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(h)) for x, h in zip(rows.column("several"), hashes)]
+    places = np.concatenate([expand(x.as_py()) for x in rows.column("places")])
     distinct, inverse, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
     shared = counts > 1
     np.logical_or.at(shared, inverse, np.concatenate(several).astype(bool))
-    parts = np.split(shared[inverse], np.cumsum([len(h) for h in hashes])[:-1])
-    bits = pa.array([squeeze(p) for p in parts], pa.binary())
-    del hashes, several, distinct, inverse, counts, shared, parts
+    hot = np.bincount(inverse, weights=places, minlength=len(distinct)) > HOT_PLACES
+    state = np.where(shared, np.where(hot, HOT, SHARED), ALONE)
+    parts = np.split(state[inverse], np.cumsum([len(h) for h in hashes])[:-1])
+    states = pa.array([squeeze(p) for p in parts], pa.binary())
+    del hashes, several, places, distinct, inverse, counts, shared, hot, state, parts
     give_back()
-    return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "bits": bits})
-
+    return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "told": states})
+
+
+def _parted(group: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Groups parted by one more word."""
+    return np.unique(group * (int(word.max(initial=0)) + 1) + word, return_inverse=True)[1]
+
+
+def earlier_windows(route: np.ndarray, words: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
+    """For each seed a bit for each number of words left of its anchor: set if a seed of an earlier document agrees in that whole window."""
+    beside = words.shape[1] - length
+    short = length - beside
+    anchor = np.unique(route, return_inverse=True)[1]
+    for c in range(beside, beside + short):
+        anchor = _parted(anchor, words[:, c])
+    lefts, rights = [anchor], [np.zeros(len(anchor), np.int64)]
+    for i in range(beside):
+        lefts.append(_parted(lefts[-1], words[:, beside - 1 - i]))
+        rights.append(_parted(rights[-1] if i else anchor, words[:, beside + short + i]))
+    found = np.zeros(len(words), np.int64)
+    for left in range(beside + 1):
+        right = beside - left
+        whole = np.flatnonzero((words[:, beside - left] > 0) & (words[:, beside - left + length - 1] > 0))
+        group = np.unique(lefts[left][whole] * (len(words) + 1) + rights[right][whole], return_inverse=True)[1]
+        first = np.full(int(group.max(initial=-1)) + 1, NO_ID, np.int64)
+        np.minimum.at(first, group, low[whole])
+        found[whole] |= (first[group] < low[whole]).astype(np.int64) << left
+    return found
+
+
+def _extend(length: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """A shard of the extension: ``earlier_windows`` of the seeds of all blocks."""
+        index: dict[bytes, int] = {b"": 0}
+        routes, words = [], []
+        for route, vocabulary, places in zip(rows.column("routes"), rows.column("vocabulary"), rows.column("words")):
+            routes.append(EliasFano.of(route.as_py()).decode())
+            own = zstandard.ZstdDecompressor().decompress(vocabulary.as_py()).split(b" ")
+            number = np.fromiter((index.setdefault(w, len(index)) for w in own), np.int64, len(own))
+            words.append(number[expand(places.as_py())].astype(np.int32).reshape(len(routes[-1]), -1))
+        low = np.concatenate([expand(x.as_py()) + base.as_py() for x, base in zip(rows.column("firsts"), rows.column("base"))])
+        edges = np.cumsum([len(r) for r in routes])[:-1]
+        found = np.split(earlier_windows(np.concatenate(routes), np.concatenate(words), low, length), edges)
+        told = pa.array([squeeze(x) for x in found], pa.binary())
+        del index, routes, words, low, found
+        give_back()
+        return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "told": told})
 
-def _first_holders(rows: pa.Table) -> pa.Table:
-    """A shard of the window table: a bit for each window asked about, set if another block holds it in an earlier document."""
-    hashes = [EliasFano.of(x.as_py()).decode() for x in rows.column("hashes")]
-    edges = np.cumsum([len(h) for h in hashes])[:-1]
-    hashes = np.concatenate(hashes)
-    every = np.concatenate([expand(x.as_py()) + base.as_py() for x, base in zip(rows.column("firsts"), rows.column("base"))])
-    _, low, _, inverse = _by_first(hashes, every)
-    parts = np.split(low[inverse] < every, edges)
-    bits = pa.array([squeeze(p) for p in parts], pa.binary())
-    del hashes, every, low, inverse, parts
-    give_back()
-    return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "bits": bits})
+    return run
 
 
-def _bits(told: list[dict] | None) -> np.ndarray:
-    parts = [expand(x["bits"]).astype(bool) for x in sorted(told or [], key=lambda x: x["shard"])]
-    return np.concatenate(parts) if parts else np.zeros(0, bool)
+def _told(told: list[dict] | None) -> np.ndarray:
+    """What the shards have told a block, in the order it asked."""
+    parts = [expand(x["told"]) for x in sorted(told or [], key=lambda x: x["shard"])]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
-def _candidates(batch: pa.RecordBatch, r: int, length: int) -> tuple[list[bytes], np.ndarray, Windows, np.ndarray]:
-    """A block's texts, ids and windows, and which windows have an anchor that is shared."""
+def _seeded(batch: pa.RecordBatch, r: int, length: int) -> tuple[list[bytes], np.ndarray, Windows, Seeds]:
+    """A block's texts, ids, windows and seeds."""
     flat = zstandard.ZstdDecompressor().decompress(batch.column("texts")[r].as_py())
     edges = np.cumsum([0, *batch.column("sizes")[r].as_py()]).tolist()
     texts = [flat[a:b] for a, b in zip(edges[:-1], edges[1:])]
     w = Windows(texts, length)
-    shared = _bits(batch.column("shared")[r].as_py())
-    keep = np.flatnonzero(shared[np.searchsorted(np.unique(w.anchor), w.anchor)]) if len(w.at) else w.at
-    return texts, _ids(batch.column("doc_ids")[r].as_py()), w, keep
+    state = _told(batch.column("shared")[r].as_py())[np.unique(w.anchor, return_inverse=True)[1]]
+    ids = _ids(batch.column("doc_ids")[r].as_py())
+    return texts, ids, w, w.seeds(state, ids)
 
 
-def _windows(shards: int, length: int):
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("base", pa.int64()), ("firsts", pa.binary())])
+def _bring_seeds(shards: int, length: int):
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("routes", "vocabulary", "words")), ("base", pa.int64()), ("firsts", pa.binary())])
 
-    def asked(batch: pa.RecordBatch, r: int) -> pa.RecordBatch:
-        _, ids, w, keep = _candidates(batch, r, length)
-        distinct, low, _, _ = _by_first(w.hash[keep], ids[w.doc[w.at[keep]]])
+    def brought(batch: pa.RecordBatch, r: int) -> pa.RecordBatch:
+        _, _, w, seeds = _seeded(batch, r, length)
+        packer = zstandard.ZstdCompressor(3)
         rows = []
-        for s, at, code in _sharded(distinct, shards):
-            base = int(low[at].min())
-            rows.append({"shard": s, "block": batch.column("block")[r].as_py(), "hashes": code, "base": base, "firsts": squeeze((low[at] - base).astype(np.uint64))})
+        for s, at, code in _sharded(seeds.route, shards):
+            # Words as places in a vocabulary of the message, whose first is the empty word outside of the windows.
+            own, number = np.unique(np.append(np.int32(0), seeds.words[at].ravel()), return_inverse=True)
+            base = int(seeds.low[at].min())
+            rows.append(
+                {
+                    "shard": s, "block": batch.column("block")[r].as_py(), "routes": code,
+                    "vocabulary": packer.compress(b" ".join([b"", *(w.vocabulary[i - 1] for i in own[1:].tolist())])), "words": squeeze(number[1:]),
+                    "base": base, "firsts": squeeze((seeds.low[at] - base).astype(np.uint64)),
+                }
+            )
         return pa.RecordBatch.from_pylist(rows, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                out = asked(batch, r)  # what it worked on is freed before the next block
+                out = brought(batch, r)  # what it worked on is freed before the next block
                 give_back()
                 yield out
 
@@ -220,11 +351,10 @@ def _remove(length: int, rejoin: bool, rest_type: pa.DataType):
     span = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
 
     def cleaned(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, list[str], list[list[dict]]]:
-        texts, ids, w, keep = _candidates(batch, r, length)
-        own = ids[w.doc[w.at[keep]]]
-        _, low, _, inverse = _by_first(w.hash[keep], own)
-        earlier = _bits(batch.column("earlier")[r].as_py())
-        repeats = w.at[keep][(earlier[inverse] | (low[inverse] < own)) if len(keep) else np.zeros(0, bool)]
+        texts, ids, w, seeds = _seeded(batch, r, length)
+        at = w.at[seeds.window]
+        elsewhere = _told(batch.column("earlier")[r].as_py())[seeds.seed] >> seeds.left & 1
+        repeats = at[(elsewhere > 0) | (seeds.low[seeds.seed] < ids[w.doc[at]])]
         depth = np.zeros(len(w.doc) + 1, np.int64)
         np.add.at(depth, repeats, 1)
         np.add.at(depth, repeats + length, -1)
@@ -261,7 +391,7 @@ def _remove(length: int, rejoin: bool, rest_type: pa.DataType):
 
 
 def remove_repeats(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 13, rejoin: bool = True, carry: list[str] | None = None, shard_bytes: int = 6 << 20
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 13, rejoin: bool = True, carry: list[str] | None = None, shard_bytes: int = 12 << 20
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, spans, rest) for each row of ``docs``.
 
@@ -269,8 +399,9 @@ def remove_repeats(
     windows are judged on the texts as given. ``spans`` are the maximal runs of removed words, and
     ``kept`` the other words joined by single blanks; with ``rejoin`` false a text that loses nothing is
     returned unchanged. ``rest`` is a struct of the columns named in ``carry``. Words are parted by ASCII
-    white space. Null texts have no words and come back empty. A null id counts as larger than any other;
-    rows with equal ids take nothing from each other. Windows are told apart by 64-bit hashes.
+    white space. Null texts have no words and come back empty. A null id counts as larger than any other
+    (as 2**63 - 1 does); rows with equal ids take nothing from each other. Ids of other types are cast to
+    long, and one that is not a whole number raises. Windows are compared by their words.
     """
     carried = F.struct(*carry) if carry else F.struct(F.lit(True).alias("none"))
     rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), carried.alias("rest"))
@@ -285,25 +416,25 @@ def remove_repeats(
                 [
                     T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType())),
                     T.StructField("texts", T.BinaryType()), T.StructField("rest", T.ArrayType(rest)),
-                    T.StructField("anchors", T.ArrayType(T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("hashes", T.BinaryType()), T.StructField("several", T.BinaryType())]))),
+                    T.StructField("anchors", T.ArrayType(T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("hashes", T.BinaryType()), T.StructField("several", T.BinaryType()), T.StructField("places", T.BinaryType())]))),
                 ]
             ),
         )
     )
-    answer = "block long, shard int, bits binary"
+    answer = "block long, shard int, told binary"
     shared = cut(
         blocks.select("block", F.explode("anchors").alias("a")).select("block", "a.*").groupBy("shard").applyInArrow(_shared_anchors, answer)
     )
     # Both uses of this join share one shuffle of the blocks.
-    informed = blocks.drop("anchors").join(by_block(shared, "shard", "bits", into="shared"), "block", "left")
+    informed = blocks.drop("anchors").join(by_block(shared, "shard", "told", into="shared"), "block", "left")
     earlier = (
         informed.select("block", "doc_ids", "sizes", "texts", "shared")
-        .mapInArrow(_windows(shards, length), "shard int, block long, hashes binary, base long, firsts binary")
+        .mapInArrow(_bring_seeds(shards, length), "shard int, block long, routes binary, vocabulary binary, words binary, base long, firsts binary")
         .groupBy("shard")
-        .applyInArrow(_first_holders, answer)
+        .applyInArrow(_extend(length), answer)
     )
     spans = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("words", T.LongType())]))
     found = T.StructType(
         [T.StructField(c, T.LongType()) for c in ("doc_id", "n_words", "n_removed")] + [T.StructField("kept", T.StringType()), T.StructField("spans", spans), T.StructField("rest", rest)]
     )
-    return informed.join(by_block(earlier, "shard", "bits", into="earlier"), "block", "left").mapInArrow(_remove(length, rejoin, rest_type), found)
+    return informed.join(by_block(earlier, "shard", "told", into="earlier"), "block", "left").mapInArrow(_remove(length, rejoin, rest_type), found)
