@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: What a row counts beside its text, so that empty texts fill a block too.
+ROW_CHARS = 64
+
+
 def batched(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, ...]]:
-    """The columns of all rows in lists, cut once the texts in column 1 pass ``limit`` characters.
+    """The columns of all rows in lists, cut once the texts in column 1 pass ``limit`` characters, with ROW_CHARS for each row.
 
     A text is never split; a single longer text makes a block of its own.
     """
@@ -26,7 +30,7 @@ def batched(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[lis
             values = [x.as_py() for x in row]
             for column, v in zip(held, values):
                 column.append(v)
-            size += len(values[1] or "")
+            size += len(values[1] or "") + ROW_CHARS
             if size >= limit:
                 yield tuple(held)
                 held, size = [[] for _ in b.columns], 0

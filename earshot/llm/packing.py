@@ -5,10 +5,15 @@ most behind its target share gives the next token. Who is served by when has a c
 queue with share w is due at (i + 1/2) / w; windows are consecutive cuts of all tokens in the order of
 their due times. So what a queue lacks or has too much at the end of a window is carried into the next,
 and any task can work out any window from the queues' totals alone, without the windows before it.
+
+Sources beyond the largest form a tree of queues: the tokens of a queue that holds others are served from
+these by the same closed form, in windows of its own, so every source keeps its share, small ones in pieces
+that are not smaller than they must be, and a task needs only the totals beside the path of a source it holds.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -19,7 +24,6 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .blocks import batched, give_back
@@ -27,6 +31,10 @@ from .common import cut, in_small_batches
 
 END_ID = 2
 BLOCK_BYTES = 6 << 20
+#: Sources with a queue of their own at the top; queues in each node of the tree of all others, about.
+LARGEST, BRANCHES = 255, 128
+#: Windows that are worked out at once; bounds memory only.
+WINDOWS_AT_ONCE = 4096
 #: Words kept in a worker's cache; bounds memory only.
 CACHE_WORDS = 500_000
 _TAIL = re.compile(rb"(?<=[a-z0-9])[.,;:!?|]+$")
@@ -180,27 +188,39 @@ def served(totals: np.ndarray, weights: np.ndarray, upto: np.ndarray) -> np.ndar
     return n
 
 
-def cut_block(queue: np.ndarray, counts: np.ndarray, firsts: np.ndarray, totals: np.ndarray, weights: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Pieces of a block's documents: (document, start in it, length, window, offset in the window).
-
-    ``queue`` and ``counts`` are the documents' queues and sizes, ``firsts`` the place in each queue where
-    this block's documents begin.
-    """
+def cut_queue(at: np.ndarray, length: np.ndarray, s: int, totals: np.ndarray, weights: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Pieces of stretches of queue ``s`` (``at`` rising): (stretch, start in it, length, place among all tokens)."""
+    low, high = (_window_of(totals, weights, s, int(x), window) for x in (at[0], at[-1] + length[-1] - 1))
     found = []
-    for s in np.unique(queue):
-        docs = np.flatnonzero(queue == s)
-        starts = firsts[s] + np.cumsum(counts[docs]) - counts[docs]
-        stop = int(starts[-1] + counts[docs[-1]])
-        # The windows that hold this stretch of the queue, by bisection on whole windows.
-        low, high = (_window_of(totals, weights, s, x, window) for x in (int(starts[0]), stop - 1))
-        edges = served(totals, weights, np.arange(low, high + 2, dtype=np.int64) * window)
+    for a in range(low, high + 1, WINDOWS_AT_ONCE):
+        edges = served(totals, weights, np.arange(a, min(a + WINDOWS_AT_ONCE, high + 1) + 1, dtype=np.int64) * window)
         mine = edges[:, s]
-        cuts = np.unique(np.concatenate([starts, mine[(mine > starts[0]) & (mine < stop)]]))
+        held = np.flatnonzero((at < mine[-1]) & (at + length > mine[0]))
+        if not len(held):
+            continue
+        first, stop = np.maximum(at[held], mine[0]), np.minimum(at[held] + length[held], mine[-1])
+        cuts = np.unique(np.concatenate([first, mine[mine > first[0]]]))
+        d = np.searchsorted(first, cuts, side="right") - 1
+        ends = np.minimum(np.append(cuts[1:], stop[-1]), stop[d])
+        keep = cuts < stop[d]
+        cuts, d, ends = cuts[keep], d[keep], ends[keep]
         w = np.searchsorted(mine, cuts, side="right") - 1
-        d = np.searchsorted(starts, cuts, side="right") - 1
         before = (edges[1:] - edges[:-1])[:, :s].sum(1)
-        found.append((docs[d], cuts - starts[d], np.diff(np.append(cuts, stop)), low + w, before[w] + cuts - mine[w]))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else tuple(np.zeros(0, np.int64) for _ in range(5))
+        found.append((held[d], cuts - at[held[d]], ends - cuts, (a + w) * window + before[w] + cuts - mine[w]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def cut_source(counts: np.ndarray, first: int, path: list[tuple[int, np.ndarray, np.ndarray]], window: int) -> tuple[np.ndarray, ...]:
+    """Pieces of the documents (sizes ``counts``) that begin at ``first`` in their source: (document, start in it, length, place).
+
+    ``path`` names the queue and the totals and weights beside it in each node, from the source's to the top.
+    """
+    doc, start, length = np.arange(len(counts)), np.zeros(len(counts), np.int64), counts
+    at = first + np.cumsum(counts) - counts
+    for s, totals, weights in path:
+        part, inside, length, at = cut_queue(at, length, s, totals, weights, window)
+        doc, start = doc[part], start[part] + inside
+    return doc, start, length, at
 
 
 def _window_of(totals: np.ndarray, weights: np.ndarray, s: int, token: int, window: int) -> int:
@@ -213,6 +233,37 @@ def _window_of(totals: np.ndarray, weights: np.ndarray, s: int, token: int, wind
     return low
 
 
+_PATH = "array<struct<at: int, totals: array<long>>>"
+
+
+def _tree(small: DataFrame, sources: int) -> DataFrame:
+    """(source, path): for each of the small sources (source, n) the nodes from its own up to below the top."""
+    width = max(1, math.ceil(sources / BRANCHES))
+    items = small.withColumn("key", F.col("source")).withColumn("node", F.pmod(F.xxhash64("source"), F.lit(width)))
+    paths = small.select("source", F.col("source").alias("key"))
+    paths = paths.withColumn("path", F.array().cast(_PATH))
+    while True:
+        nodes = items.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("kids"))
+        steps = nodes.select("node", F.transform("kids", lambda k: k["n"]).alias("totals"), F.posexplode("kids").alias("at", "kid"))
+        steps = steps.select(F.col("node").alias("up"), F.col("kid.key").alias("step"), F.struct("at", "totals").alias("part"))
+        paths = paths.join(steps, F.col("key").eqNullSafe(F.col("step"))).select("source", F.col("up").alias("key"), F.concat("path", F.array("part")).alias("path"))
+        if width == 1:
+            return paths.select("source", "path")
+        width = math.ceil(width / BRANCHES)
+        items = items.groupBy(F.col("node").alias("key")).agg(F.sum("n").alias("n")).withColumn("node", F.pmod("key", F.lit(width)))
+
+
+def _firsts(parts: DataFrame) -> DataFrame:
+    """``parts`` (block, source, n) with the tokens of the source in earlier blocks: summed by task first, so that no task holds all blocks of a source."""
+    task = parts.withColumn("task", F.shiftright("block", 32))
+    sums = task.groupBy("source", "task").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("_source"), F.col("task").alias("_task"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("source", "task").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    joined = task.withColumn("_within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(sums, F.col("source").eqNullSafe(F.col("_source")) & (F.col("task") == F.col("_task")))
+    return joined.select("block", "source", (F.col("_before") + F.col("_within")).alias("first"))
+
+
 def pack(
     docs: DataFrame,
     *,
@@ -221,58 +272,66 @@ def pack(
     source_col: str = "source",
     window: int = 4096,
     weights: dict[str, float] | None = None,
-    max_queues: int = 256,
     tokenizer_path: str | None = None,
     end_id: int = END_ID,
 ) -> DataFrame:
-    """Pieces (doc_id, source, start, length, doc_tokens, sequence_id, offset, ids) that fill the windows.
+    """Pieces (doc_id, source, start, length, doc_tokens, sequence_id, offset, block, row, ids) that fill the windows.
 
     ``ids`` holds the piece's token ids as little-endian unsigned 32-bit integers. All windows but the
     last are full. The target share of a source is its share of all tokens, or its entry of ``weights``
-    (then others keep theirs). Sources beyond the ``max_queues`` - 1 largest share one queue. Null or
-    empty texts are the end id alone; null sources form a source; repeated rows are packed each; an
-    empty table gives no piece. A document is taken into its queue in the order its block was read.
+    (then others keep theirs); every token is packed, so weights must be positive and finite, others raise;
+    entries for sources that do not occur have no effect. Null or empty texts are the end id alone; null
+    sources form a source; repeated rows are packed each; an empty table gives no piece. A document is taken
+    into its queue in the order its block was read; ``block`` and ``row`` tell rows of equal ids apart. Ids are
+    cast to long; one that is not a whole number raises. Other columns are not read.
     """
+    if any(not 0 < w < math.inf for w in (weights or {}).values()):
+        raise ValueError("weights must be positive and finite: every token is packed")
+    spark = docs.sparkSession
     rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
     blocks = cut(rows.mapInArrow(_tokenise(tokenizer_path, end_id), _BLOCK_SQL))
     parts = blocks.select("block", F.explode("totals").alias("t")).select("block", "t.source", "t.n")
-    largest = parts.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source")
-    named = [(r.source, r.n) for r in largest.limit(max_queues - 1).collect()]
-    everything = parts.agg(F.sum("n")).first()[0] or 0
-    totals = np.array([n for _, n in named], dtype=np.int64)
-    queue_of = {s: i for i, (s, _) in enumerate(named)}
-    if everything > totals.sum():  # the queue that the small sources share
+    sizes = cut(parts.groupBy("source").agg(F.sum("n").alias("n")))
+    everything, sources = sizes.agg(F.sum("n"), F.count("*")).first()
+    named = {r.source: r.n for r in sizes.orderBy(F.desc("n"), "source").limit(LARGEST).collect()}
+    named |= {r.source: r.n for r in sizes.where(F.col("source").isin(list(weights or ()))).collect()}
+    queue_of = {s: i for i, s in enumerate(named)}
+    totals = np.array(list(named.values()), dtype=np.int64)
+    shares = np.array([(weights or {}).get(s, n / everything) for s, n in named.items()])
+    places = _firsts(parts)
+    if sources == len(named):
+        placed = places.withColumn("path", F.lit(None).cast(_PATH))
+    else:
+        top = F.broadcast(spark.createDataFrame([(s,) for s in queue_of], "top string"))  # LARGEST rows and those that have a weight
+        small = cut(sizes.join(top, F.col("source").eqNullSafe(F.col("top")), "left_anti"))
         totals = np.append(totals, everything - totals.sum())
-    shares = totals / max(everything, 1)
-    for s, i in queue_of.items():
-        shares[i] = (weights or {}).get(s, shares[i])
-    rest = len(named)
-
-    queues = docs.sparkSession.createDataFrame([(s, i) for s, i in queue_of.items()], "source string, queue int")
-    dealt = parts.join(F.broadcast(queues), parts.source.eqNullSafe(queues.source), "left").select(
-        "block", F.coalesce("queue", F.lit(rest)).alias("queue"), "n"
-    )
-    before = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        dealt.groupBy("block", "queue").agg(F.sum("n").alias("n"))
-        .withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("queue", "first")).alias("firsts"))
-    )
+        shares = np.append(shares, totals[-1] / everything)
+        paths = cut(_tree(small, sources - len(named))).withColumnRenamed("source", "small")
+        # The largest sources have no path; others are no hot keys.
+        large = places.join(top, F.col("source").eqNullSafe(F.col("top"))).select("block", "source", "first", F.lit(None).cast(_PATH).alias("path"))
+        placed = large.unionByName(places.join(paths, F.col("source").eqNullSafe(F.col("small"))).select("block", "source", "first", "path"))
+    starts = placed.groupBy("block").agg(F.collect_list(F.struct("source", "first", "path")).alias("firsts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, sources, counts, tokens, wide, firsts = (batch.column(c)[r] for c in range(6))
+                block, ids, sources, counts, tokens, wide, firsts = (batch.column(c)[r] for c in range(7))
                 counts = counts.values.to_numpy(zero_copy_only=False)
                 sources = sources.values
-                queue = np.array([queue_of.get(x, rest) for x in sources.to_pylist()], dtype=np.int64)
-                first = np.zeros(len(totals), dtype=np.int64)
-                for f in firsts.as_py():
-                    first[f["queue"]] = f["first"]
+                codes = sources.dictionary_encode(null_encoding="encode")
+                code_of = {s: i for i, s in enumerate(codes.dictionary.to_pylist())}
+                code = codes.indices.to_numpy(zero_copy_only=False)
                 flat = np.frombuffer(unpack.decompress(tokens.as_buffer()), "<u4" if wide.as_py() else "<u2").astype("<u4")
-                doc, start, length, sequence, offset = cut_block(queue, counts, first, totals, shares, window)
+                found = []
+                for f in firsts.as_py():
+                    beside = [(x["at"], np.array(x["totals"], np.int64)) for x in f["path"] or []]
+                    path = [(at, n, n / n.sum()) for at, n in beside]
+                    path.append((queue_of.get(f["source"], len(queue_of)), totals, shares))
+                    mine = np.flatnonzero(code == code_of[f["source"]])
+                    doc, *where = cut_source(counts[mine], f["first"], path, window)
+                    found.append((mine[doc], *where))
+                doc, start, length, place = (np.concatenate(x) for x in zip(*found))
                 doc_first = np.cumsum(counts) - counts
                 at = doc_first[doc] + start
                 ordered = np.repeat(at - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
@@ -283,11 +342,10 @@ def pack(
                         pa.binary(), b - a, [None, pa.py_buffer((edges[a : b + 1] - edges[a]).astype("<i4")), pa.py_buffer(flat[ordered[edges[a] // 4 : edges[b] // 4]])]
                     )
                     take = pa.array(doc[a:b])
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.values.take(take), sources.take(take), *(pa.array(x[a:b]) for x in (start, length, counts[doc], sequence, offset)), blob],
-                        ["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
-                    )
+                    numbers = (x[a:b] for x in (start, length, counts[doc], place // window, place % window, np.full(len(doc), block.as_py()), doc))
+                    yield pa.RecordBatch.from_arrays([ids.values.take(take), sources.take(take), *map(pa.array, numbers), blob], names)
                 give_back()
 
-    found = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return blocks.join(starts, "block").select("doc_ids", "sources", "counts", "tokens", "wide", "firsts").mapInArrow(run, found)
+    names = ["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "block", "row", "ids"]
+    found = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, block long, row long, ids binary"
+    return blocks.join(starts, "block").select("block", "doc_ids", "sources", "counts", "tokens", "wide", "firsts").mapInArrow(run, found)

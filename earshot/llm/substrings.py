@@ -234,21 +234,24 @@ def _anchors(shards: int, length: int, rest_type: pa.DataType):
     return run
 
 
-def _shared_anchors(rows: pa.Table) -> pa.Table:
-    """A shard of the anchor table: for each anchor asked about whether it is ALONE, SHARED or HOT."""
-    hashes = [EliasFano.of(x.as_py()).decode() for x in rows.column("hashes")]
-    several = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(h)) for x, h in zip(rows.column("several"), hashes)]
-    places = np.concatenate([expand(x.as_py()) for x in rows.column("places")])
-    distinct, inverse, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    shared = counts > 1
-    np.logical_or.at(shared, inverse, np.concatenate(several).astype(bool))
-    hot = np.bincount(inverse, weights=places, minlength=len(distinct)) > HOT_PLACES
-    state = np.where(shared, np.where(hot, HOT, SHARED), ALONE)
-    parts = np.split(state[inverse], np.cumsum([len(h) for h in hashes])[:-1])
-    states = pa.array([squeeze(p) for p in parts], pa.binary())
-    del hashes, several, places, distinct, inverse, counts, shared, hot, state, parts
-    give_back()
-    return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "told": states})
+def _shared_anchors(hot_places: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """A shard of the anchor table: for each anchor asked about whether it is ALONE, SHARED or HOT."""
+        hashes = [EliasFano.of(x.as_py()).decode() for x in rows.column("hashes")]
+        several = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(h)) for x, h in zip(rows.column("several"), hashes)]
+        places = np.concatenate([expand(x.as_py()) for x in rows.column("places")])
+        distinct, inverse, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        shared = counts > 1
+        np.logical_or.at(shared, inverse, np.concatenate(several).astype(bool))
+        hot = np.bincount(inverse, weights=places, minlength=len(distinct)) > hot_places
+        state = np.where(shared, np.where(hot, HOT, SHARED), ALONE)
+        parts = np.split(state[inverse], np.cumsum([len(h) for h in hashes])[:-1])
+        states = pa.array([squeeze(p) for p in parts], pa.binary())
+        del hashes, several, places, distinct, inverse, counts, shared, hot, state, parts
+        give_back()
+        return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "told": states})
+
+    return run
 
 
 def _parted(group: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -423,7 +426,7 @@ def remove_repeats(
     )
     answer = "block long, shard int, told binary"
     shared = cut(
-        blocks.select("block", F.explode("anchors").alias("a")).select("block", "a.*").groupBy("shard").applyInArrow(_shared_anchors, answer)
+        blocks.select("block", F.explode("anchors").alias("a")).select("block", "a.*").groupBy("shard").applyInArrow(_shared_anchors(HOT_PLACES), answer)
     )
     # Both uses of this join share one shuffle of the blocks.
     informed = blocks.drop("anchors").join(by_block(shared, "shard", "told", into="shared"), "block", "left")

@@ -157,13 +157,14 @@ def test_quality_model_equals_direct_density():
     assert np.allclose(model.score(x), 1 / (1 + np.exp(logs[0] - logs[1])))
 
 
-def test_packing_round_trip(docs, rows, odd_docs, no_docs):
+def test_packing_round_trip(docs, rows, odd_docs, no_docs, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    for window, queues in ((64, 256), (4096, 2)):
-        got = packing.pack(docs, window=window, max_queues=queues).collect()
+    for window, largest in ((64, 255), (4096, 1)):
+        monkeypatch.setattr(packing, "LARGEST", largest)
+        got = packing.pack(docs, window=window).collect()
         ids, windows = {}, {}
         for r in sorted(got, key=lambda r: r.start):
             own = ids.setdefault(r.doc_id, [])
@@ -182,6 +183,34 @@ def test_packing_round_trip(docs, rows, odd_docs, no_docs):
     assert packing.pack(no_docs).collect() == []
 
 
+def test_every_source_of_many_keeps_its_share(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LARGEST", 4)
+    monkeypatch.setattr(packing, "BRANCHES", 5)
+    rows = [(i, "word " * (3 if i % 1200 else 30), f"site {i % 1200}") for i in range(12_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = packing.pack(frame, window=64, weights={"site 7": 0.01, "nowhere": 5.0}).select("doc_id", "source", "start", "length", "sequence_id", "offset", "block", "row").collect()
+    total = sum(r.length for r in got)
+    taken = sorted((r.sequence_id * 64 + r.offset, r.length) for r in got)
+    assert [at for at, _ in taken] == np.cumsum([0] + [n for _, n in taken])[:-1].tolist() and len({(r.block, r.row) for r in got}) == 12_000
+    own = {}
+    for r in got:
+        own.setdefault(r.source, []).append((r.sequence_id * 64 + r.offset, r.length))
+    spread = 0
+    for source, pieces in own.items():
+        if source != "site 7":
+            size, half = sum(n for _, n in pieces), sum(n for at, n in pieces if at < total / 2)
+            spread = max(spread, abs(half - size / 2))
+    assert len(own) == 1200 and spread <= 16  # of 40 tokens; a third or half of its node's tokens are one window of the node
+    # a hundredth of all tokens until it is dry
+    assert max(at for at, _ in own["site 7"]) < 6000 < total / 8
+
+
+def test_weights_that_pack_nothing_raise(docs):
+    for w in (0.0, -1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="positive"):
+            packing.pack(docs, weights={"a": w})
+
+
 def test_packing_words_are_exact():
     import random
 
