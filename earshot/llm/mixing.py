@@ -3,18 +3,22 @@
 Each source has a mean repetition rate, its target share of the corpus over its actual share. Each
 document draws its number of copies by inverting the Poisson distribution at a point in [0, 1) that a
 hash of seed and id fixes, so that a rerun or a lost executor changes nothing; copies then go to places
-given by another hash.
+given by another hash. The place itself names the partition, so nothing is sampled and nothing is drawn twice.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_length
+from .common import byte_length, cut, free_name
 
 #: Rates above this are split into equal parts with draws of their own (a sum of Poissons is Poisson).
 PART = 200.0
+#: Rates of all sources are broadcast up to so many bytes of names and numbers; beyond that they are joined.
+BROADCAST_BYTES = 8 << 20
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -41,17 +45,21 @@ def rates(docs: DataFrame, *, source_col: str, text_col: str, temperature: float
     """(source, rate) with null as a source of its own.
 
     A source's target share is its entry of ``weights`` (0 if missing), or else its share of the bytes
-    to the power ``temperature``, scaled to one. Sources without a byte have rate ``epochs``.
+    to the power ``temperature``, scaled to one. Sources without a byte have rate ``epochs``. Where no
+    source that has a byte is wanted, those that have one get rate 0. Weights and ``epochs`` must be
+    finite and not negative, others raise.
     """
+    if any(not 0 <= x < math.inf for x in (epochs, *(weights or {}).values())):
+        raise ValueError("weights and epochs must be finite and not negative")
     sizes = docs.groupBy(F.col(source_col).alias("_source")).agg(F.sum(byte_length(text_col)).cast("double").alias("_bytes"))
     if weights is None:
         wanted = F.when(F.col("_bytes") > 0, F.pow("_bytes", F.lit(temperature))).otherwise(0.0)
     else:
-        given = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))])
-        wanted = F.coalesce(F.element_at(given, F.col("_source")), F.lit(0.0))
+        given = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]) if weights else None
+        wanted = F.lit(0.0) if given is None else F.when(F.col("_bytes") > 0, F.coalesce(F.element_at(given, F.col("_source")), F.lit(0.0))).otherwise(0.0)
     sizes = sizes.withColumn("_wanted", wanted)
     total = sizes.agg(F.sum("_bytes").alias("_all"), F.sum("_wanted").alias("_all_wanted"))
-    share = F.col("_wanted") / F.col("_all_wanted")
+    share = F.coalesce(F.try_divide("_wanted", "_all_wanted"), F.lit(0.0))
     rate = F.when(F.col("_bytes") > 0, F.lit(epochs) * share * F.col("_all") / F.col("_bytes")).otherwise(F.lit(epochs))
     return sizes.crossJoin(F.broadcast(total)).select("_source", rate.alias("rate"))
 
@@ -76,10 +84,13 @@ def replicate(
     gives an empty table. Existing columns named like the new ones are replaced.
     """
     kept = [c for c in (columns or docs.columns) if c not in ("rate", "copies", "copy", "place")]
-    by_source = rates(docs, source_col=source_col, text_col=text_col, temperature=temperature, weights=weights, epochs=epochs)
-    rows = docs.select(*{*kept, source_col, id_col}).withColumn("_k", F.col(source_col))
-    # A row per source: Spark broadcasts it while small, else joins by source and splits a hot one.
-    rated = rows.join(by_source, F.col("_k").eqNullSafe(F.col("_source")))
+    by_source = cut(rates(docs, source_col=source_col, text_col=text_col, temperature=temperature, weights=weights, epochs=epochs))
+    if (by_source.agg(F.sum(byte_length("_source") + 16)).first()[0] or 0) <= BROADCAST_BYTES:
+        by_source = F.broadcast(by_source)
+    rows = docs.select(*{*kept, source_col, id_col})
+    key = free_name("_source", rows)
+    # Documents stay where they were read; with too many sources they are joined by source, and Spark splits a hot one.
+    rated = rows.drop("rate").join(by_source.withColumnRenamed("_source", key), rows[source_col].eqNullSafe(F.col(key)))
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
     drawn = F.aggregate(
         F.sequence(F.lit(0), parts - 1),
@@ -92,5 +103,6 @@ def replicate(
 
 
 def shuffled(copies: DataFrame, partitions: int) -> DataFrame:
-    """``copies`` in the order of ``place`` over range partitions of about equal size."""
-    return copies.repartitionByRange(partitions, "place").sortWithinPartitions("place")
+    """``copies`` in the order of ``place`` over partitions of about equal size, by ranges of ``place``."""
+    part = F.least(F.floor(F.col("place") * partitions), F.lit(partitions - 1)).cast("int")
+    return copies.repartitionById(partitions, part).sortWithinPartitions("place")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, media, mixing, ngram_lm, packing, quality, sharding, simhash, substrings, topk
-from .common import byte_length, cut, shuffle_width, table
+from .common import byte_length, shuffle_width, table
 
 SHARDS = 24
 
@@ -48,10 +48,10 @@ def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of all documents that bring the sources to shares tempered by 0.7, at one epoch."""
     docs = table(spark, sf_dir, "documents")
-    copies = mixing.replicate(docs, temperature=0.7, epochs=1.0)
-    # Whole documents are shuffled and stored; without the cut Spark would leave their texts out.
-    copies = cut(mixing.shuffled(copies, shuffle_width(spark)))
-    return copies.select("doc_id", "source", F.round("rate", 9).alias("rate"), F.col("copies").cast("long"), F.col("copy").cast("long"), "place")
+    copies = mixing.shuffled(mixing.replicate(docs, temperature=0.7, epochs=1.0), shuffle_width(spark))
+    # Digests of the shuffled documents, so that Spark cannot leave any column out of the shuffle.
+    digests = (F.md5(F.col("text").cast("binary")).alias("text_md5"), byte_length("text").alias("text_bytes"), "lang", "n_chars")
+    return copies.select("doc_id", "source", F.round("rate", 9).alias("rate"), F.col("copies").cast("long"), F.col("copy").cast("long"), "place", *digests)
 
 
 def op7_columnar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,8 +157,10 @@ steps AS (
   SELECT doc_id, source, rate, u, p * rate / (k + 1), cdf + p * rate / (k + 1), k + 1 FROM steps WHERE cdf <= u),
 counted AS (SELECT doc_id, source, rate, k AS copies FROM steps WHERE cdf > u AND k > 0)
 SELECT doc_id, source, round(rate, 9) AS rate, copies::BIGINT AS copies, c::BIGINT AS copy,
-  ('0x' || substr(md5('mix-1-place:' || coalesce(doc_id::VARCHAR, 'null') || ':' || c), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS place
+  ('0x' || substr(md5('mix-1-place:' || coalesce(doc_id::VARCHAR, 'null') || ':' || c), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS place,
+  text_md5, text_bytes, lang, n_chars
 FROM (SELECT *, unnest(range(copies)) AS c FROM counted)
+JOIN (SELECT doc_id, md5(text) AS text_md5, coalesce(strlen(text), 0) AS text_bytes, lang, n_chars FROM documents) USING (doc_id)
 """,
     "op7_columnar_topk": """
 WITH vectors AS (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, shuffle_width
+from .common import cut, free_name, shuffle_width
 
 #: Fixed value: multiplier of the published jump hash's linear congruential generator (increment 1).
 MULTIPLIER = 2862933555777941757
@@ -51,15 +51,17 @@ def shard(docs: DataFrame, shards: int, *, id_col: str = "doc_id", into: str = "
     """``docs`` with its shard, and the shard it would have with one shard more.
 
     An integer id is the key itself; any other type is hashed first. Rows with a null id go where key 0
-    goes. Equal ids always share a shard. Adding a shard moves rows only into the new one.
+    goes. Equal ids always share a shard. Adding a shard moves rows only into the new one. Columns of ``docs``
+    that are named ``into`` or ``grown`` are replaced; all others are kept.
     """
     kind = docs.schema[id_col].dataType
     whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     key = F.col(id_col).cast("long") if whole else F.xxhash64(id_col)
     key = F.coalesce(F.when(F.col(id_col).isNotNull(), key), F.lit(0).cast("long"))
     halves = F.struct(F.shiftrightunsigned(key, 32).alias("hi"), key.bitwiseAND(F.lit(MASK)).alias("lo"))
-    out = docs.withColumn("_key", halves).withColumn("_jump", F.expr(jump_sql("_key", shards)))
-    return out.withColumn(into, F.col("_jump.shard")).withColumn(grown, F.col("_jump.grown")).drop("_key", "_jump")
+    key_name, jump = free_name("_key", docs), free_name("_jump", docs)
+    out = docs.withColumn(key_name, halves).withColumn(jump, F.expr(jump_sql(key_name, shards)))
+    return out.withColumns({into: F.col(jump)["shard"], grown: F.col(jump)["grown"]}).drop(key_name, jump)
 
 
 def with_slots(sharded: DataFrame, *, order: list[str], shard_col: str = "shard", into: str = "slot") -> DataFrame:
@@ -67,16 +69,15 @@ def with_slots(sharded: DataFrame, *, order: list[str], shard_col: str = "shard"
 
     The rows are dealt by range of ``order``; rows are numbered inside each piece of a shard that a range
     holds, and the sizes of the pieces, a small table, are summed up to each piece's first position.
-    Rows equal in all of ``order`` are numbered in any order; nulls come first.
+    Rows equal in all of ``order`` are numbered in any order; nulls come first. A column named ``into`` is
+    replaced (it may still be one to order by); all others are kept.
     """
-    ranged = cut(sharded.repartitionByRange(shuffle_width(sharded.sparkSession), *order).withColumn("_range", F.spark_partition_id()))
-    sizes = ranged.groupBy(shard_col, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(shard_col).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select(shard_col, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy(shard_col, "_range").orderBy(*order)
-    numbered = ranged.withColumn("_at", F.row_number().over(within) - 1)
-    return (
-        numbered.join(firsts, [shard_col, "_range"])
-        .withColumn(into, (F.col("_first") + F.col("_at")).cast("long"))
-        .drop("_range", "_first", "_at")
-    )
+    part, first, at = (free_name(n, sharded) for n in ("_range", "_first", "_at"))
+    ranged = cut(sharded.repartitionByRange(shuffle_width(sharded.sparkSession), *order).withColumn(part, F.spark_partition_id()))
+    sizes = ranged.groupBy(shard_col, part).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(shard_col).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select(shard_col, part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first))
+    within = Window.partitionBy(shard_col, part).orderBy(*order)
+    numbered = ranged.withColumn(at, F.row_number().over(within) - 1)
+    placed = numbered.join(firsts, [shard_col, part]).withColumn(into, (F.col(first) + F.col(at)).cast("long")).drop(part, first, at)
+    return placed.select(*dict.fromkeys([*sharded.columns, into]))

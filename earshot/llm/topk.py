@@ -111,10 +111,10 @@ def top_k(
     """(query_id, rank, vec_id, score): the k best of all other rows for each row with id % query_every = 0.
 
     Ties go to the smaller id. A query with fewer than k other rows gets them all. Rows that share the
-    query's id count as its own. Repeated rows of another id are each a candidate. Empty tables give
-    no rows. Queries and candidates meet in blocks; no block grows with the data.
+    query's id count as its own. Of rows with one id the one with the greatest vector, compared component by
+    component, takes part, so repeated rows are one query and one candidate. Empty tables give no rows. Queries and candidates meet in blocks; no block grows with the data.
     """
-    rows = cut(quantised(vectors, id_col=id_col, vec_col=vec_col, scale=scale))
+    rows = cut(quantised(vectors, id_col=id_col, vec_col=vec_col, scale=scale).groupBy("vec_id").agg(F.max("v").alias("v")))
     asked = rows.where(F.col("vec_id") % query_every == 0)
     n, n_asked = rows.count(), asked.count()
     candidates = blocks(rows, rows_per_block, n)

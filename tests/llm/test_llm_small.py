@@ -599,16 +599,45 @@ def test_cells_of_any_size(sizes):
     assert pairs == sum(n * (n - 1) // 2 if n <= simhash.SMALL_CELL else n - 1 for n in sizes)
 
 
-def test_op6_shuffles_whole_documents(docs, spark, tmp_path, monkeypatch):
+def test_op6_shuffles_whole_documents(docs, spark, tmp_path):
     """What is stored after the shuffle holds each copy's own text and all other columns, in the order of place."""
     from earshot.llm import queries
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    stored, cut = [], queries.__dict__.get("cut", lambda df: df)
-    monkeypatch.setattr(queries, "cut", lambda df: stored.append(cut(df)) or stored[-1], raising=False)
-    listed = queries.op6_poisson_mixing(spark, str(tmp_path)).collect()
-    (whole,) = stored
-    rows = whole.collect()
+    listed = queries.op6_poisson_mixing(spark, str(tmp_path))
     want = {r.doc_id: r for r in docs.collect()}
-    assert [r.place for r in rows] == sorted(r.place for r in rows) and len(rows) == len(listed) > 0
+    for r in listed.collect():
+        text = want[r.doc_id].text
+        assert r.text_md5 == (None if text is None else hashlib.md5(text.encode()).hexdigest()) and r.text_bytes == len((text or "").encode())
+        assert (r.lang, r.n_chars) == (want[r.doc_id].lang, want[r.doc_id].n_chars)
+    plan = listed._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" in plan[: plan.index("RepartitionByExpression")] and "text#" in plan[plan.index("RepartitionByExpression") :]
+    rows = mixing.shuffled(mixing.replicate(docs), 7).withColumn("part", F.spark_partition_id()).collect()
+    assert [r.place for r in rows] == sorted(r.place for r in rows) and all(r.part == int(r.place * 7) for r in rows)
     assert all(r[c] == want[r.doc_id][c] for r in rows for c in docs.columns)
+
+
+def test_mixing_of_odd_weights_and_names(docs, no_docs):
+    clash = docs.withColumn("rate", F.lit("old")).withColumn("_source", F.lit("mine")).withColumn("COPIES", F.lit(1))
+    got = mixing.replicate(clash, temperature=1.0).collect()
+    assert len(got) > 0 and all(r["_source"] == "mine" and r["rate"] == pytest.approx(1.0) for r in got)
+    assert mixing.replicate(docs, weights={"elsewhere": 1.0}).where("source is not null").count() == 0
+    assert mixing.replicate(no_docs, weights={}).count() == 0
+    for w in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="not negative"):
+            mixing.replicate(docs, weights={"a": w})
+
+
+def test_shards_and_slots_keep_columns_of_their_names(spark):
+    frame = spark.createDataFrame([(i, f"{i}", i, "x", "y") for i in range(50)], "doc_id long, _key string, _jump long, shard string, slot string")
+    frame = frame.withColumn("_range", F.lit("r")).withColumn("_first", F.lit("f")).withColumn("_at", F.lit("a"))
+    got = sharding.with_slots(sharding.shard(frame, 3), order=["doc_id"])
+    assert got.columns == [*frame.columns, "grown_shard"]
+    for r in got.collect():
+        assert (r["_key"], r["_jump"], r["_range"], r["_first"], r["_at"]) == (str(r.doc_id), r.doc_id, "r", "f", "a") and r.shard in (0, 1, 2) and r.slot < 50
+
+
+def test_topk_of_repeated_rows(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, [0.5, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2, query_every=20).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(20, 1, 1, 64 * 128), (20, 2, 2, 64 * 64)]
