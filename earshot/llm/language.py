@@ -15,8 +15,10 @@ from .common import fold_of, in_small_batches
 UNDETERMINED = "und"
 #: n-grams gathered at a time while a text is scored; bounds memory, not the text.
 CHUNK = 1 << 18
-#: The model is a matrix of ``buckets`` by languages; more languages than this are refused, not dropped.
-MAX_LANGUAGES = 4096
+#: Bytes of the matrix of ``buckets`` by languages, single floats; with more languages learning is refused, none is dropped.
+MAX_MODEL_BYTES = 128 << 20
+#: Buckets whose logarithms are widened to double floats at a time.
+WIDENED = 1024
 
 
 def gram_buckets(text: str, orders: tuple[int, ...], buckets: int) -> Iterator[np.ndarray]:
@@ -72,8 +74,8 @@ def language_scores(
     Learns from every row outside fold 0 whose text and language are set. ``score`` is the posterior of
     the predicted language given equal n-gram evidence; ties go to the language first in order.
     Null texts and texts without a letter are ``und`` with score 0, and so is everything if no language
-    was learned. The counts are summed by Spark; the driver holds the matrix, ``buckets`` times the
-    number of languages (at most MAX_LANGUAGES).
+    was learned. The counts are summed by Spark; the driver holds and broadcasts the matrix, ``buckets``
+    times the number of languages: MAX_MODEL_BYTES at most (2048 languages), more languages raise.
     """
     held = fold_of(id_col, folds) == 0
     taught = in_small_batches(docs).where(~held & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
@@ -88,10 +90,10 @@ def language_scores(
     learned = {}
     for r in counted.toLocalIterator():
         learned[r.lang] = (np.array([c.bucket for c in r.cells]), np.array([c.n for c in r.cells], dtype=np.float64))
-        if len(learned) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        if 4 * buckets * len(learned) > MAX_MODEL_BYTES:
+            raise ValueError(f"{len(learned)} languages take more than {MAX_MODEL_BYTES} bytes; use fewer buckets")
     langs = sorted(learned)
-    logs = np.zeros((buckets, len(langs)))
+    logs = np.zeros((buckets, len(langs)), np.float32)
     prior = np.zeros(len(langs))
     for i, lang in enumerate(langs):
         at, n = learned[lang]
@@ -100,7 +102,7 @@ def language_scores(
         full[at[1:]] += n[1:]
         logs[:, i] = np.log(full / full.sum())
     prior = np.log(prior / prior.sum()) if len(langs) else prior
-    shared = docs.sparkSession.sparkContext.broadcast(logs.astype(np.float32))
+    shared = docs.sparkSession.sparkContext.broadcast(logs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -117,7 +119,9 @@ def language_scores(
                     if len(found) < buckets // 4:
                         total += table[found].sum(0, dtype=np.float64)
                     else:
-                        total += np.bincount(found, minlength=buckets) @ table.astype(np.float64)
+                        n = np.bincount(found, minlength=buckets)
+                        for at in range(0, buckets, WIDENED):
+                            total += n[at : at + WIDENED] @ table[at : at + WIDENED].astype(np.float64)
                 best = int(total.argmax())
                 preds.append(langs[best])
                 scores.append(float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum()))

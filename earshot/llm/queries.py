@@ -76,7 +76,7 @@ def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring(F.col("payload"), payload - 63, F.lit(64))).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(":", F.concat_ws("x", "width", "height"), F.md5("rgb")).alias("feature"),
+        "feature",
     )
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -143,6 +144,42 @@ def test_quality_learns_and_takes_anything(spark, docs, odd_docs, no_docs, sf_di
     assert quality.keep_good(odd_docs, none, threshold=0.6).columns == odd_docs.columns
 
 
+def plain_statistics(text):
+    raw = (text or "").encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", raw) if w]
+    odds = lambda a, n: math.log((min(a, n) + 0.5) / (n - min(a, n) + 0.5))
+    share = [n / len(raw) for n in Counter(raw).values()]
+    symbols = sum(33 <= c < 127 and not (48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123) and c not in b".,|" for c in raw)
+    n = len(words)
+    return [
+        math.log1p(n), math.log1p(sum(map(len, words)) / max(n, 1)), math.log((len(set(words)) + 1) / (n + 1)),
+        odds(sum(65 <= c < 91 for c in raw), sum(c >= 65 for c in raw)), odds(sum(48 <= c < 58 for c in raw), len(raw)), odds(symbols, len(raw)),
+        odds(raw.count(b"|"), n), odds(raw.count(b"."), n), odds(raw.count(b","), n), odds(sum(a == b for a, b in zip(words, words[1:])), n),
+        odds(max([words.count(w) for w in set(words)], default=0), n), -sum(p * math.log2(p) for p in share), odds(raw.count(b"\n"), n), odds(sum(65 <= w[0] < 91 for w in words), n),
+    ]
+
+
+def test_quality_equals_a_plain_discriminant(spark, docs, rows):
+    """Statistics, sums over partitions and scores against plain loops and scipy-free matrix inverses."""
+    for text in ("", None, "A  b\tc\nA A | x,y. 12% É", *(t for _, t, *_ in rows[:40])):
+        assert quality.statistics(text) == pytest.approx(plain_statistics(text), abs=1e-9)
+    labels = [(i, 1 if len(t or "") % 3 else 0, 0) for i, t, *_ in rows if i % 7]
+    frame = spark.createDataFrame([*labels, (1, None, 0), (2, 5, 0)], "doc_id long, quality int, toxic int")
+    x, y = (np.array(v) for v in zip(*((plain_statistics(rows[i][1]), c) for i, c, _ in labels if zlib.crc32(str(i).encode()) % 5)))
+    covs = {c: np.cov(x[y == c].T, bias=True) for c in (0, 1)}
+    pooled = sum((y == c).mean() * covs[c] for c in (0, 1))
+    logs = []
+    for c in (0, 1):
+        s = 0.95 * covs[c] + 0.05 * pooled
+        s = 0.95 * s + 0.05 * np.diag(np.diag(s)) + 1e-3 * np.eye(len(s))
+        d = np.array([plain_statistics(t) for _, t, *_ in rows]) - x[y == c].mean(0)
+        logs.append(math.log((y == c).mean()) - np.linalg.slogdet(s)[1] / 2 - (d @ np.linalg.inv(s) * d).sum(1) / 2)
+    got = {r.doc_id: r for r in quality.quality_scores(docs, frame).collect()}
+    want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+    for (i, *_), w in zip(rows, want):
+        assert got[i].score == pytest.approx(w, abs=1e-6) and got[i].predicted == int(got[i].score >= 0.3)
+
+
 def test_quality_model_equals_direct_density():
     r = np.random.default_rng(5)
     x = r.normal(size=(200, 4)) @ np.diag([1, 2, 3, 0.5])
@@ -299,6 +336,95 @@ def test_language(spark, docs, odd_docs, no_docs, sf_dir):
     assert language.language_scores(odd_docs).count() == 4 and language.language_scores(no_docs).count() == 0
 
 
+def plain_buckets(text, orders, buckets):
+    s = " " + " ".join(text.lower().split()) + " "
+    for n in orders:
+        for i in range(len(s) - n + 1):
+            h = n * 0x9E3779B97F4A7C15 % 2**64
+            for c in s[i : i + n]:
+                h = (h ^ ord(c)) * 0xFF51AFD7ED558CCD % 2**64
+                h ^= h >> 32
+            yield h % buckets
+
+
+def test_language_equals_plain_bayes(spark, sf_dir):
+    """Predictions and scores of a plain multinomial naive Bayes, text by text."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 4 = 0")
+    rows = [(r.doc_id, r.text, r.lang) for r in d.collect()] + [(900001, "", "en"), (900002, None, "en"), (900003, "123 ...", None), (900004, "ab", None)]
+    orders, buckets, alpha = (1, 2, 3), 512, 0.1
+    counts, texts = {}, Counter()
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 5 and text is not None and lang is not None:
+            texts[lang] += 1
+            own = counts.setdefault(lang, [0] * buckets)
+            for b in plain_buckets(text, orders, buckets):
+                own[b] += 1
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.language_scores(frame, buckets=buckets, orders=orders, alpha=alpha).collect()}
+    logs = {k: [math.log((c + alpha) / (sum(v) + alpha * buckets)) for c in v] for k, v in counts.items()}
+    for i, text, _ in rows:
+        if text is None or not any(c.isalpha() for c in text):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        grams = Counter(plain_buckets(text, orders, buckets))
+        total = {k: math.log(texts[k] / sum(texts.values())) + sum(n * logs[k][b] for b, n in grams.items()) for k in sorted(counts)}
+        best = max(total, key=total.get)
+        assert got[i].lang_pred == best and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert got[i].score == pytest.approx(1 / sum(math.exp(max(-700, v - total[best])) for v in total.values()), abs=1e-4)
+
+
+def test_too_many_languages_raise(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_MODEL_BYTES", 4 * 512 * 3)
+    frame = spark.createDataFrame([(i, "some text", f"l{i % 7}") for i in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        language.language_scores(frame, buckets=512)
+
+
+def plain_pictures(payload):
+    """RGB pixels, row by row, of a payload's 4:2:0 picture: sums of cosines, replicated chroma, the colour equations in floats."""
+    blocks = [[b if b >= 128 else b - 255 for b in payload[a : a + 64]] for a in range(0, len(payload), 64)]
+    wide, high = jpeg.shape_of(len(blocks))
+    blocks += [[0] * 64] * (6 * wide * high - len(blocks))
+    zigzag = sorted(((y, x) for y in range(8) for x in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))
+    wave = [[(math.sqrt(0.125) if u == 0 else 0.5) * math.cos((2 * x + 1) * u * math.pi / 16) for u in range(8)] for x in range(8)]
+
+    def sample(own, columns, y, x):
+        b = blocks[own + y // 8 * columns + x // 8]
+        v = sum(c * wave[y % 8][fy] * wave[x % 8][fx] for c, (fy, fx) in zip(b, zigzag) if c)
+        return min(255, max(0, math.floor(v + 128.5 + 1e-6)))
+
+    cb, cr = 4 * wide * high, 5 * wide * high
+    out = []
+    for y in range(16 * high):
+        for x in range(16 * wide):
+            l, u, v = sample(0, 2 * wide, y, x), sample(cb, wide, y // 2, x // 2) - 128, sample(cr, wide, y // 2, x // 2) - 128
+            out.append([min(255, max(0, round(z))) for z in (l + 1.402 * v, l - 0.344136 * u - 0.714136 * v, l + 1.772 * u)])
+    return 16 * wide, 16 * high, out
+
+
+def test_jpeg_pictures_and_features_equal_a_plain_decoder():
+    r = np.random.default_rng(3)
+    payloads = [r.integers(118, 138, 64 * n, dtype=np.uint8).tobytes() for n in (1, 9, 14)] + [bytes(64)]
+    for p, (back, tensor) in zip(payloads, zip(*jpeg.read_payloads(jpeg.write_payloads(payloads)))):
+        wide, high, pixels = plain_pictures(p)
+        assert back == p and tensor.shape == (high, wide, 3) and np.abs(tensor.reshape(-1, 3).astype(int) - pixels).max() <= 1
+        flat = tensor.reshape(-1, 3).tolist()
+        bright = [(299 * a + 587 * b + 114 * c) // 1000 for a, b, c in flat]
+        bins = Counter(v >> 5 for v in bright)
+        cell = lambda i, j: [bright[y * wide + x] for y in range(i * high // 8, (i + 1) * high // 8) for x in range(j * wide // 9, (j + 1) * wide // 9)]
+        grid = [[sum(c) // len(c) for c in (cell(i, j) for j in range(9))] for i in range(8)]
+        bits = "".join("1" if b > a else "0" for row in grid for a, b in zip(row, row[1:]))
+        means = ",".join(str(sum(x) // len(flat)) for x in zip(*flat))
+        assert media.picture_features(tensor) == f"{wide}x{high} mean {means} bins {','.join(str(bins[i]) for i in range(8))} dhash {int(bits, 2):016x}"
+
+
+def test_texts_too_long_for_a_picture_raise(docs, monkeypatch):
+    batch = pa.record_batch([pa.array([1]), pa.array([b"x" * 500], pa.binary())], ["doc_id", "raw"])
+    monkeypatch.setattr(media, "MAX_SIDE", 16)
+    with pytest.raises(ValueError, match="too long"):
+        list(media._write(iter([batch])))
+
+
 def test_jpeg_round_trip_and_features(docs, rows, odd_docs, no_docs):
     got = {r.doc_id: r for r in media.from_media(media.to_media(docs)).collect()}
     for i, text, *_ in rows:
