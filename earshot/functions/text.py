@@ -55,19 +55,24 @@ def jaro_winkler_of(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
+# Each distinct value of a batch is worked out once: names repeat.
+
+
 @F.pandas_udf(T.StringType())
 def normalize_name(names: pd.Series) -> pd.Series:
-    return names.map(normalized)
+    return names.map({n: normalized(n) for n in names.unique()})
 
 
 @F.pandas_udf(T.StringType())
 def romanize_name(names: pd.Series) -> pd.Series:
-    return names.map(roman.romanize)
+    return names.map({n: roman.romanize(n) for n in names.unique()})
 
 
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler_of(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+    pairs = [(x or "", y or "") for x, y in zip(a, b)]
+    known = {p: jaro_winkler_of(*p) for p in set(pairs)}
+    return pd.Series([known[p] for p in pairs], dtype="float64")
 
 
 def edit_ratio(a: Column, b: Column) -> Column:

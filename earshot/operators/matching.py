@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import best_similarity, duration_similarity, jaccard, normalized, trigrams, version_mismatch
+from .numbering import cut
 
 # Weights and bands of the score.
 NAME, ARTIST, DURATION, TRACKS = 0.6, 0.3, 0.1, 0.3
 ACCEPT, SUGGEST, MARGIN, PENALTY = 0.82, 0.6, 0.15, 0.5
 TRIGRAM_FLOOR, CANDIDATES = 0.3, 10
+#: Share of a query's words that a document must hold for the word matcher.
+WORD_FLOOR = 0.5
 #: Names that stand for nobody in particular.
 NOBODY = ("various artists", "unknown artist")
 
@@ -38,29 +41,89 @@ def trigram_matches(queries: DataFrame, names: DataFrame, limit: int | None = CA
     return out.withColumn("rank", best).where(F.col("rank") <= limit)
 
 
+def _ids_of_names(similar: DataFrame, own: DataFrame, limit: int) -> DataFrame:
+    """(query, id, hint): the ``limit`` entities of ``own`` (id, name) with the most similar names, ties to the lower id.
+
+    Names are ranked first. A name is opened only if fewer than ``limit`` entities have a name that is more
+    similar, and then only for its ``limit`` lowest ids, so a name that very many entities bear costs no more
+    than any other.
+    """
+    lowest = own.withColumn("at", F.row_number().over(Window.partitionBy("name").orderBy("id"))).where(F.col("at") <= limit).select("id", "name")
+    bearers = lowest.groupBy("name").agg(F.count("*").alias("bearers"))
+    ranked = similar.join(bearers, "name")
+    # Sums over equal similarities run together: the bearers of names that are strictly more similar.
+    upto = Window.partitionBy("query").orderBy(F.desc("similarity"))
+    level = Window.partitionBy("query", "similarity")
+    needed = ranked.withColumn("above", F.sum("bearers").over(upto) - F.sum("bearers").over(level)).where(F.col("above") < limit)
+    rows = needed.select("query", "name", "similarity").join(lowest, "name")
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
+    return rows.withColumn("at", best).where(F.col("at") <= limit).select("query", "id", F.col("similarity").alias("hint"))
+
+
+def exact_matches(inputs: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(input_id, id): entities of the very name. Where an input has artists the entity must share one of them,
+    and then, where it has an ``album`` too, must be on it; ``album`` and the catalogue's ``albums`` may be missing."""
+    by_artist = inputs.where(F.size(F.coalesce("artists", F.array().cast("array<string>"))) > 0)
+    scope = [c for c in ("album",) if c in inputs.columns and "albums" in catalogue.columns]
+    mine = by_artist.select("input_id", "name", *scope, F.explode("artists").alias("artist"))
+    theirs = catalogue.select("id", "name", *(["albums"] if scope else []), F.explode("artists").alias("artist"))
+    found = mine.join(theirs, ["name", "artist"])
+    if scope:
+        found = found.where("album IS NULL OR array_contains(albums, album)")
+    anywhere = inputs.join(by_artist.select("input_id"), "input_id", "left_anti").select("input_id", "name").join(catalogue.select("id", "name"), "name")
+    return found.select("input_id", "id").unionByName(anywhere.select("input_id", "id")).distinct()
+
+
+def words(name: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+
+
+def word_matches(queries: DataFrame, documents: DataFrame, limit: int = CANDIDATES, floor: float = WORD_FLOOR) -> DataFrame:
+    """(query, id, hint): the documents (id, words) that hold the greatest share of a query's words, at least ``floor``, ties to the lower id.
+
+    An inverted index: a document at or above the floor holds one of the rarest 1 - floor of the query's words,
+    so only these are joined.
+    """
+    q = queries.select("query").distinct().withColumn("asked", words(F.col("query"))).where("size(asked) > 0")
+    index = documents.select("id", F.explode(F.array_distinct("words")).alias("word"))
+    spread = index.groupBy("word").agg(F.count("*").alias("documents"))
+    rarest = F.row_number().over(Window.partitionBy("query").orderBy("documents", "word"))
+    probes = q.select("query", F.size("asked").alias("size"), F.explode("asked").alias("word")).join(spread, "word", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
+    probes = probes.withColumn("at", rarest).where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * floor) + 1).where("documents > 0")
+    met = probes.select("query", "word").join(index, "word").select("query", "id").distinct()
+    shared = met.join(q, "query").join(documents.select("id", "words"), "id").select("query", "id", (F.size(F.array_intersect("asked", "words")) / F.size("asked")).alias("hint"))
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("hint"), "id"))
+    return shared.where(F.col("hint") >= floor).withColumn("at", best).where(F.col("at") <= limit).select("query", "id", "hint")
+
+
 def candidates(inputs: DataFrame, catalogue: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    """(input_id, id, hint): entities with the very name (hint 1) or a similar one, the larger hint kept.
+    """(input_id, id, hint): what all matchers find, the larger hint kept.
 
-    ``inputs`` has (input_id, name, name_normalized), ``catalogue`` (id, name, name_normalized, name_romanized).
+    ``inputs`` has (input_id, name, name_normalized, artists) and perhaps album, ``catalogue`` (id, name,
+    name_normalized, name_romanized, artists) and perhaps albums and words (what its documents hold beside the
+    names). The matchers are the very name within the artists given (hint 1), trigrams of either spelling, and
+    words. Work is done for distinct names.
     """
-    exact = inputs.select("input_id", "name").join(catalogue.select("id", "name"), "name").select("input_id", "id", F.lit(1.0).alias("hint"))
-    found = exact
+    found = exact_matches(inputs, catalogue).withColumn("hint", F.lit(1.0))
+    queries = inputs.select(F.col("name_normalized").alias("query")).where("query <> ''").distinct()
+    by_name = None
     for column in ("name_normalized", "name_romanized"):
-        own = catalogue.where(F.coalesce(F.col(column), F.lit("")) != "")
-        similar = trigram_matches(inputs.select(F.col("name_normalized").alias("query")), own.select(F.col(column).alias("name")), limit=None)
-        rows = (
-            inputs.select("input_id", F.col("name_normalized").alias("query")).join(similar, "query")
-            .join(own.select("id", F.col(column).alias("name")), "name").select("input_id", "id", F.col("similarity").alias("hint"))
-        )
-        best = F.row_number().over(Window.partitionBy("input_id").orderBy(F.desc("hint"), "id"))
-        found = found.unionByName(rows.withColumn("at", best).where(F.col("at") <= limit).drop("at"))
-    return found.groupBy("input_id", "id").agg(F.max("hint").alias("hint"))
+        own = catalogue.where(F.coalesce(F.col(column), F.lit("")) != "").select("id", F.col(column).alias("name"))
+        near = _ids_of_names(trigram_matches(queries, own.select("name"), limit=None), own, limit)
+        by_name = near if by_name is None else by_name.unionByName(near)
+    more = [F.col("words")] if "words" in catalogue.columns else []
+    held = F.flatten(F.array(words(F.col("name_normalized")), words(F.col("name_romanized")), *more))
+    by_name = by_name.unionByName(word_matches(queries, catalogue.select("id", held.alias("words")), limit))
+    by_name = by_name.groupBy("query", "id").agg(F.max("hint").alias("hint"))
+    similar = inputs.select("input_id", F.col("name_normalized").alias("query")).join(by_name, "query").select("input_id", "id", "hint")
+    return found.unionByName(similar).groupBy("input_id", "id").agg(F.max("hint").alias("hint"))
 
 
-def without_source(found: DataFrame, sources: DataFrame, entity_type: str, source_type: str) -> DataFrame:
-    """Candidates that do not carry the source type already: those are known there under another id."""
-    taken = sources.where((F.col("entity_type") == entity_type) & (F.col("source_type") == source_type)).select(F.col("entity_id").alias("id"))
-    return found.join(taken, "id", "left_anti")
+def without_source(found: DataFrame, inputs: DataFrame, sources: DataFrame, entity_type: str) -> DataFrame:
+    """Candidates that do not carry a source of the input's ``service`` already: those are known there under another id."""
+    taken = sources.where(F.col("entity_type") == entity_type).select(F.col("entity_id").alias("id"), F.col("source_type").alias("service")).distinct()
+    bad = found.join(inputs.where("service IS NOT NULL").select("input_id", "service"), "input_id").join(taken, ["id", "service"], "left_semi")
+    return found.join(bad.select("input_id", "id"), ["input_id", "id"], "left_anti")
 
 
 def score(name: Column, other: Column, artists: Column, other_artists: Column, duration: Column, other_duration: Column, tracks: Column | None = None, other_tracks: Column | None = None) -> Column:
@@ -92,10 +155,16 @@ def decide(scored: DataFrame) -> DataFrame:
     return picked.select("input_id", "id", "score", "runner_up", "final", "decision").unionByName(none)
 
 
-def resolve(inputs: DataFrame, catalogue: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+def resolve(inputs: DataFrame, catalogue: DataFrame, limit: int = CANDIDATES, sources: DataFrame | None = None, entity_type: str = "song") -> DataFrame:
     """A decision for each row of ``inputs`` (input_id, name, name_normalized, artists array<string>, duration_ms)
-    against ``catalogue`` (id, name, name_normalized, name_romanized, artists, duration_ms)."""
+    against ``catalogue`` (id, name, name_normalized, name_romanized, artists, duration_ms); see candidates for more columns.
+
+    With ``sources``, candidates that already have a source of the input's ``service`` are left out.
+    """
+    inputs, catalogue = cut(inputs), cut(catalogue)  # spellings are made once, however many matchers read them
     pairs = candidates(inputs, catalogue, limit).select("input_id", "id")
+    if sources is not None:
+        pairs = without_source(pairs, inputs, sources, entity_type)
     theirs = catalogue.select("id", F.col("name").alias("c_name"), F.col("artists").alias("c_artists"), F.col("duration_ms").alias("c_duration"))
     joined = inputs.join(pairs, "input_id", "left").join(theirs, "id", "left")
     value = score(F.col("name"), F.col("c_name"), F.col("artists"), F.col("c_artists"), F.col("duration_ms"), F.col("c_duration"))
@@ -108,6 +177,7 @@ def reconcile(catalogue: DataFrame, touched: DataFrame, entity_type: str, source
     Pinned entities are not judged. Two entities that one source knows under different ids are only
     suggested. The pinned side wins, else the lower id.
     """
+    catalogue = cut(catalogue)
     own = catalogue.join(touched.select("id"), "id", "left_semi").where(~F.col("pinned"))
     inputs = own.select(F.col("id").alias("input_id"), "name", "name_normalized", "artists", "duration_ms")
     pairs = candidates(inputs, catalogue, CANDIDATES + 1).where("input_id <> id").select("input_id", "id")
@@ -128,10 +198,10 @@ def reconcile(catalogue: DataFrame, touched: DataFrame, entity_type: str, source
 
 
 def prepared(catalogue: DataFrame) -> DataFrame:
-    """``catalogue`` with normalised names; see functions.text for romanised ones."""
+    """``catalogue`` with normalised and romanised names."""
     from ..functions.text import normalize_name, romanize_name
 
     return catalogue.withColumn("name_normalized", normalize_name("name")).withColumn("name_romanized", romanize_name("name"))
 
 
-__all__ = ["candidates", "decide", "normalized", "prepared", "reconcile", "resolve", "score", "trigram_matches", "without_source"]
+__all__ = ["candidates", "decide", "exact_matches", "normalized", "prepared", "reconcile", "resolve", "score", "trigram_matches", "without_source", "word_matches"]

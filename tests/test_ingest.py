@@ -53,6 +53,32 @@ def test_ingest(spark, lib):
     assert out.daily.count() > 0 and suggested.columns == ["entity_type", "lo_id", "hi_id", "score"]
 
 
+def test_one_track_is_one_song(spark, lib):
+    """Two titles of one new track are one song with one source; accepted names become aliases; a second run adds nothing."""
+    url = "https://www.deezer.com/track/77"
+    rows = [row(1, "First Title", ["The Makers"], url=url), row(2, "Quite Another", ["The Makers"], url=url), row(3, "red widget", ["The Makers"])]
+    frame = spark.createDataFrame(rows, LISTEN_INPUT)
+    out, _ = ingest.ingest(lib, frame)
+    assert out.songs.count() == 3 and {r.name for r in out.songs.collect()} >= {"First Title"}
+    own = out.sources.where("extracted_id = '77'").collect()
+    assert [(r.entity_id, r.correlation_method) for r in own] == [(3, "fuzzy_name")]
+    assert ("song", 1, "red widget") in {(r.entity_type, r.entity_id, r.alias) for r in out.aliases.collect()}
+    again, _ = ingest.ingest(out, frame)
+    for table in ("listens", "songs", "artists", "albums", "sources", "song_artists", "song_albums", "aliases"):
+        assert getattr(again, table).count() == getattr(out, table).count(), table
+
+
+def test_aliases_find_entities(spark, lib):
+    from dataclasses import replace
+
+    aliases = spark.createDataFrame([("song", 2, "Xylophone Dream")], "entity_type string, entity_id long, alias string")
+    known = ingest.known_entities(replace(lib, aliases=aliases), "song")
+    from earshot.operators import matching
+
+    inputs = spark.createDataFrame([(5, "Xylophone", "xylophone", [])], "input_id long, name string, name_normalized string, artists array<string>")
+    assert [r.id for r in matching.candidates(inputs, known).collect()] == [2]
+
+
 def test_ingest_of_nothing(spark, lib):
     out, suggested = ingest.ingest(lib, spark.createDataFrame([], LISTEN_INPUT))
     assert out.listens.count() == 1 and suggested.count() == 0

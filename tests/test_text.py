@@ -58,12 +58,12 @@ def test_version_mismatch(spark, a, b, want):
     assert one(spark, text.version_mismatch(F.lit(a), F.lit(b))) == want
 
 
-@pytest.mark.parametrize("raw,want", [("ヨルシカ", "yorushika"), ("きゃ", "kya"), ("ラーメン", "raamen"), ("がっこう", "gakkou"), ("しゃ", "sha"), ("ファン", "fan")])
+@pytest.mark.parametrize("raw,want", [("ヨルシカ", "yorushika"), ("きゃ", "kya"), ("ラーメン", "raamen"), ("がっこう", "gakkou"), ("しゃ", "sha"), ("ファン", "fan"), ("つぁ", "tsa"), ("ツォ", "tso"), ("っあ", "aa"), ("ンー", ""), ("っ", ""), ("っー", ""), ("きャ", ""), ("ぁ", ""), ("ア・イ", ""), ("ア!", "a!")])
 def test_kana(raw, want):
     assert romanize.romanize(raw) == want
 
 
-@pytest.mark.parametrize("raw,want", [("한글", "hangeul"), ("가", "ga"), ("abc", ""), ("漢字", ""), ("한é", "")])
+@pytest.mark.parametrize("raw,want", [("한글", "hangeul"), ("국각", "guggag"), ("값", "gabs"), ("앉", "anj"), ("가", "ga"), ("abc", ""), ("漢字", ""), ("한é", "")])
 def test_romanize(raw, want):
     assert romanize.romanize(raw) == want
 
