@@ -60,7 +60,11 @@ def library(spark: SparkSession, sf_dir: str) -> Library:
         .join(song.select(F.col("id").alias("song_id"), (F.col("duration_ms") * 600).alias("duration_ms")), "song_id")
         .select("user_id", "song_id", "started_at", "duration_ms")
     )
-    return Library(listens, song, artists, albums, song_artists, album_artists, song_albums, users, sources, blacklist, now_playing)
+    take = part.where("p_partkey % 5 = 0").select((F.col("p_partkey") * 2).alias("id"), F.lit("song").alias("entity_type"), F.col("p_partkey").alias("entity_id"), F.concat("p_type", F.lit(" take "), "p_size").alias("alias"))
+    aliases = take.unionByName(
+        supplier.where("s_suppkey % 4 = 0").select((F.col("s_suppkey") * 2 + 1).alias("id"), F.lit("artist").alias("entity_type"), F.col("s_suppkey").alias("entity_id"), F.concat(F.lit("The "), "s_name").alias("alias"))
+    )
+    return Library(listens, song, artists, albums, song_artists, album_artists, song_albums, users, sources, blacklist, now_playing, aliases)
 
 
 def big_listens(spark: SparkSession, sf_dir: str) -> DataFrame:

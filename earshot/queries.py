@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import fixtures
 from .functions import links, text
 from .library import Library
-from .operators import catalogue, history, matching, merging, rollups, stats
+from .operators import catalogue, history, ingest, matching, merging, rollups, stats
 from .plans.timeframe import Timeframe
 from .sources import export
 
@@ -36,6 +36,9 @@ TABLES = {
       CASE WHEN p_size % 5 <> 0 THEN p_size END::BIGINT AS track_number FROM part""",
     "album_artists": """SELECT album_id, artist_id, row_number() OVER (PARTITION BY album_id ORDER BY artist_id) - 1 AS position
       FROM (SELECT DISTINCT album_id, artist_id FROM song_albums JOIN song_artists USING (song_id))""",
+    "aliases": """SELECT id, entity_type, entity_id, alias FROM (
+      SELECT p_partkey * 2 AS id, 'song' AS entity_type, p_partkey AS entity_id, p_type || ' take ' || p_size AS alias FROM part WHERE p_partkey % 5 = 0
+      UNION ALL SELECT s_suppkey * 2 + 1, 'artist', s_suppkey, 'The ' || s_name FROM supplier WHERE s_suppkey % 4 = 0)""",
     "users": "SELECT c_custkey AS id, c_name AS username, c_acctbal > 0 AS public FROM customer",
     "sources": """SELECT id, 'song' AS entity_type, entity_id, source_type, source_type || '-' || entity_id AS extracted_id,
       CASE WHEN id % 2 = 0 THEN 'source_id' ELSE 'fuzzy_name' END AS correlation_method FROM (
@@ -444,15 +447,30 @@ query("stale_entities", "SELECT * FROM stamped WHERE updated_at < TIMESTAMP '202
 query("update_unless_pinned", "SELECT id, CASE WHEN id = 13 AND NOT pinned OR id = 14 AND NOT pinned THEN 'renamed' ELSE name END AS name, duration_ms, pinned FROM songs")(
     lambda lib: catalogue.update(catalogue.update(lib.songs, 13, True, name=F.lit("renamed")), 14, True, name=F.lit("renamed"))
 )
-query("delete_artist_links", "SELECT * FROM song_artists WHERE artist_id NOT IN (1, 2)")(
-    lambda lib: catalogue.delete_entity({"artists": lib.artists, "song_artists": lib.song_artists}, "artist", lib.artists.where("id IN (1, 2)").select("id"))["song_artists"].select("song_id", "artist_id", "position")
-)
+_TABLES_OF = {"artists": ["id"], "song_artists": ["song_id", "artist_id"], "album_artists": ["album_id", "artist_id"], "blacklist": ["user_id", "artist_id"], "aliases": ["entity_id", "entity_type"], "sources": ["entity_id", "entity_type"]}
+
+
+@query("delete_entity", """SELECT 'artists' AS t, id AS a, NULL::VARCHAR AS b FROM artists WHERE id NOT IN (1, 2, 4) UNION ALL SELECT 'song_artists', song_id, artist_id::VARCHAR FROM song_artists WHERE artist_id NOT IN (1, 2, 4)
+      UNION ALL SELECT 'album_artists', album_id, artist_id::VARCHAR FROM album_artists WHERE artist_id NOT IN (1, 2, 4) UNION ALL SELECT 'blacklist', user_id, artist_id::VARCHAR FROM blacklist WHERE artist_id NOT IN (1, 2, 4)
+      UNION ALL SELECT 'aliases', entity_id, entity_type FROM aliases WHERE entity_type <> 'artist' OR entity_id NOT IN (1, 2, 4) UNION ALL SELECT 'sources', entity_id, entity_type FROM sources""")
+def _delete_entity(lib: Library) -> DataFrame:
+    left = catalogue.delete_entity({t: getattr(lib, t) for t in _TABLES_OF}, "artist", lib.artists.where("id IN (1, 2, 4)").select("id"))
+    parts = [left[t].select(F.lit(t).alias("t"), F.col(c[0]).alias("a"), (F.col(c[1]).cast("string") if c[1:] else F.lit(None).cast("string")).alias("b")) for t, c in _TABLES_OF.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 query("blacklisted_artists", f"SELECT id, name FROM artists WHERE id IN (SELECT artist_id FROM blacklist WHERE user_id = {USER})")(
     lambda lib: lib.artists.join(lib.blacklist.where(F.col("user_id") == USER).select(F.col("artist_id").alias("id")), "id", "left_semi").orderBy("name")
 )
-query("search_documents", """SELECT 'song' AS kind, id, name, coalesce((SELECT string_agg(DISTINCT a.name, '|' ORDER BY a.name) FROM song_artists x JOIN artists a ON a.id = x.artist_id WHERE x.song_id = s.id), '') AS artists,
-      coalesce((SELECT string_agg(DISTINCT a.name, '|' ORDER BY a.name) FROM song_albums x JOIN albums a ON a.id = x.album_id WHERE x.song_id = s.id), '') AS albums FROM songs s""")(
-    lambda lib: export.search_documents(lib).where("kind = 'song'").select("kind", "id", "name", F.array_join("artists", "|").alias("artists"), F.array_join("albums", "|").alias("albums"))
+query("search_documents", """SELECT d.*, coalesce(x.aliases, '') AS aliases FROM (SELECT 'song' AS kind, id, name, coalesce((SELECT string_agg(DISTINCT a.name, '|' ORDER BY a.name) FROM song_artists x JOIN artists a ON a.id = x.artist_id WHERE x.song_id = s.id), '') AS artists,
+      coalesce((SELECT string_agg(DISTINCT a.name, '|' ORDER BY a.name) FROM song_albums x JOIN albums a ON a.id = x.album_id WHERE x.song_id = s.id), '') AS albums FROM songs s
+      UNION ALL SELECT 'album', id, name, coalesce((SELECT string_agg(DISTINCT a.name, '|' ORDER BY a.name) FROM album_artists x JOIN artists a ON a.id = x.artist_id WHERE x.album_id = b.id), ''), '' FROM albums b
+      UNION ALL SELECT 'artist', id, name, '', '' FROM artists) d
+      LEFT JOIN (SELECT entity_type, entity_id, string_agg(DISTINCT alias, '|' ORDER BY alias) AS aliases FROM aliases GROUP BY ALL) x ON x.entity_type = d.kind AND x.entity_id = d.id""")(
+    lambda lib: export.search_documents(lib).select("kind", "id", "name", *(F.array_join(c, "|").alias(c) for c in ("artists", "albums", "aliases")))
 )
 query("export_listens", f"SELECT song_id, listened_at, client, duration_played_ms FROM listens WHERE user_id = {USER} AND song_id IN (SELECT id FROM songs)")(lambda lib: export.export_listens(lib, USER))
 
@@ -468,17 +486,19 @@ def _merged(lib: Library) -> Library:
 
 query("merge_song_artists", """SELECT coalesce(winner_id, song_id) AS song_id, artist_id, arg_min(position, [(winner_id IS NOT NULL)::INTEGER, position]) AS position
       FROM song_artists LEFT JOIN losers ON loser_id = song_id GROUP BY 1, 2""", losers=_LOSERS)(lambda lib: _merged(lib).song_artists)
-query("merge_listens", """SELECT user_id, coalesce(winner_id, song_id) AS song_id, listened_at, count(DISTINCT id) > 0 AS kept FROM listens LEFT JOIN losers ON loser_id = song_id GROUP BY 1, 2, 3""", losers=_LOSERS)(
-    lambda lib: _merged(lib).listens.select("user_id", "song_id", "listened_at", F.lit(True).alias("kept"))
+_KEPT = """SELECT user_id, coalesce(winner_id, song_id) AS song_id, listened_at, id, client, duration_played_ms FROM listens LEFT JOIN losers ON loser_id = song_id
+  QUALIFY row_number() OVER (PARTITION BY user_id, coalesce(winner_id, song_id), listened_at ORDER BY winner_id IS NOT NULL, id) = 1"""
+query("merge_listens", "SELECT user_id, song_id, listened_at, id, client, duration_played_ms FROM moved", losers=_LOSERS, moved=_KEPT)(
+    lambda lib: _merged(lib).listens.select("user_id", "song_id", "listened_at", "id", "client", "duration_played_ms")
 )
 query("merge_sources", "SELECT id, entity_type, coalesce(winner_id, entity_id) AS entity_id, source_type, extracted_id, correlation_method FROM sources LEFT JOIN losers ON loser_id = entity_id", losers=_LOSERS)(
     lambda lib: _merged(lib).sources
 )
-query("merge_then_rebuild", """SELECT user_id, song_id, listened_at::DATE AS day, count(*) AS listen_count FROM (
-      SELECT DISTINCT user_id, coalesce(winner_id, song_id) AS song_id, listened_at FROM listens LEFT JOIN losers ON loser_id = song_id) JOIN songs s ON s.id = song_id
-      WHERE s.duration_ms IS NULL AND s.id NOT IN (SELECT loser_id FROM losers) GROUP BY ALL""", losers=_LOSERS)(
-    lambda lib: (lambda m: m.daily.join(m.songs.where("duration_ms IS NULL").select(F.col("id").alias("song_id")), "song_id", "left_semi").select("user_id", "song_id", "day", "listen_count"))(_merged(lib))
-)
+query("merge_then_rebuild", """SELECT user_id, song_id, listened_at::DATE AS day, count(*) AS listen_count, sum(coalesce(duration_played_ms, duration_ms, 0))::BIGINT AS played_ms
+      FROM moved JOIN songs s ON s.id = song_id WHERE s.id NOT IN (SELECT loser_id FROM losers) AND (coalesce(s.duration_ms, 0) <= 0
+      OR 2 * coalesce(duration_played_ms, s.duration_ms, 0) >= s.duration_ms OR coalesce(duration_played_ms, s.duration_ms, 0) >= 240000) GROUP BY ALL""", losers=_LOSERS, moved=_KEPT)(
+    lambda lib: _merged(lib).daily
+)
 query("merge_suggestions", """SELECT 'song' AS entity_type, least(a.id, b.id) AS lo_id, greatest(a.id, b.id) AS hi_id, 0.7::DOUBLE AS score FROM songs a JOIN songs b ON b.id = a.id + 1 AND a.name = b.name""")(
     lambda lib: merging.suggestions(
         lib.songs.select(F.col("id").alias("a"), "name").join(lib.songs.select((F.col("id") - 1).alias("a"), F.col("id").alias("b"), F.col("name").alias("n")), "a").where("name = n")
@@ -500,14 +520,14 @@ def _trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.join(y, "n_regionkey").select("a", "b", text.trigram_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
-@table_query("trigram_matches", f"""WITH names AS (SELECT DISTINCT p_name AS name FROM part), queries AS (SELECT DISTINCT p_name || ' live' AS query FROM part WHERE p_partkey % 7 = 0),
+@table_query("trigram_matches", f"""WITH names AS (SELECT DISTINCT p_name AS name FROM part), queries AS (SELECT DISTINCT p_name || ' live' AS query FROM part),
   pairs AS (SELECT query, name, {_GRAMS.format('query')} AS g, {_GRAMS.format('name')} AS h FROM queries, names),
   scored AS (SELECT query, name, {_SIMILARITY} AS similarity FROM pairs WHERE {_SIMILARITY} >= 0.3)
   SELECT query, name, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, name)::INTEGER AS rank FROM scored
   QUALIFY rank <= 10""")
 def _trigram_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = fixtures.read(spark, sf_dir, "part")
-    asked = part.where("p_partkey % 7 = 0").select(F.concat("p_name", F.lit(" live")).alias("query"))
+    asked = part.select(F.concat("p_name", F.lit(" live")).alias("query"))
     return matching.trigram_matches(asked, part.select(F.col("p_name").alias("name")))
 
 
@@ -525,22 +545,50 @@ def _token_set_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.join(after, "p_partkey").select("p_partkey", "a", "b", text.token_set_ratio(F.col("a"), F.col("b")).alias("ratio"))
 
 
-@table_query("normalize_names")
+# Marks go, letters and digits stay, runs of anything printed between them are one blank, the rest goes without a trace.
+@table_query("normalize_names", """SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '[\\p{P}\\p{S}\\p{Z}\\x09-\\x0D\\x1C-\\x1F\\x{85}]+', ' ', 'g'),
+  '[^\\p{L}\\p{Nd} ]', '', 'g'), ' +', ' ', 'g')) AS normalized FROM documents""")
 def _normalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fixtures.read(spark, sf_dir, "documents")
     return docs.select("doc_id", text.normalize_name(F.col("text")).alias("normalized"))
 
 
-@table_query("page_links", """SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, NULL::VARCHAR AS service FROM pages""")
-def _page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = fixtures.read(spark, sf_dir, "pages")
-    return pages.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1).alias("host"), links.service_of(F.col("url")).alias("service"))
+@table_query("page_hosts", """SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages""")
+def _page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1).alias("host"))
+
+
+#: Links made of a number: what stands before and behind the digits, how many digits, the service that knows them.
+_LINKS = [
+    ("https://open.spotify.com/track/", 22, "?si=x", "spotify"), ("http://www.deezer.com/fr/track/", 9, "", "deezer"), ("https://musicbrainz.org/recording/00000000-0000-4000-8000-", 12, "#a", "musicbrainz"),
+    ("https://music.youtube.com/watch?list=1&v=", 11, "&t=3", "ytmusic"), ("https://youtu.be/", 11, "", "ytmusic"), ("https://open.spotify.com/album/", 22, "", None), ("https://open.spotify.com/track/", 21, "", None),
+    ("https://open.spotify.com/intl-de/track/", 22, "/", "spotify"),
+]
+
 
+def _link_cases(take, otherwise: str) -> str:
+    return "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN {take(*x)}" for i, x in enumerate(_LINKS)) + f" ELSE {otherwise} END"
 
-_VERSIONS = " OR ".join(f"(position('{w}' IN lower(a)) > 0) <> (position('{w}' IN lower(b)) > 0)" for w in text.VERSION_WORDS)
 
+_URL = _link_cases(lambda before, digits, behind, service: f"'{before}' || lpad(p_partkey::VARCHAR, {digits}, '0') || '{behind}'", "''")
+_SERVICE = _link_cases(lambda before, digits, behind, service: f"'{service}'" if service else "NULL", "NULL")
+_TRACK_ID = _link_cases(lambda before, digits, behind, service: (f"'{before.rpartition('/')[2]}' || " if service == "musicbrainz" else "") + f"lpad(p_partkey::VARCHAR, {digits}, '0')" if service else "NULL", "NULL")
 
-@table_query("version_mismatch", f"SELECT p_partkey, ({_VERSIONS}) AS mismatch FROM (SELECT p_partkey, p_name || CASE WHEN p_partkey % 4 = 0 THEN ' (Live)' WHEN p_partkey % 4 = 1 THEN ' - Remaster' ELSE '' END AS a, p_name AS b FROM part)")
+
+@table_query("service_links", f"SELECT p_partkey, {_URL} AS url, {_SERVICE} AS service, {_TRACK_ID} AS track_id FROM part")
+def _service_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, url = F.col("p_partkey"), F.lit("")
+    for i, (before, digits, behind, _) in enumerate(_LINKS):
+        url = F.when(key % 8 == i, F.concat(F.lit(before), F.lpad(key.cast("string"), digits, "0"), F.lit(behind))).otherwise(url)
+    made = fixtures.read(spark, sf_dir, "part").select("p_partkey", url.alias("url"))
+    return made.select("p_partkey", "url", links.service_of(F.col("url")).alias("service"), links.extracted_id(F.col("url")).alias("track_id"))
+
+
+def text_versions(a: str, b: str) -> str:
+    return " OR ".join(f"(position('{w}' IN lower({a})) > 0) <> (position('{w}' IN lower({b})) > 0)" for w in text.VERSION_WORDS)
+
+
+@table_query("version_mismatch", f"SELECT p_partkey, ({text_versions('a', 'b')}) AS mismatch FROM (SELECT p_partkey, p_name || CASE WHEN p_partkey % 4 = 0 THEN ' (Live)' WHEN p_partkey % 4 = 1 THEN ' - Remaster' ELSE '' END AS a, p_name AS b FROM part)")
 def _version_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     a = F.concat("p_name", F.when(key % 4 == 0, " (Live)").when(key % 4 == 1, " - Remaster").otherwise(""))
@@ -554,34 +602,80 @@ def _duration_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.read(spark, sf_dir, "orders").select("o_orderkey", text.duration_similarity(a, F.col("o_custkey") % 60 * 1000).alias("similarity"))
 
 
-@table_query("decide", """WITH scored AS (SELECT o_custkey AS input_id, o_orderkey AS id, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 50 / 50.0::DOUBLE END AS score FROM orders),
-  top AS (SELECT input_id, id, score, lead(score) OVER w AS runner_up, row_number() OVER w AS r FROM scored WHERE score IS NOT NULL WINDOW w AS (PARTITION BY input_id ORDER BY score DESC, id)),
+@table_query("decide", """WITH scored AS (SELECT o_custkey AS input_id, o_custkey % 10 IN (0, 1) AS nobody, o_orderkey AS id, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 50 / 50.0::DOUBLE END AS score FROM orders),
+  top AS (SELECT input_id, id, score, lead(score) OVER w AS runner_up, row_number() OVER w AS r FROM scored WHERE score IS NOT NULL AND NOT nobody WINDOW w AS (PARTITION BY input_id ORDER BY score DESC, id)),
   best AS (SELECT input_id, id, score, runner_up, score - 0.5::DOUBLE * CASE WHEN runner_up IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 0.15::DOUBLE - (score - runner_up)) END AS final FROM top WHERE r = 1)
   SELECT input_id, id, score, runner_up, final, CASE WHEN final >= 0.82::DOUBLE THEN 'accept' WHEN final >= 0.6::DOUBLE THEN 'suggest' ELSE 'create' END AS decision
   FROM (SELECT DISTINCT input_id FROM scored) LEFT JOIN best USING (input_id)""")
 def _decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.when(F.col("o_orderkey") % 11 > 0, F.col("o_orderkey") % 50 / F.lit(50.0))
-    scored = fixtures.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("input_id"), F.lit("x").alias("name_normalized"), F.col("o_orderkey").alias("id"), score.alias("score"))
+    scored = fixtures.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("input_id"), F.get(F.array(F.lit("various artists"), F.lit("unknown artist"), F.lit("x")), F.least(F.col("o_custkey") % 10, F.lit(2)).cast("int")).alias("name_normalized"), F.col("o_orderkey").alias("id"), score.alias("score"))
     return matching.decide(scored)
 
 
-def _catalogue(lib: Library) -> DataFrame:
-    artists = lib.song_artists.groupBy(F.col("song_id").alias("id")).agg(F.array_sort(F.collect_list(F.col("artist_id").cast("string"))).alias("artists"))
-    return matching.prepared(lib.songs.join(artists, "id", "left"))
+#: Candidates and scores in SQL. ``asked`` has (input_id, name, artists, duration_ms).
+_MATCHING = {
+    "known": """SELECT s.id, s.name, s.duration_ms, s.pinned, trim(regexp_replace(lower(s.name), '[^a-z0-9]+', ' ', 'g')) AS norm,
+      list_sort(list_distinct(coalesce((SELECT list(artist_id::VARCHAR) FROM song_artists x WHERE x.song_id = s.id), []))) AS artists,
+      list_distinct(string_split(trim(regexp_replace(lower(s.name), '[^a-z0-9]+', ' ', 'g')), ' ') || coalesce((SELECT flatten(list(regexp_split_to_array(lower(t), '[^a-z0-9]+'))) FROM (
+        SELECT a.name AS t FROM song_artists x JOIN artists a ON a.id = x.artist_id WHERE x.song_id = s.id
+        UNION ALL SELECT b.name FROM song_albums x JOIN albums b ON b.id = x.album_id WHERE x.song_id = s.id
+        UNION ALL SELECT alias FROM aliases WHERE entity_type = 'song' AND entity_id = s.id)), [])) AS words FROM songs s""",
+    "inputs": "SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS norm FROM asked",
+    "spellings": "SELECT DISTINCT norm AS q FROM inputs",
+    "near": f"""SELECT q, id, similarity FROM (SELECT q, n, {_SIMILARITY} AS similarity FROM (SELECT q, {_GRAMS.format('q')} AS g FROM spellings) a, (SELECT n, {_GRAMS.format('n')} AS h FROM (SELECT DISTINCT norm AS n FROM known)) b)
+      JOIN known ON norm = n WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, id) <= {{limit}}""",
+    "worded": """SELECT q, id, len(list_intersect(w, words))::DOUBLE / len(w) AS share FROM (SELECT q, list_distinct(string_split(q, ' ')) AS w FROM spellings) a, known
+      WHERE share >= 0.5 QUALIFY row_number() OVER (PARTITION BY q ORDER BY share DESC, id) <= {limit}""",
+    "found": """SELECT input_id, k.id FROM inputs i JOIN known k ON k.name = i.name AND (len(i.artists) = 0 OR len(list_intersect(i.artists, k.artists)) > 0)
+      UNION SELECT input_id, id FROM inputs JOIN near ON q = norm UNION SELECT input_id, id FROM inputs JOIN worded ON q = norm""",
+    "named": """SELECT DISTINCT lower(i.name) AS a, lower(k.name) AS b FROM found f JOIN inputs i USING (input_id) JOIN known k ON k.id = f.id""",
+    "lettered": """SELECT a, b, jaro_similarity(a, b) AS j, (CASE WHEN substr(a, 1, 1) <> substr(b, 1, 1) THEN 0 WHEN substr(a, 1, 2) <> substr(b, 1, 2) THEN 1 WHEN substr(a, 1, 3) <> substr(b, 1, 3) THEN 2
+      WHEN substr(a, 1, 4) <> substr(b, 1, 4) THEN 3 ELSE 4 END) AS p, list_sort(list_distinct(string_split(a, ' '))) AS x, list_sort(list_distinct(string_split(b, ' '))) AS y FROM named""",
+    "tokens": """SELECT a, b, CASE WHEN a = b THEN 1 ELSE j + 0.1::DOUBLE * p * (1 - j) END AS jw, array_to_string(list_sort(list_intersect(x, y)), ' ') AS c,
+      trim(concat_ws(' ', array_to_string(list_sort(list_intersect(x, y)), ' '), array_to_string(list_filter(x, lambda t: NOT list_contains(y, t)), ' '))) AS c1,
+      trim(concat_ws(' ', array_to_string(list_sort(list_intersect(x, y)), ' '), array_to_string(list_filter(y, lambda t: NOT list_contains(x, t)), ' '))) AS c2 FROM lettered""",
+    "alike": """SELECT a, b, greatest(jw, 1 - levenshtein(c, c1)::DOUBLE / greatest(length(c), length(c1), 1), 1 - levenshtein(c, c2)::DOUBLE / greatest(length(c), length(c2), 1),
+      1 - levenshtein(c1, c2)::DOUBLE / greatest(length(c1), length(c2), 1)) AS similarity FROM tokens""",
+    "scored": f"""SELECT input_id, i.norm, k.id, CASE WHEN ({text_versions('i.name', 'k.name')}) OR (len(i.artists) > 0 AND len(k.artists) > 0 AND len(list_intersect(i.artists, k.artists)) = 0)
+      OR (i.duration_ms > 0 AND k.duration_ms > 0 AND abs(i.duration_ms - k.duration_ms) > 15000) THEN NULL ELSE
+      0.6::DOUBLE * similarity + 0.3::DOUBLE * CASE WHEN len(i.artists) = 0 OR len(k.artists) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(i.artists, k.artists))::DOUBLE / len(list_distinct(i.artists || k.artists)) END
+      + 0.1::DOUBLE * CASE WHEN i.duration_ms > 0 AND k.duration_ms > 0 THEN 1 - abs(i.duration_ms - k.duration_ms)::DOUBLE / 15000 ELSE 1.0::DOUBLE END END AS score
+      FROM found f JOIN inputs i USING (input_id) JOIN known k ON k.id = f.id JOIN alike ON a = lower(i.name) AND b = lower(k.name)""",
+    "ranked": """SELECT input_id, id, score, lead(score) OVER w AS runner_up, row_number() OVER w AS r FROM scored WHERE score IS NOT NULL AND norm NOT IN ('various artists', 'unknown artist')
+      WINDOW w AS (PARTITION BY input_id ORDER BY score DESC, id)""",
+    "best": "SELECT *, score - 0.5::DOUBLE * CASE WHEN runner_up IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 0.15::DOUBLE - (score - runner_up)) END AS final FROM ranked WHERE r = 1",
+    "decided": """SELECT input_id, id, score, runner_up, final, CASE WHEN final >= 0.82::DOUBLE THEN 'accept' WHEN final >= 0.6::DOUBLE THEN 'suggest' ELSE 'create' END AS decision
+      FROM (SELECT input_id FROM inputs) LEFT JOIN best USING (input_id)""",
+}
+
+
+def _matching(limit: int, asked: str, **more: str) -> dict[str, str]:
+    steps = {k: v.replace("{limit}", str(limit)) for k, v in _MATCHING.items()}
+    return {"known": steps.pop("known"), "asked": asked} | {k: more.get(k, v) for k, v in steps.items()} | more
+
+
+_ASKED = "SELECT id AS input_id, name || CASE WHEN id % 3 = 0 THEN ' (live)' ELSE '' END AS name, CASE WHEN id % 7 = 0 THEN [] ELSE artists END AS artists, duration_ms FROM known"
 
 
-@query("resolve_songs")
+@query("resolve_songs", "SELECT input_id, id, round(score, 9) AS score, round(runner_up, 9) AS runner_up, round(final, 9) AS final, decision FROM decided", **_matching(10, _ASKED))
 def _resolve(lib: Library) -> DataFrame:
-    songs = _catalogue(lib)
+    songs = ingest.known_entities(lib, "song")
     name = F.concat("name", F.when(F.col("id") % 3 == 0, " (live)").otherwise(""))
-    inputs = songs.where("id % 40 = 0").select(F.col("id").alias("input_id"), name.alias("name"), "artists", "duration_ms").withColumn("name_normalized", text.normalize_name("name"))
-    return matching.resolve(inputs, songs)
+    artists = F.when(F.col("id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.col("artists"))
+    inputs = songs.select(F.col("id").alias("input_id"), name.alias("name"), artists.alias("artists"), "duration_ms").withColumn("name_normalized", text.normalize_name("name"))
+    found = matching.resolve(inputs, songs)
+    return found.select("input_id", "id", *(F.round(c, 9).alias(c) for c in ("score", "runner_up", "final")), "decision")
 
 
-@query("reconcile_songs")
+@query("reconcile_songs", """SELECT 'song' AS entity_type, CASE WHEN other.pinned THEN d.id ELSE least(input_id, d.id) END AS winner_id, CASE WHEN other.pinned THEN input_id ELSE greatest(input_id, d.id) END AS loser_id, round(final, 9) AS score,
+      CASE WHEN decision = 'accept' AND NOT EXISTS (SELECT 1 FROM sources x JOIN sources y USING (source_type) WHERE x.entity_id = input_id AND y.entity_id = d.id AND x.extracted_id <> y.extracted_id) THEN 'merge' ELSE 'suggest' END AS action
+      FROM decided d JOIN songs other ON other.id = d.id WHERE decision <> 'create'""",
+      **_matching(11, "SELECT id AS input_id, name, artists, duration_ms FROM known WHERE NOT pinned",
+                  ranked=_MATCHING["ranked"].replace("WHERE score IS NOT NULL", "WHERE score IS NOT NULL AND input_id <> id")))
 def _reconcile(lib: Library) -> DataFrame:
-    songs = _catalogue(lib)
-    return matching.reconcile(songs, songs.where("id % 50 = 1").select("id"), "song", lib.sources)
+    songs = ingest.known_entities(lib, "song")
+    return matching.reconcile(songs, songs.select("id"), "song", lib.sources).withColumn("score", F.round("score", 9))
 
 
 # ---- a larger history
