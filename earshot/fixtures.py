@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .library import Library
+from .operators.numbering import shared_folder
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,6 +71,12 @@ def library(spark: SparkSession, sf_dir: str) -> Library:
     return Library(listens, song, artists, albums, song_artists, album_artists, song_albums, users, sources, blacklist, now_playing, aliases)
 
 
+def stored_library(spark: SparkSession, sf_dir: str) -> Library:
+    """The library with its rollups stored in the shared folder, in one that belongs to this session and these tables."""
+    folder = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    return replace(library(spark, sf_dir), store=f"{shared_folder(spark)}/rollups-{spark.sparkContext.applicationId}-{folder}")
+
+
 def big_listens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A larger history: one listen for each line of an order."""
     line = read(spark, sf_dir, "lineitem")

@@ -1,13 +1,33 @@
-"""The engine's tables in one place; rollups are planned from listens unless stored ones are given."""
+"""The engine's tables in one place; rollups are planned from listens unless stored ones are given.
+
+With a ``store``, a folder that all executors share, each rollup is written there when it is first asked for
+in a session and read back from then on: by month and, within a month, in the order of users, so that the days
+of a period and the listener reach the scan.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .operators import rollups
 
+#: Rollups that are stored by month of their day.
+DAYS = ("daily", "clock")
+_written: set[tuple[str, str]] = set()
+
+
+def write_rollup(df: DataFrame, name: str, path: str) -> None:
+    """A rollup in its stored form, an older one replaced."""
+    if name in DAYS:
+        df = df.withColumn("month", F.date_format("day", "yyyy-MM"))
+        df.repartitionByRange("month", "user_id").sortWithinPartitions("month", "user_id").write.mode("overwrite").partitionBy("month").parquet(path)
+    else:
+        first = [c for c in ("user_id", "entity_type", "entity_id") if c in df.columns]
+        df.repartitionByRange(*first).sortWithinPartitions(*first).write.mode("overwrite").parquet(path)
+
 
 @dataclass
 class Library:
@@ -24,12 +44,21 @@ class Library:
     now_playing: DataFrame | None = None
     aliases: DataFrame | None = None
     stored: dict[str, DataFrame] = field(default_factory=dict)
+    store: str | None = None
 
     def _rollup(self, name: str, plan) -> DataFrame:
         if name not in self.stored:
-            self.stored[name] = plan()
+            self.stored[name] = plan() if self.store is None else self._kept(name, plan)
         return self.stored[name]
 
+    def _kept(self, name: str, plan) -> DataFrame:
+        spark = self.listens.sparkSession
+        path = f"{self.store}/{name}"
+        if (spark.sparkContext.applicationId, path) not in _written:
+            write_rollup(plan(), name, path)
+            _written.add((spark.sparkContext.applicationId, path))
+        return spark.read.parquet(path)
+
     @property
     def eligible(self) -> DataFrame:
         return self._rollup("eligible", lambda: rollups.eligible_listens(self.listens, self.songs))

@@ -84,6 +84,16 @@ def search_aliases(aliases: DataFrame, entity_type: str, text: str, limit: int)
     return aliases.where((F.col("entity_type") == entity_type) & F.col("alias").ilike(f"%{text}%")).orderBy("alias", "id").limit(limit)
 
 
+def search(lib: Library, text: str, limit: int = 25) -> DataFrame:
+    """(kind, id, name, score): the best of each kind, artists, albums and songs by name or alias, users by name."""
+    found = None
+    for kind, entities in (("artist", lib.artists), ("album", lib.albums), ("song", lib.songs), ("user", lib.users.select("id", F.col("username").alias("name")))):
+        aliases = None if lib.aliases is None or kind == "user" else lib.aliases.where(F.col("entity_type") == kind)
+        part = search_names(entities, aliases, text, limit).select(F.lit(kind).alias("kind"), "id", "name", "score")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def search_names(entities: DataFrame, aliases: DataFrame | None, text: str, limit: int = 25) -> DataFrame:
     """(id, name, score): entities that hold words of the text in name or alias, the share of words found first."""
     words = list(dict.fromkeys(text.lower().split()))

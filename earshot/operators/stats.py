@@ -31,6 +31,8 @@ def of_user(df: DataFrame, user_id: int | None) -> DataFrame:
 
 def in_days(df: DataFrame, period: Timeframe) -> DataFrame:
     first, last = period.days
+    if "month" in df.columns:  # stored by month, see library
+        df = df.where(F.col("month").between(f"{first:%Y-%m}", f"{last:%Y-%m}"))
     return df.where((F.col("day") >= F.lit(first)) & (F.col("day") < F.lit(last)))
 
 
@@ -276,6 +278,20 @@ def rewind_top(lib: Library, user_id: int, period: Timeframe, kind: str, limit:
     return out.withColumn("delta", F.col("listen_count") - F.col("prior_count"))
 
 
+def rewind(lib: Library, user_id: int, period: Timeframe, limit: int = 5) -> DataFrame:
+    """One row: a period's totals, new entities, best day and longest streak, and its leaders with their change
+    against the period before, as arrays of (id, name, listen_count, delta) from the first on."""
+    out = summary(lib, period, user_id).drop("avg_session_length_ms", "tracks_per_artist", "albums_per_artist", "days_active").withColumnRenamed("listen_count", "plays")
+    for kind, key in (("artists", "artist_id"), ("albums", "album_id"), ("tracks", "song_id")):
+        top = rewind_top(lib, user_id, period, kind, limit)
+        place = F.struct((-F.col("listen_count")).alias("o"), F.col("name").alias("n"), F.col(key).alias("k"))
+        entry = F.struct("blacklisted", place.alias("place"), F.struct(F.col(key).alias("id"), "name", "listen_count", "delta").alias("entry"))
+        leaders = top.agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["entry"]).alias(f"top_{kind}"))
+        out = out.crossJoin(leaders)  # one row each
+    best = top_day(lib, user_id, period).agg(F.max("day").alias("top_day"))
+    return out.crossJoin(new_entities(lib, user_id, period)).crossJoin(best)
+
+
 def entity_summary(lib: Library, entity_type: str, entity_id: int, user_id: int | None = None) -> DataFrame:
     """Everyone's totals from the rollup; one user's from their listens."""
     if user_id is None:

@@ -81,9 +81,14 @@ def sql(body: str, **more: str) -> str:
     return "WITH " + ",\n".join(f"{name} AS ({query})" for name, query in every.items()) + "\n" + body
 
 
+#: Queries that plan rollups anew; all others read stored ones, each written once a session.
+ANEW = ("eligible_", "rebuild_", "fold_", "unrecord_", "merge_")
+
+
 def query(name: str, oracle: str | None = None, **more: str):
     def keep(plan: Callable[[Library], DataFrame]) -> Callable[[Library], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: plan(fixtures.library(spark, sf_dir))
+        read = fixtures.library if name.startswith(ANEW) else fixtures.stored_library
+        QUERIES[name] = lambda spark, sf_dir: plan(read(spark, sf_dir))
         if oracle:
             ORACLES[name] = sql(oracle, **more)
         return plan

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,23 +21,42 @@ MEASURES = {"listen_count": F.sum, "played_ms": F.sum, "plays": F.sum, "first_at
 class Store:
     """Rollups in a shared folder as one delta for each batch, added up when they are read.
 
-    A batch writes no more than its own share, into folders named by its number; a replay replaces them.
+    A batch writes no more than its own share, into folders named by its number; a replay replaces them. Every
+    ``compact_every`` batches the deltas are added up into an epoch of their own, so a table never has more
+    folders than that. An epoch counts from the moment its row of the manifest is there, which is written last;
+    until then readers and a restart see the one before. Old epochs are left for the storage's own retention.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, compact_every: int = 100):
+        self.spark, self.path, self.compact_every = spark, path, compact_every
+
+    def _read(self, folder: str) -> DataFrame | None:
+        try:
+            return self.spark.read.option("basePath", folder).parquet(folder)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def epoch(self) -> tuple[int, int]:
+        """(number of the present epoch, last batch that it began with)."""
+        manifest = self._read(f"{self.path}/manifest")
+        return (0, -1) if manifest is None else tuple(manifest.agg(F.max_by("epoch", "epoch"), F.max_by("through", "epoch")).first())
+
+    def _folder(self, table: str) -> str:
+        return f"{self.path}/epoch-{self.epoch()[0]}/{table}"
 
     def exists(self) -> bool:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/listens")
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+        return self._read(self._folder("listens")) is not None
 
     def deltas(self, table: str, before: int | None = None) -> DataFrame:
-        df = self.spark.read.option("basePath", f"{self.path}/{table}").parquet(f"{self.path}/{table}")
+        df = self._read(self._folder(table))
         return (df if before is None else df.where(F.col("batch") < before)).drop("batch")
 
-    def write(self, batch_id: int, tables: dict[str, DataFrame]) -> None:
+    def write(self, batch_id: int, tables: dict[str, DataFrame], epoch: int | None = None) -> None:
+        number = self.epoch()[0] if epoch is None else epoch
         for name, df in tables.items():
-            (df.write.partitionBy("day") if name == "listens" else df.write).mode("overwrite").parquet(f"{self.path}/{name}/batch={batch_id}")
+            (df.write.partitionBy("day") if name == "listens" else df.write).mode("overwrite").parquet(f"{self.path}/epoch-{number}/{name}/batch={batch_id}")
 
     def _sum(self, table: str) -> DataFrame:
         df = self.deltas(table)
@@ -56,11 +76,11 @@ class Store:
             F.sum("plays").alias("plays"), F.count("*").alias("unique_listeners"), F.sum("played_ms").alias("played_ms"), F.min("first_at").alias("first_listened_at")
         )
 
-    def compact(self, into: str) -> Store:
-        """A store whose one batch holds all that this one does."""
-        other = Store(self.spark, into)
-        other.write(0, {t: self._sum(t) for t in KEYS} | {"listens": self.deltas("listens")})
-        return other
+    def compact(self, through: int) -> None:
+        """Begin a new epoch with the sums of all batches up to ``through``; only between batches."""
+        number = self.epoch()[0] + 1
+        self.write(-1, {t: self._sum(t) for t in KEYS} | {"listens": self.deltas("listens")}, number)
+        self.spark.createDataFrame([(number, through)], "epoch long, through long").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
 
 def per_user(heard: DataFrame, song_albums: DataFrame, song_artists: DataFrame) -> DataFrame:
@@ -71,7 +91,13 @@ def per_user(heard: DataFrame, song_albums: DataFrame, song_artists: DataFrame)
 
 
 def fold_batch(store: Store, songs: DataFrame, song_albums: DataFrame, song_artists: DataFrame, batch: DataFrame, batch_id: int) -> None:
-    """Add one micro-batch. Listens that an earlier batch holds are dropped; only the days of this batch are looked at for that."""
+    """Add one micro-batch. Listens that an earlier batch holds are dropped; only the days of this batch are looked at for that.
+
+    A batch that the present epoch began with has been added already: a replay of it does nothing.
+    """
+    through = store.epoch()[1]
+    if batch_id <= through:
+        return
     new = rollups.dedupe(batch).withColumn("day", F.to_date("listened_at"))
     if store.exists():
         days = new.select("day").distinct()
@@ -82,10 +108,16 @@ def fold_batch(store: Store, songs: DataFrame, song_albums: DataFrame, song_arti
     heard = rollups.eligible_listens(new, songs)
     store.write(batch_id, {"listens": new, "daily": rollups.daily(heard), "clock": rollups.clock(heard), "per_user": per_user(heard, song_albums, song_artists)})
     new.unpersist()
+    if batch_id - through >= store.compact_every:
+        store.compact(batch_id)
 
 
 def start(listens: DataFrame, store: Store, songs: DataFrame, song_albums: DataFrame, song_artists: DataFrame, checkpoint: str, every: str | None = "1 second") -> StreamingQuery:
-    """Keep the store up to date with a stream (id, user_id, song_id, listened_at, client, duration_played_ms)."""
+    """Keep the store up to date with a stream (id, user_id, song_id, listened_at, client, duration_played_ms).
+
+    ``every`` bounds the time of a batch, the source its rows: set maxOffsetsPerTrigger, maxFilesPerTrigger or
+    rowsPerSecond where the stream is made.
+    """
     writer = listens.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda b, i: fold_batch(store, songs, song_albums, song_artists, b, i))
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
@@ -109,7 +141,7 @@ def _streak(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     days = sorted({d for b in batches for d in pd.to_datetime(b["listened_at"]).dt.date})
     for day in days:
         number = day.toordinal()
-        if last is not None and number == last:
+        if last is not None and number <= last:  # the same day again, or a listen brought in from the past
             continue
         current = current + 1 if last is not None and number == last + 1 else 1
         last, longest = number, max(longest, current)
@@ -120,7 +152,7 @@ def _streak(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 def live_streaks(heard: DataFrame) -> DataFrame:
     """(user_id, last_day, current_streak, longest_streak) after each batch: same day keeps, the next day adds, else back to one.
 
-    Listens that come out of order restart the run; a rebuild of the user's state repairs that.
+    Listens from before the last day change nothing; a rebuild of the user's state takes them in.
     """
     return heard.groupBy("user_id").applyInPandasWithState(
         _streak, "user_id long, last_day date, current_streak long, longest_streak long", "last_day long, current_streak long, longest_streak long", "update", GroupStateTimeout.NoTimeout

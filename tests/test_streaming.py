@@ -21,7 +21,10 @@ def test_stream_folds_to_a_rebuild(spark, sf_dir, tmp_path):
     query = live.start(stream, store, lib.songs, lib.song_albums, lib.song_artists, str(tmp_path / "ck"), every=None)
     query.awaitTermination(240)
     heard = rollups.eligible_listens(rollups.dedupe(lib.listens), lib.songs)
-    for held in (store, store.compact(str(tmp_path / "compact"))):
+    for last in (None, 1000):
+        if last:
+            store.compact(last)
+        held = live.Store(spark, store.path)
         assert key(held.daily()) == key(rollups.daily(heard))
         assert key(held.clock()) == key(rollups.clock(heard))
         assert key(held.first_listens()) == key(rollups.first_listens(heard, lib.song_albums, lib.song_artists))
@@ -32,15 +35,18 @@ def test_a_replayed_batch_changes_nothing(spark, sf_dir, tmp_path):
     lib = fixtures.library(spark, sf_dir)
     store = live.Store(spark, str(tmp_path / "store"))
     parts = [lib.listens.where("id % 2 = 0"), lib.listens.where("id % 2 = 1 OR id < 50")]
-    for i, part in [(0, parts[0]), (1, parts[1]), (1, parts[1])]:
-        live.fold_batch(store, lib.songs, lib.song_albums, lib.song_artists, part, i)
+    compacting = live.Store(spark, str(tmp_path / "compacting"), compact_every=2)
+    for held in (store, compacting):
+        for i, part in [(0, parts[0]), (1, parts[1]), (1, parts[1])]:
+            live.fold_batch(held, lib.songs, lib.song_albums, lib.song_artists, part, i)
+    assert compacting.epoch() == (1, 1) and key(compacting.daily()) == key(store.daily()) and compacting.deltas("listens").count() == lib.listens.count()
     assert key(store.daily()) == key(rollups.daily(rollups.eligible_listens(rollups.dedupe(lib.listens), lib.songs)))
 
 
 def test_live_streaks(spark, tmp_path):
     src = str(tmp_path / "in")
     schema = "user_id long, listened_at timestamp"
-    for days in ([1, 1, 2], [3, 5], [6, 7, 8, 9]):
+    for days in ([1, 1, 2], [3, 5], [4, 6, 7, 8, 9]):
         spark.createDataFrame([(1, datetime(2024, 1, d, 10)) for d in days], schema).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     q = live.live_streaks(stream).writeStream.outputMode("update").format("memory").queryName("streaks").trigger(availableNow=True).start()
