@@ -3,7 +3,8 @@
 Texts are gathered into blocks. A block sends each shard of the vocabulary its distinct word hashes with
 their training counts, and is told the corpus counts and dense word ids; then it sends each shard of the
 trie its distinct pairs of known words, and is told their quantised probabilities. So a frequent word or
-pair is one entry a block, shards hold about equal shares, and no table of the corpus is broadcast.
+pair is one entry a block, shards hold about equal shares, and no table of the corpus is broadcast. A shard is
+built from what all blocks sent, written to a file and looked up through a memory map of it.
 
 Smoothing has a Dirichlet prior: p(w | h) = (c(h w) + K p(w)) / (c(h) + K), with the add-one unigram p(w).
 The trie stores c(h w) / (c(h) + K); the rest needs counts of single words only.
@@ -11,6 +12,7 @@ The trie stores c(h w) / (c(h) + K); the rest needs counts of single words only.
 
 from __future__ import annotations
 
+import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -201,8 +203,13 @@ def build_shard(rows: list[dict], universe: int, strength: float) -> bytes:
 def _answer_pairs(universe: int, strength: float):
     def run(rows: pa.Table) -> pa.Table:
         asked = rows.to_pylist()
-        trie = Trie.of(build_shard(asked, universe, strength))
-        answers = [squeeze(trie.lookup(*_pairs_of(r, universe)[:2])) for r in asked]
+        with tempfile.NamedTemporaryFile() as file:  # a task's own, gone with it; a retry builds it anew
+            file.write(build_shard(asked, universe, strength))
+            file.flush()
+            give_back()
+            trie = Trie.open(file.name)
+            answers = [squeeze(trie.lookup(*_pairs_of(r, universe)[:2])) for r in asked]
+            del trie
         return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "q": pa.array(answers, pa.binary())})
 
     return run

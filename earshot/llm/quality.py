@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from .blocks import give_back
 from .common import cut, fold_of, in_small_batches
 
+#: Pipes, symbols and line ends tell navigation bars, tables and menus of scraped pages from prose; all are shares, none is a list of words.
 FEATURES = [
     "log_words", "log_mean_word", "log_distinct", "logit_upper", "logit_digit", "logit_symbol", "logit_pipe",
     "logit_period", "logit_comma", "logit_repeat", "logit_top_word", "entropy", "logit_newline", "logit_capital",
