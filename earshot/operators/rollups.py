@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import cut
+
 #: A listen of this length counts however long the song is.
 ENOUGH_MS = 240_000
 
@@ -52,26 +54,36 @@ def attributed(heard: DataFrame, song_albums: DataFrame, song_artists: DataFrame
     return own.unionByName(heard.join(links, "song_id"))
 
 
-def first_listens(heard: DataFrame, song_albums: DataFrame, song_artists: DataFrame) -> DataFrame:
-    """(user_id, entity_type, entity_id, first_at). Listens shrink to one row per user and song before they fan out."""
-    firsts = heard.groupBy("user_id", "song_id").agg(F.min("listened_at").alias("listened_at"))
-    return attributed(firsts, song_albums, song_artists).groupBy("user_id", "entity_type", "entity_id").agg(F.min("listened_at").alias("first_at"))
+PER_USER = ["user_id", "entity_type", "entity_id"]
 
 
-def global_stats(heard: DataFrame, song_albums: DataFrame, song_artists: DataFrame) -> DataFrame:
-    """(entity_type, entity_id, plays, unique_listeners, played_ms, first_listened_at).
+def per_user(heard: DataFrame, song_albums: DataFrame, song_artists: DataFrame) -> DataFrame:
+    """(user_id, entity_type, entity_id, plays, played_ms, first_at): what first listens and totals are summed from.
 
-    Plays are summed per user and song first, then per user and entity, so that listeners are counted as rows
-    and no distinct aggregate is needed.
+    Listens shrink to one row per user and song before they fan out to albums and artists.
     """
-    per_song = heard.groupBy("user_id", "song_id").agg(F.count("*").alias("plays"), F.sum("played_ms").alias("played_ms"), F.min("listened_at").alias("listened_at"))
-    sums = [F.sum("plays").alias("plays"), F.sum("played_ms").alias("played_ms"), F.min("listened_at").alias("listened_at")]
-    per_user = attributed(per_song, song_albums, song_artists).groupBy("entity_type", "entity_id", "user_id").agg(*sums)
-    return per_user.groupBy("entity_type", "entity_id").agg(
-        F.sum("plays").alias("plays"), F.count("*").alias("unique_listeners"), F.sum("played_ms").alias("played_ms"), F.min("listened_at").alias("first_listened_at")
+    sums = lambda first: [F.sum("plays").alias("plays"), F.sum("played_ms").alias("played_ms"), F.min(first).alias("first_at")]
+    songs = heard.withColumn("plays", F.lit(1).cast("long")).groupBy("user_id", "song_id").agg(*sums("listened_at"))
+    return attributed(songs, song_albums, song_artists).groupBy(*PER_USER).agg(*sums("first_at"))
+
+
+def first_listens(heard: DataFrame, song_albums: DataFrame, song_artists: DataFrame) -> DataFrame:
+    """(user_id, entity_type, entity_id, first_at)."""
+    return per_user(heard, song_albums, song_artists).select(*PER_USER, "first_at")
+
+
+def totals(by_user: DataFrame) -> DataFrame:
+    """(entity_type, entity_id, plays, unique_listeners, played_ms, first_listened_at) of ``per_user`` rows: listeners are counted as rows."""
+    return by_user.groupBy("entity_type", "entity_id").agg(
+        F.sum("plays").alias("plays"), F.count("*").alias("unique_listeners"), F.sum("played_ms").alias("played_ms"), F.min("first_at").alias("first_listened_at")
     )
 
 
+def global_stats(heard: DataFrame, song_albums: DataFrame, song_artists: DataFrame) -> DataFrame:
+    """``totals`` of all listens; no distinct aggregate is needed."""
+    return totals(per_user(heard, song_albums, song_artists))
+
+
 def streaks(day_rollup: DataFrame) -> DataFrame:
     """(user_id, length, first_day, last_day) of each run of days in a row with a counting listen."""
     days = day_rollup.select("user_id", "day").distinct()
@@ -124,39 +136,35 @@ def take_off(old: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fold(stored: dict[str, DataFrame], heard: DataFrame, song_albums: DataFrame, song_artists: DataFrame) -> dict[str, DataFrame]:
-    """The rollups after more counting listens; equals a rebuild over old and new listens."""
-    firsts = add_up(stored["first_listens"], first_listens(heard, song_albums, song_artists), ["user_id", "entity_type", "entity_id"])
-    fresh = first_listens(heard, song_albums, song_artists).join(stored["first_listens"].select("user_id", "entity_type", "entity_id"), ["user_id", "entity_type", "entity_id"], "left_anti")
-    listeners = fresh.groupBy("entity_type", "entity_id").agg(F.count("*").alias("unique_listeners"))
-    delta = (
-        global_stats(heard, song_albums, song_artists).drop("unique_listeners").join(listeners, ["entity_type", "entity_id"], "left")
-        .withColumn("unique_listeners", F.coalesce("unique_listeners", F.lit(0)))
-    )
+    """The rollups after more counting listens; equals a rebuild over old and new listens. The new rows are summed once."""
+    keys = ["entity_type", "entity_id"]
+    mine = cut(per_user(heard, song_albums, song_artists))
+    listeners = mine.join(stored["first_listens"].select(*PER_USER), PER_USER, "left_anti").groupBy(*keys).agg(F.count("*").alias("unique_listeners"))
+    delta = totals(mine).drop("unique_listeners").join(listeners, keys, "left").withColumn("unique_listeners", F.coalesce("unique_listeners", F.lit(0)))
     return {
         "daily": add_up(stored["daily"], daily(heard), ["user_id", "song_id", "day"]),
         "clock": add_up(stored["clock"], clock(heard), ["user_id", "day", "hour"]),
-        "first_listens": firsts,
-        "global_stats": add_up(stored["global_stats"], delta, ["entity_type", "entity_id"]),
+        "first_listens": add_up(stored["first_listens"], mine.select(*PER_USER, "first_at"), PER_USER),
+        "global_stats": add_up(stored["global_stats"], delta, keys),
     }
 
 
 def unrecord(stored: dict[str, DataFrame], removed: DataFrame, remaining: DataFrame, song_albums: DataFrame, song_artists: DataFrame) -> dict[str, DataFrame]:
     """The rollups after counting listens were deleted. Sums go down; first times and listener counts of the
     touched entities alone are worked out again from what remains."""
-    touched = attributed(removed, song_albums, song_artists).select("entity_type", "entity_id").distinct()
+    keys = ["entity_type", "entity_id"]
+    touched = cut(attributed(removed.select("song_id").distinct(), song_albums, song_artists).select(*keys).distinct())
     songs_touched = (
         touched.where("entity_type = 'song'").select(F.col("entity_id").alias("song_id"))
         .unionByName(song_albums.join(touched.where("entity_type = 'album'").select(F.col("entity_id").alias("album_id")), "album_id", "left_semi").select("song_id"))
         .unionByName(song_artists.join(touched.where("entity_type = 'artist'").select(F.col("entity_id").alias("artist_id")), "artist_id", "left_semi").select("song_id"))
         .distinct()
     )
-    left = remaining.join(songs_touched, "song_id", "left_semi")
-    keys = ["entity_type", "entity_id"]
-    firsts = first_listens(left, song_albums, song_artists).join(touched, keys, "left_semi")
-    totals = global_stats(left, song_albums, song_artists).join(touched, keys, "left_semi")
+    again = cut(per_user(remaining.join(songs_touched, "song_id", "left_semi"), song_albums, song_artists).join(touched, keys, "left_semi"))
+    left = totals(again)
     return {
         "daily": take_off(stored["daily"], daily(removed), ["user_id", "song_id", "day"]),
         "clock": take_off(stored["clock"], clock(removed), ["user_id", "day", "hour"]),
-        "first_listens": stored["first_listens"].join(touched, keys, "left_anti").select("user_id", *keys, "first_at").unionByName(firsts),
-        "global_stats": stored["global_stats"].join(touched, keys, "left_anti").select(*totals.columns).unionByName(totals),
+        "first_listens": stored["first_listens"].join(touched, keys, "left_anti").select(*PER_USER, "first_at").unionByName(again.select(*PER_USER, "first_at")),
+        "global_stats": stored["global_stats"].join(touched, keys, "left_anti").select(*left.columns).unionByName(left),
     }

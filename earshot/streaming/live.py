@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import rollups
 
 #: Keys of the stored deltas, and how their measures combine.
-KEYS = {"daily": ["user_id", "song_id", "day"], "clock": ["user_id", "day", "hour"], "per_user": ["user_id", "entity_type", "entity_id"]}
+KEYS = {"daily": ["user_id", "song_id", "day"], "clock": ["user_id", "day", "hour"], "per_user": rollups.PER_USER}
 MEASURES = {"listen_count": F.sum, "played_ms": F.sum, "plays": F.sum, "first_at": F.min}
 
 
@@ -72,9 +72,7 @@ class Store:
         return self._sum("per_user").select("user_id", "entity_type", "entity_id", "first_at")
 
     def global_stats(self) -> DataFrame:
-        return self._sum("per_user").groupBy("entity_type", "entity_id").agg(
-            F.sum("plays").alias("plays"), F.count("*").alias("unique_listeners"), F.sum("played_ms").alias("played_ms"), F.min("first_at").alias("first_listened_at")
-        )
+        return rollups.totals(self._sum("per_user"))
 
     def compact(self, through: int) -> None:
         """Begin a new epoch with the sums of all batches up to ``through``; only between batches."""
@@ -83,13 +81,6 @@ class Store:
         self.spark.createDataFrame([(number, through)], "epoch long, through long").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
 
-def per_user(heard: DataFrame, song_albums: DataFrame, song_artists: DataFrame) -> DataFrame:
-    """(user_id, entity_type, entity_id, plays, played_ms, first_at): what first and global rollups are summed from."""
-    songs = heard.groupBy("user_id", "song_id").agg(F.count("*").alias("plays"), F.sum("played_ms").alias("played_ms"), F.min("listened_at").alias("first_at"))
-    sums = [MEASURES[c](c).alias(c) for c in ("plays", "played_ms", "first_at")]
-    return rollups.attributed(songs, song_albums, song_artists).groupBy(*KEYS["per_user"]).agg(*sums)
-
-
 def fold_batch(store: Store, songs: DataFrame, song_albums: DataFrame, song_artists: DataFrame, batch: DataFrame, batch_id: int) -> None:
     """Add one micro-batch. Listens that an earlier batch holds are dropped; only the days of this batch are looked at for that.
 
@@ -106,7 +97,7 @@ def fold_batch(store: Store, songs: DataFrame, song_albums: DataFrame, song_arti
         new = new.join(present, key, "left_anti")
     new = new.select("id", "user_id", "song_id", "listened_at", "client", "duration_played_ms", "day").persist()
     heard = rollups.eligible_listens(new, songs)
-    store.write(batch_id, {"listens": new, "daily": rollups.daily(heard), "clock": rollups.clock(heard), "per_user": per_user(heard, song_albums, song_artists)})
+    store.write(batch_id, {"listens": new, "daily": rollups.daily(heard), "clock": rollups.clock(heard), "per_user": rollups.per_user(heard, song_albums, song_artists)})
     new.unpersist()
     if batch_id - through >= store.compact_every:
         store.compact(batch_id)
