@@ -126,15 +126,40 @@ def without_source(found: DataFrame, inputs: DataFrame, sources: DataFrame, enti
     return found.join(bad.select("input_id", "id"), ["input_id", "id"], "left_anti")
 
 
-def score(name: Column, other: Column, artists: Column, other_artists: Column, duration: Column, other_duration: Column, tracks: Column | None = None, other_tracks: Column | None = None) -> Column:
-    """Weighted similarity, null for a veto: a version word on one side only, lengths far apart, known artists without overlap."""
+def _parts(name: Column, other: Column, artists: Column, other_artists: Column, duration: Column, other_duration: Column) -> tuple[Column, Column, Column]:
+    """(veto, overlap of artists, similarity of lengths): a version word on one side only, lengths far apart, known artists without overlap."""
     known = (F.size(F.coalesce(artists, F.array().cast("array<string>"))) > 0) & (F.size(F.coalesce(other_artists, F.array().cast("array<string>"))) > 0)
     overlap = F.when(known, jaccard(artists, other_artists)).otherwise(F.lit(1.0))
     length = duration_similarity(duration, other_duration)
-    raw = NAME * best_similarity(name, other) + ARTIST * overlap + DURATION * length
+    return version_mismatch(name, other) | length.isNull() | (known & (overlap == 0)), overlap, length
+
+
+def _weighted(similarity: Column, overlap: Column, length: Column) -> Column:
+    return NAME * similarity + ARTIST * overlap + DURATION * length
+
+
+def score(name: Column, other: Column, artists: Column, other_artists: Column, duration: Column, other_duration: Column, tracks: Column | None = None, other_tracks: Column | None = None) -> Column:
+    """Weighted similarity, null for a veto."""
+    veto, overlap, length = _parts(name, other, artists, other_artists, duration, other_duration)
+    raw = _weighted(best_similarity(name, other), overlap, length)
     if tracks is not None:
         raw = raw + F.when((F.size(tracks) > 0) & (F.size(other_tracks) > 0), TRACKS * jaccard(tracks, other_tracks)).otherwise(F.lit(0.0))
-    return F.when(~version_mismatch(name, other) & length.isNotNull() & ~(known & (overlap == 0)), raw)
+    return F.when(~veto, raw)
+
+
+def scored(inputs: DataFrame, pairs: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(input_id, name_normalized, id, score) of the pairs (input_id, id) without a veto, and each other input once with nulls.
+
+    Names are compared once for each two spellings that meet, after vetoes, and not once a pair.
+    """
+    theirs = catalogue.select("id", F.col("name").alias("c_name"), F.col("artists").alias("c_artists"), F.col("duration_ms").alias("c_duration"))
+    met = pairs.join(inputs.select("input_id", "name", "artists", "duration_ms"), "input_id").join(theirs, "id")
+    veto, overlap, length = _parts(F.col("name"), F.col("c_name"), F.col("artists"), F.col("c_artists"), F.col("duration_ms"), F.col("c_duration"))
+    live = cut(met.where(~veto).select("input_id", "id", "name", "c_name", overlap.alias("overlap"), length.alias("length")))
+    names = live.select("name", "c_name").distinct().withColumn("similarity", best_similarity(F.col("name"), F.col("c_name")))
+    value = _weighted(F.col("similarity"), F.col("overlap"), F.col("length"))
+    found = live.join(names, ["name", "c_name"]).select("input_id", "id", value.alias("score"))
+    return inputs.select("input_id", "name_normalized").join(found, "input_id", "left")
 
 
 def decide(scored: DataFrame) -> DataFrame:
@@ -143,16 +168,14 @@ def decide(scored: DataFrame) -> DataFrame:
     A close runner-up costs up to PENALTY * MARGIN. Ties go to the lowest id. Vetoed candidates and inputs
     that name nobody in particular are left to be created.
     """
-    live = scored.where(F.col("score").isNotNull() & ~F.col("name_normalized").isin(*NOBODY))
-    order = Window.partitionBy("input_id").orderBy(F.desc("score"), "id")
-    top = live.withColumn("at", F.row_number().over(order)).withColumn("runner_up", F.lead("score").over(order)).where("at = 1").drop("at")
+    live = scored.withColumn("score", F.when(~F.coalesce(F.col("name_normalized"), F.lit("")).isin(*NOBODY), F.col("score")))
+    live = live.withColumn("id", F.when(F.col("score").isNotNull(), F.col("id")))
+    order = Window.partitionBy("input_id").orderBy(F.desc_nulls_last("score"), "id")
+    top = live.withColumn("at", F.row_number().over(order)).withColumn("runner_up", F.lead("score").over(order)).where("at = 1")
     close = F.when(F.col("runner_up").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), MARGIN - (F.col("score") - F.col("runner_up"))))
     final = F.col("score") - PENALTY * close
     band = F.when(final >= ACCEPT, "accept").when(final >= SUGGEST, "suggest").otherwise("create")
-    picked = top.withColumn("final", final).withColumn("decision", band)
-    rest = scored.select("input_id").distinct().join(picked.select("input_id"), "input_id", "left_anti")
-    none = rest.select("input_id", *(F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("score", "double"), ("runner_up", "double"), ("final", "double"))), F.lit("create").alias("decision"))
-    return picked.select("input_id", "id", "score", "runner_up", "final", "decision").unionByName(none)
+    return top.select("input_id", "id", "score", "runner_up", final.alias("final"), band.alias("decision"))
 
 
 def resolve(inputs: DataFrame, catalogue: DataFrame, limit: int = CANDIDATES, sources: DataFrame | None = None, entity_type: str = "song") -> DataFrame:
@@ -165,10 +188,7 @@ def resolve(inputs: DataFrame, catalogue: DataFrame, limit: int = CANDIDATES, so
     pairs = candidates(inputs, catalogue, limit).select("input_id", "id")
     if sources is not None:
         pairs = without_source(pairs, inputs, sources, entity_type)
-    theirs = catalogue.select("id", F.col("name").alias("c_name"), F.col("artists").alias("c_artists"), F.col("duration_ms").alias("c_duration"))
-    joined = inputs.join(pairs, "input_id", "left").join(theirs, "id", "left")
-    value = score(F.col("name"), F.col("c_name"), F.col("artists"), F.col("c_artists"), F.col("duration_ms"), F.col("c_duration"))
-    return decide(joined.withColumn("score", F.when(F.col("id").isNotNull(), value)).select("input_id", "name_normalized", "id", "score"))
+    return decide(scored(inputs, pairs, catalogue))
 
 
 def reconcile(catalogue: DataFrame, touched: DataFrame, entity_type: str, sources: DataFrame) -> DataFrame:
@@ -179,11 +199,9 @@ def reconcile(catalogue: DataFrame, touched: DataFrame, entity_type: str, source
     """
     catalogue = cut(catalogue)
     own = catalogue.join(touched.select("id"), "id", "left_semi").where(~F.col("pinned"))
-    inputs = own.select(F.col("id").alias("input_id"), "name", "name_normalized", "artists", "duration_ms")
+    inputs = cut(own.select(F.col("id").alias("input_id"), "name", "name_normalized", "artists", "duration_ms"))
     pairs = candidates(inputs, catalogue, CANDIDATES + 1).where("input_id <> id").select("input_id", "id")
-    theirs = catalogue.select("id", F.col("name").alias("c_name"), F.col("artists").alias("c_artists"), F.col("duration_ms").alias("c_duration"))
-    value = score(F.col("name"), F.col("c_name"), F.col("artists"), F.col("c_artists"), F.col("duration_ms"), F.col("c_duration"))
-    decided = decide(inputs.join(pairs, "input_id").join(theirs, "id").withColumn("score", value)).where("decision <> 'create'")
+    decided = decide(scored(inputs, pairs, catalogue)).where("decision <> 'create'")
     mine = sources.where((F.col("entity_type") == entity_type) & F.col("extracted_id").isNotNull()).select("entity_id", "source_type", "extracted_id")
     a = mine.toDF("input_id", "source_type", "x")
     b = mine.toDF("id", "source_type", "y")
@@ -204,4 +222,4 @@ def prepared(catalogue: DataFrame) -> DataFrame:
     return catalogue.withColumn("name_normalized", normalize_name("name")).withColumn("name_romanized", romanize_name("name"))
 
 
-__all__ = ["candidates", "decide", "exact_matches", "normalized", "prepared", "reconcile", "resolve", "score", "trigram_matches", "without_source", "word_matches"]
+__all__ = ["candidates", "decide", "exact_matches", "normalized", "prepared", "reconcile", "resolve", "score", "scored", "trigram_matches", "without_source", "word_matches"]
