@@ -3,7 +3,8 @@
 Vectors are dealt to blocks that hold one array per dimension. A block of queries meets a block of
 candidates; inner products grow by a few dimensions at a time, and after each step a candidate stays
 only if what it has plus the most that the remaining dimensions can add (the product of the remaining
-norms) reaches the query's k-th best so far. The best k of each meeting are merged by a window.
+norms) reaches the query's k-th best so far. All queries meet the first block of candidates first; the k-th
+best there is the bound that they begin with in all others. The best k of each meeting are merged by a window.
 """
 
 from __future__ import annotations
@@ -56,8 +57,13 @@ def blocks(vectors: DataFrame, rows_per_block: int, n: int) -> DataFrame:
     return dealt.groupBy("block").applyInArrow(_pack, "block int, ids binary, m binary")
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, m: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (rows of ``queries``): its id, and ids and scores of its best k among the columns of ``m``."""
+def search_block(
+    queries: np.ndarray, query_ids: np.ndarray, m: np.ndarray, ids: np.ndarray, k: int, floors: dict[int, int] | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query (rows of ``queries``): its id, and ids and scores of its best k among the columns of ``m``.
+
+    ``floors`` has scores that k candidates elsewhere reach; what stays below may be left out.
+    """
     dims = max(queries.shape[1], m.shape[0])
     queries = np.pad(queries, ((0, 0), (0, dims - queries.shape[1])))
     m = np.pad(m, ((0, dims - m.shape[0]), (0, 0)))
@@ -78,7 +84,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, m: np.ndarray, ids:
     for i, q in enumerate(queries):
         alive = np.flatnonzero(ids != query_ids[i])
         score = begun[i, alive]
-        floor = -np.inf
+        floor = float((floors or {}).get(int(query_ids[i]), -np.inf))
         for j, step in enumerate(steps):
             if j:
                 score = score + q[step] @ m[step][:, alive]
@@ -88,7 +94,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, m: np.ndarray, ids:
             if j + 1 < len(steps):
                 if j == 0:  # exact scores of the most promising give the first floor
                     best = alive[np.argpartition(score + slack, len(alive) - k)[-k:]]
-                    floor = float((q @ m[:, best]).min())
+                    floor = max(floor, float((q @ m[:, best]).min()))
                 else:
                     floor = max(floor, float(np.partition(score - slack, len(alive) - k)[-k]))
                 stay = score + slack >= floor - 1e-6 * (1 + abs(floor))
@@ -119,25 +125,37 @@ def top_k(
     n, n_asked = rows.count(), asked.count()
     candidates = blocks(rows, rows_per_block, n)
     count = max(1, math.ceil(n / rows_per_block))
-    asking = blocks(asked, queries_per_block, n_asked).select(
-        F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"),
-        F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"),
-    )
+    queries = blocks(asked, queries_per_block, n_asked).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                q_ids, q_m, ids, m = (np.frombuffer(b.column(c)[r].as_buffer(), "<i8") for c in range(4))
-                out: list[tuple] = list(search_block(q_m.reshape(-1, len(q_ids)).T, q_ids, m.reshape(-1, len(ids)), ids, k))
+                q_block, known = b.column(0)[r].as_py(), {x["query_id"]: x["floor"] for x in b.column(5)[r].as_py() or []}
+                q_ids, q_m, ids, m = (np.frombuffer(b.column(c)[r].as_buffer(), "<i8") for c in range(1, 5))
+                out: list[tuple] = list(search_block(q_m.reshape(-1, len(q_ids)).T, q_ids, m.reshape(-1, len(ids)), ids, k, known))
+                rows = sum(len(x[1]) for x in out)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat([x[0] for x in out], [len(x[1]) for x in out]).astype(np.int64)),
                         pa.array(np.concatenate([x[1] for x in out]).astype(np.int64)),
                         pa.array(np.concatenate([x[2] for x in out]).astype(np.int64)),
+                        pa.array(np.full(rows, q_block, np.int32)),
                     ],
-                    ["query_id", "vec_id", "score"],
+                    ["query_id", "vec_id", "score", "q_block"],
                 )
 
-    found = asking.join(candidates, "block").select("q_ids", "q_m", "ids", "m").mapInArrow(run, "query_id long, vec_id long, score long")
+    def met(asking: DataFrame) -> DataFrame:
+        both = asking.join(candidates, "block").select("q_block", "q_ids", "q_m", "ids", "m", "floors")
+        return both.mapInArrow(run, "query_id long, vec_id long, score long, q_block int")
+
+    nothing = F.lit(None).cast("array<struct<query_id: long, floor: long>>")
+    found = met(queries.withColumns({"block": F.lit(0), "floors": nothing}))
+    if count > 1:
+        found = cut(found)
+        # No query block has more than its own queries, so neither has a row of floors.
+        kth = found.groupBy("q_block", "query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k)
+        floors = kth.groupBy("q_block").agg(F.collect_list(F.struct("query_id", "floor")).alias("floors"))
+        others = queries.withColumn("block", F.explode(F.sequence(F.lit(1), F.lit(count - 1))))
+        found = found.unionByName(met(others.join(floors, "q_block", "left")))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
