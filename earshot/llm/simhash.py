@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .blocks import give_back
-from .common import cut, in_small_batches
+from .common import cut, free_name, in_small_batches
 from .components import connected_components
 
 SEED = 42
@@ -196,8 +196,13 @@ def near_duplicate_classes(
 WIDE_WORDS = 16
 #: Share of pairs right at the threshold that may meet in no grid, by the average share of differing bits.
 MISSED = 0.005
-#: Cells of up to so many members are compared whole at once; larger ones first with their middle member.
+#: In cells of up to so many members only those are looked at that are near another one; of larger ones all are.
 SMALL_CELL = 8
+#: Members of a cell whose classes are compared in one place; larger cells are parted, and every two parts meet.
+WHOLE_CELL = 4096
+#: Standard deviations beyond the average distance at the threshold up to which pairs are candidates: by the
+#: first 64 bits, and by all.
+SKETCH_DEVIATIONS, DEVIATIONS = 3.5, 2.5
 
 
 def grid_shape(distinct: int, similarity: float) -> tuple[int, int]:
@@ -232,15 +237,16 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 
 def _wide(shingle: int):
-    """The fingerprint over a text's distinct shingles and a hash of their set."""
+    """The fingerprint over a text's distinct shingles and the halves of a 128-bit hash of their set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(x.as_py(), shingle)) for x in b.column(1)]
             found = np.array([wide_fingerprint(x) for x in sets], dtype=np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
             words = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, WIDE_WORDS, dtype=np.int32)), pa.array(found.ravel()))
-            keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), words, pa.array(keys)], ["doc_id", "text_hash", "fp", "key"])
+            keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets), "<i8").reshape(-1, 2)
+            columns = [b.column(0), b.column(2), words, *(pa.array(np.ascontiguousarray(keys[:, i])) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "key", "more"])
         give_back()
 
     return run
@@ -256,8 +262,12 @@ def _shingle_sets(shingle: int):
     return run
 
 
+def _samples(bits: int, grids: int) -> np.ndarray:
+    return np.stack([np.random.default_rng(SEED + g).choice(64 * WIDE_WORDS, bits, replace=False) for g in range(grids)])
+
+
 def _wide_cells(bits: int, grids: int):
-    sample = np.stack([np.random.default_rng(SEED + g).choice(64 * WIDE_WORDS, bits, replace=False) for g in range(grids)])
+    sample = _samples(bits, grids)
     power = np.int64(1) << np.arange(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,13 +286,14 @@ def _wide_cells(bits: int, grids: int):
 
 
 def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Rows that come sorted by their first column, the cell, in arrays that end with a cell."""
+    """Rows that come sorted by their first column, the cell, in arrays that end with a cell; a list column becomes WIDE_WORDS columns."""
     held: list[np.ndarray] = []
     size = 0
     for b in batches:
         if not b.num_rows:
             continue
-        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1))
+        columns = [c.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False)[:, None] for c in b.columns]
+        held.append(np.concatenate(columns, 1))
         size += b.num_rows
         if size >= 1 << 16 and held[-1][-1, 0] != held[0][0, 0]:
             rows = np.concatenate(held)
@@ -327,40 +338,51 @@ def _middles(cell: np.ndarray, key: np.ndarray, sketch: np.ndarray) -> np.ndarra
     return order[np.flatnonzero(np.append(True, number[1:] != number[:-1]))][number]
 
 
-def _first_pairs(most: int):
-    """(a, b, cell): pairs of near sketches, all of a small cell and those with the middle of a larger one (cell is null); then the members of larger cells (key, sketch, cell)."""
+def _cell_members(most: int, most_of_middle: int):
+    """(key, middle, cell): members of a small cell that are near another one, all members of a larger one, each with
+    the middle one of them where that is as near as pairs at the threshold are on average."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_cells(batches):
-            cell, key = rows[:, 0], rows[:, 1]
-            sketch = np.ascontiguousarray(rows[:, 2]).view(np.uint64)
+            cell, sketch = rows[:, 0], np.ascontiguousarray(rows[:, 2]).view(np.uint64)
             end = _ends(cell)
             number = np.cumsum(np.append(0, cell[1:] != cell[:-1]))
-            large = np.bincount(number)[number] > SMALL_CELL
-            pairs = list(_near_pairs(np.where(large, end, np.arange(1, len(cell) + 1)), end, key, sketch, most))
-            if large.any():
-                c, k, s = cell[large], key[large], sketch[large]
+            member = np.bincount(number)[number] > SMALL_CELL
+            for x, y in _near_pairs(np.where(member, end, np.arange(1, len(cell) + 1)), end, np.arange(len(cell)), sketch, most):
+                member[x] = member[y] = True
+            if member.any():
+                c, k, s = cell[member], rows[member, 1], sketch[member]
                 middle = _middles(c, k, s)
-                near = (np.bitwise_count(s ^ s[middle]) <= most) & (middle != np.arange(len(k)))
-                pairs.append((k[near], k[middle[near]]))
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(s.view(np.int64)), pa.array(c)], ["a", "b", "cell"])
-            if pairs:
-                a, b = (np.concatenate(x) for x in zip(*pairs))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], ["a", "b", "cell"])
+                far = (np.bitwise_count(s ^ s[middle]) > most_of_middle) | (middle == np.arange(len(k)))
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(k[middle], mask=far), pa.array(c)], ["key", "middle", "cell"])
         give_back()
 
     return run
 
 
-def _pairs_across(most: int):
-    """(a, b): pairs of near sketches in a cell whose classes differ; rows are (cell, root, key, sketch), sorted."""
+def _pairs_across(bits: int, grids: int, similarity: float):
+    """(a, b): pairs of near fingerprints whose classes differ, each in the first grid that they meet in; rows are (box, root, key, cell, part, whole, fp), sorted."""
+    most, most_wide = most_apart(similarity, 64, SKETCH_DEVIATIONS), most_apart(similarity, 64 * WIDE_WORDS, DEVIATIONS)
+    chosen = np.zeros((grids, 64 * WIDE_WORDS), np.uint8)
+    np.put_along_axis(chosen, _samples(bits, grids), 1, 1)
+    masks = np.packbits(chosen, axis=1, bitorder="little").view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_cells(batches):
-            cell, root, key = rows[:, 0], rows[:, 1], rows[:, 2]
-            sketch = np.ascontiguousarray(rows[:, 3]).view(np.uint64)
-            for a, b in _near_pairs(_ends(cell, root), _ends(cell), key, sketch, most):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            box, root, key, cell, part, whole = rows[:, :6].T
+            fp = np.ascontiguousarray(rows[:, 6:]).view(np.uint64)
+            for x, y in _near_pairs(_ends(box, root), _ends(box), np.arange(len(key)), fp[:, 0], most):
+                step = max(1, (1 << 20) // masks.size)
+                for at in range(0, len(x), step):
+                    a, b = x[at : at + step], y[at : at + step]
+                    apart = fp[a] ^ fp[b]
+                    met = (np.bitwise_count(apart).sum(1) <= most_wide) & ((whole[a] > 0) | (part[a] != part[b]))
+                    a, b, apart = a[met], b[met], apart[met]
+                    together = ~(apart[:, None, :] & masks).any(2)
+                    here = together.any(1) & (together.argmax(1) == cell[a] >> bits)
+                    if here.any():
+                        a, b = key[a[here]], key[b[here]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
         give_back()
 
     return run
@@ -396,7 +418,7 @@ def near_fingerprints(pairs: DataFrame, distinct: DataFrame, similarity: float)
     fps = distinct.select("key", "fp")
     both = pairs.join(fps.select(F.col("key").alias("a"), F.col("fp").alias("x")), "a").join(fps.select(F.col("key").alias("b"), F.col("fp").alias("y")), "b")
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
-    return both.where(apart <= most_apart(similarity, 64 * WIDE_WORDS, 3.5)).select("a", "b")
+    return both.where(apart <= most_apart(similarity, 64 * WIDE_WORDS, DEVIATIONS)).select("a", "b")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -410,58 +432,81 @@ def similar_links(distinct: DataFrame, similarity: float, sets_of: Callable[[Dat
     """(key, root): classes of keys (key, fp) that are linked at all, closed over all similar pairs that meet in a cell.
 
     Fingerprints only name candidates; links are decided on the shingle sets (key, shingles) that ``sets_of``
-    gives for keys. Small cells are compared whole, members of larger ones with the cell's middle member, which a
-    star of copies has at its centre. Links contract to classes; then all pairs of a cell whose classes still
-    differ are compared, so what is left out are only pairs within a class, which add nothing.
+    gives for keys. Members of a cell are first tried with its middle member only, which a star of copies has at
+    its centre. Links contract to classes; then all pairs of a cell whose classes still differ are compared, each in
+    the first grid that it meets in, so what is left out are only pairs within a class, which add nothing.
     """
     bits, grids = grid_shape(distinct.count(), similarity)
-    most = most_apart(similarity, 64, 3.5)
     cells = distinct.select("key", "fp").mapInArrow(_wide_cells(bits, grids), "cell long, key long, sketch long")
-    met = cut(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_first_pairs(most), "a long, b long, cell long"))
-    tried = cut(met.where("cell is null").select("a", "b").distinct())
-    pairs = cut(near_fingerprints(tried, distinct, similarity))
-    in_large = met.where("cell is not null").select(F.col("a").alias("key"))
-    sets = cut(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(in_large).distinct()))
-    first = cut(_components(similar_pairs(pairs, sets, similarity)))
-    members = (
-        met.where("cell is not null").select("cell", F.col("a").alias("key"), F.col("b").alias("sketch"))
-        .join(first, "key", "left").select("cell", F.coalesce("root", "key").alias("root"), "key", "sketch")
-    )
-    across = members.repartition("cell").sortWithinPartitions("cell", "root").mapInArrow(_pairs_across(most), "a long, b long")
-    untried = cut(across.distinct().join(tried, ["a", "b"], "left_anti"))
-    if untried.isEmpty():
+    members_of = _cell_members(most_apart(similarity, 64, SKETCH_DEVIATIONS), most_apart(similarity, 64, 0.0))
+    met = cut(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(members_of, "key long, middle long, cell long"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        return similar_pairs(pairs, cut(sets_of(keys)), similarity)
+
+    tried = met.where("middle is not null").select(F.least("key", "middle").alias("a"), F.greatest("key", "middle").alias("b")).distinct()
+    first = cut(_components(checked(cut(near_fingerprints(tried, distinct, similarity)))))
+    # Classes and fingerprints are joined once a key, which has a cell for each grid at most, and not once a cell.
+    classed = met.groupBy("key").agg(F.collect_list("cell").alias("cells")).join(first, "key", "left")
+    members = classed.select("key", F.coalesce("root", "key").alias("root"), F.explode("cells").alias("cell"))
+    cell = Window.partitionBy("cell")
+    parts = F.ceil(F.count("*").over(cell) / WHOLE_CELL)
+    still_open = members.withColumns({"lo": F.min("root").over(cell), "hi": F.max("root").over(cell), "parts": parts}).where("lo < hi")
+    at = still_open.groupBy("key", "root").agg(F.collect_list(F.struct("cell", "parts")).alias("at")).join(distinct.select("key", "fp"), "key")
+    dealt = at.select("key", "root", "fp", F.inline("at")).withColumn("part", F.pmod(F.xxhash64("key"), "parts"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    box = F.when(F.col("parts") == 1, F.col("cell")).otherwise(F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other")))
+    boxes = dealt.select(box.alias("box"), "root", "key", "cell", "part", (F.col("part") == F.col("other")).cast("long").alias("whole"), "fp")
+    compared = boxes.repartition("box").sortWithinPartitions("box", "root")
+    across = cut(compared.mapInArrow(_pairs_across(bits, grids, similarity), "a long, b long"))
+    if across.isEmpty():
         return first
     # A class found so far hangs together by links to its root.
-    links = similar_pairs(near_fingerprints(untried, distinct, similarity), sets, similarity)
+    links = checked(across)
     return _components(links.unionByName(first.select(F.col("key").alias("a"), F.col("root").alias("b"))))
 
 
+def _keyed(sets: DataFrame) -> DataFrame:
+    """``sets`` (key, more, ...) with one key for each pair of ``key`` and ``more``: where sets that differ share a key by chance, all but the first get another."""
+    twice = cut(sets.groupBy("key").agg(F.count("*").alias("n"), F.min("more").alias("least")).where("n > 1"))
+    if twice.isEmpty():
+        return sets.drop("more")
+    renamed = F.when(F.col("least").isNull() | (F.col("more") == F.col("least")), F.col("key")).otherwise(F.xxhash64("key", "more"))
+    return sets.join(twice.select("key", "least"), "key", "left").withColumn("key", renamed).drop("more", "least")
+
+
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that come first, by id, of their class of similar texts; one row for each class.
 
     Texts are similar if the sets of their ``shingle``-word shingles have a Jaccard similarity of ``similarity``
     or more; 1024-bit SimHashes of the sets find the candidates, and about one pair in a hundred right at the
     threshold is missed. Classes are closed over links. Equal texts are always linked. Null ids come after all
-    others. Texts without a word are one class. All columns are kept as they are; of repeated rows one stays.
+    others. Texts without a word are one class. All columns are kept as they are; of rows with equal ids and
+    texts the one stays whose columns come first in order, from left to right (maps are not compared).
     """
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("key", T.LongType())])
+    longs = [T.StructField(c, T.LongType()) for c in ("text_hash", "key", "more")]
+    schema = T.StructType([T.StructField("doc_id", kind), longs[0], T.StructField("fp", T.ArrayType(T.LongType())), *longs[1:]])
     rows = in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash.alias("text_hash"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     fps = rows.mapInArrow(_wide(shingle), schema)
-    distinct = cut(fps.groupBy("key").agg(F.any_value("fp").alias("fp"), first))
+    distinct = cut(_keyed(cut(fps.groupBy("key", "more").agg(F.any_value("fp").alias("fp"), first))))
 
     def sets_of(keys: DataFrame) -> DataFrame:
-        texts = distinct.join(keys, "key", "left_semi").select("key", F.col("first.text_hash").alias("text_hash"))
-        found = rows.select("text", "text_hash").join(texts, "text_hash").dropDuplicates(["key"])
+        texts = distinct.join(keys, "key", "left_semi").select("key", F.col("first.text_hash").alias("own_hash"), F.col("first.doc_id").alias("own_id"))
+        found = rows.join(texts, (F.col("text_hash") == F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).dropDuplicates(["key"])
         return found.select("key", "text").mapInArrow(_shingle_sets(shingle), "key long, shingles array<long>")
 
     linked = similar_links(distinct, similarity, sets_of)
+    hash_name, kept_hash, kept_id = (free_name(n, docs) for n in ("_text_hash", "_kept_hash", "_kept_id"))
     kept = (
         distinct.select("key", "first").join(linked, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first"))
-        .select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+        .select(F.col("first.doc_id").alias(kept_id), F.col("first.text_hash").alias(kept_hash))
     )
-    marked = docs.withColumn("_text_hash", text_hash)
-    found = marked.join(kept, (F.col("_text_hash") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return found.dropDuplicates(["_text_hash", id_col]).select(*docs.columns)
+    marked = docs.withColumn(hash_name, text_hash)
+    found = marked.join(kept, (F.col(hash_name) == F.col(kept_hash)) & F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")
+    whole, compared = F.struct(*docs.columns), [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    least = F.min(whole) if len(compared) == len(docs.columns) else F.min_by(whole, F.struct(*compared))
+    return found.groupBy(hash_name, id_col).agg(least.alias("row")).select("row.*")

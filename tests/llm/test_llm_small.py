@@ -652,6 +652,35 @@ def test_large_star_of_similar_fingerprints(spark):
     assert largest >= 0.98 * len(rows), largest
 
 
+@pytest.mark.parametrize("whole", [4096, 7])
+def test_chains_in_large_cells(spark, monkeypatch, whole):
+    """400 fingerprints, each 40 bits from the one before, in two chains: two classes, whether cells are compared whole or in parts."""
+    monkeypatch.setattr(simhash, "WHOLE_CELL", whole)
+    r = np.random.default_rng(4)
+    rows, sets = [], []
+    for chain in range(2):
+        own = r.integers(0, 2, 1024).astype(np.uint8)
+        for i in range(200):
+            own[r.choice(1024, 40, replace=False)] ^= 1
+            rows.append((chain * 1000 + i, np.packbits(own, bitorder="little").view("<i8").tolist()))
+            sets.append((chain * 1000 + i, list(range(100_000 * chain + 10 * i, 100_000 * chain + 10 * i + 100))))  # 90/110 to the next
+    sets = spark.createDataFrame(sets, "key long, shingles array<long>")
+    found = simhash.similar_links(spark.createDataFrame(rows, "key long, fp array<long>"), 0.8, lambda keys: sets.join(keys, "key", "left_semi")).collect()
+    assert sorted(Counter(x.root for x in found).items()) == [(0, 200), (1000, 200)]
+
+
+def test_sets_that_share_a_key_are_told_apart(spark):
+    rows = [(1, 7, "a"), (1, 9, "b"), (2, 7, "c"), (3, 1, "d")]
+    got = {r.fp: r.key for r in simhash._keyed(spark.createDataFrame(rows, "key long, more long, fp string")).collect()}
+    assert (got["a"], got["c"], got["d"]) == (1, 2, 3) and got["b"] not in (1, 2, 3)
+
+
+def test_of_repeated_rows_the_first_in_order_stays(spark):
+    rows = [(5, "a b c", "x", {"k": 1}), (5, "a b c", "w", {"k": 2}), (6, "a b c", "v", {"k": 3})]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _kept_id string, m map<string, int>")
+    assert [(r.doc_id, r["_kept_id"], r.m) for r in simhash.keep_first(frame).collect()] == [(5, "w", {"k": 2})]
+
+
 def edited(base, n, r):
     """``base`` with ``n`` words replaced, so far apart that each takes five shingles."""
     own = list(base)
@@ -718,11 +747,12 @@ def test_grids_grow_with_the_fingerprints():
 
 @pytest.mark.parametrize("sizes", [[1], [6], [8], [9, 1], [3, 70_000, 2]])
 def test_cells_of_any_size(sizes):
-    """Arrays of few rows, and a cell longer than an array: near pairs of small cells, a star in a large one."""
+    """Arrays of few rows, and a cell longer than an array: a star for each cell, and no row for one that is alone."""
     cell = np.repeat(np.arange(len(sizes)), sizes)
     rows = pa.record_batch([pa.array(cell), pa.array(np.arange(len(cell))), pa.array(np.zeros(len(cell), np.int64))], ["cell", "key", "sketch"])
-    pairs = sum(b.num_rows for b in simhash._first_pairs(0)(rows.slice(a, 500) for a in range(0, len(cell), 500)) if b.column(2).null_count)
-    assert pairs == sum(n * (n - 1) // 2 if n <= simhash.SMALL_CELL else n - 1 for n in sizes)
+    found = list(simhash._cell_members(0, 0)(rows.slice(a, 500) for a in range(0, len(cell), 500)))
+    assert sum(b.num_rows for b in found) == sum(n for n in sizes if n > 1)
+    assert sum(b.num_rows - b.column(1).null_count for b in found) == sum(n - 1 for n in sizes if n > 1)
 
 
 def test_op6_shuffles_whole_documents(docs, spark, tmp_path):
