@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, mixing, ngram_lm, packing, quality, sharding, simhash, substrings, topk
+from . import language, media, mixing, ngram_lm, packing, prefix_trie, quality, sharding, simhash, substrings, topk
 from .common import byte_length, shuffle_width, table
 
 SHARDS = 24
@@ -87,6 +87,12 @@ def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the prefix trie of the rebuilt conversations."""
+    nodes = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES = {
     "op1_jump_sharding": op1_jump_sharding,
     "op2_substring_dedup": op2_substring_dedup,
@@ -98,6 +104,7 @@ QUERIES = {
     "op8_language_bayes": op8_language_bayes,
     "op9_progressive_jpeg": op9_progressive_jpeg,
     "op10_simhash_popcount": op10_simhash_popcount,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLES = {
@@ -171,5 +178,41 @@ scored AS (
   FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+""",
+    # A node is named by its smallest member and its depth; a conversation's node at a depth is found by its list of turns.
+    "op13_conversation_trie": """
+WITH crc_table AS (
+  SELECT list(list_reduce([r, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY r) AS t
+  FROM range(256) AS x(r)),
+own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+shares AS (
+  SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT FOR c IN string_split(conv_id::VARCHAR, '')]),
+      lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295::BIGINT) % 4 AS h
+  FROM own, crc_table),
+rebuilt AS (
+  SELECT s.conv_id, list_concat(coalesce(b.turns, [])[1:h], s.turns[h + 1:]) AS turns
+  FROM shares s LEFT JOIN own b ON b.conv_id = s.conv_id - s.conv_id % 20),
+path AS (
+  SELECT conv_id, depth, turns[1:depth] AS prefix, len(turns) AS turns,
+    CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(turns[depth].text, '[^\x20\x09-\x0D]+')) END AS words
+  FROM (SELECT *, unnest(range(len(turns) + 1)) AS depth FROM rebuilt)),
+owned AS (SELECT conv_id, depth, turns, words, min(conv_id) OVER (PARTITION BY depth, prefix) AS owner FROM path),
+nodes AS (
+  SELECT owner, depth, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (turns = depth), '')) AS ends_sha256
+  FROM owned GROUP BY owner, depth),
+parents AS (
+  SELECT n.*, o.owner AS parent FROM nodes n LEFT JOIN owned o ON o.conv_id = n.owner AND o.depth = n.depth - 1),
+children AS (SELECT parent AS owner, depth - 1 AS depth, count(*) AS n_children FROM parents WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT p.*, coalesce(n_children, 0) AS n_children FROM parents p LEFT JOIN children c USING (owner, depth)),
+sums AS (
+  SELECT o.owner, o.depth, count(*) FILTER (u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.words)::BIGINT AS saved_tokens
+  FROM full_nodes u JOIN owned o ON o.conv_id = u.owner AND o.depth <= u.depth GROUP BY o.owner, o.depth)
+SELECT owner AS conv_id, depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM full_nodes JOIN sums USING (owner, depth)
 """,
 }
