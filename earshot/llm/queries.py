@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, mixing, ngram_lm, packing, prefix_trie, quality, sharding, simhash, substrings, topk
+from . import best_fit, divergence, language, media, mixing, ngram_lm, packing, prefix_trie, quality, sharding, simhash, substrings, topk
 from .common import byte_length, shuffle_width, table
 
 SHARDS = 24
@@ -87,6 +87,17 @@ def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of all sources of a language, and the terms that set a source apart from its language."""
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_swap_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in as few sequences of 4096 tokens as the local search finds."""
+    pieces = best_fit.pack_best_fit(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes of the prefix trie of the rebuilt conversations."""
     nodes = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
@@ -104,6 +115,8 @@ QUERIES = {
     "op8_language_bayes": op8_language_bayes,
     "op9_progressive_jpeg": op9_progressive_jpeg,
     "op10_simhash_popcount": op10_simhash_popcount,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_swap_best_fit": op12_swap_best_fit,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
@@ -178,6 +191,34 @@ scored AS (
   FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+""",
+    # Every source with every kept term, zeros included, in 128-bit integers.
+    "op11_source_divergence": """
+WITH docs AS (
+  SELECT row_number() OVER () AS n_doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM documents),
+words AS (SELECT n_doc, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT n_doc) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+tf AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+cells AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER g AS total, count(*) OVER g AS v
+  FROM groups JOIN kept USING (lang) LEFT JOIN tf USING (lang, source, term) WINDOW g AS (PARTITION BY lang, source)),
+shares AS (
+  SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS p,
+    1 + (1000000000::HUGEINT * (sum(n) OVER t + 5)) // (sum(n) OVER l + 5 * v) AS q
+  FROM cells WINDOW t AS (PARTITION BY lang, term), l AS (PARTITION BY lang)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(value, 0) AS value
+  FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source
+  LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source AND s.item = o.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """,
     # A node is named by its smallest member and its depth; a conversation's node at a depth is found by its list of turns.
     "op13_conversation_trie": """
@@ -198,7 +239,7 @@ rebuilt AS (
   FROM shares s LEFT JOIN own b ON b.conv_id = s.conv_id - s.conv_id % 20),
 path AS (
   SELECT conv_id, depth, turns[1:depth] AS prefix, len(turns) AS turns,
-    CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(turns[depth].text, '[^\x20\x09-\x0D]+')) END AS words
+    CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(turns[depth].text, '[^\\x20\\x09-\\x0D]+')) END AS words
   FROM (SELECT *, unnest(range(len(turns) + 1)) AS depth FROM rebuilt)),
 owned AS (SELECT conv_id, depth, turns, words, min(conv_id) OVER (PARTITION BY depth, prefix) AS owner FROM path),
 nodes AS (
