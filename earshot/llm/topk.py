@@ -53,16 +53,17 @@ _PACKED = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("m", pa.binar
 
 def blocks(vectors: DataFrame, rows_per_block: int, n: int) -> DataFrame:
     count = max(1, math.ceil(n / rows_per_block))
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)).cast("int"))  # so the vectors of one id are spread
     return dealt.groupBy("block").applyInArrow(_pack, "block int, ids binary, m binary")
 
 
 def search_block(
     queries: np.ndarray, query_ids: np.ndarray, m: np.ndarray, ids: np.ndarray, k: int, floors: dict[int, int] | None = None
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (rows of ``queries``): its id, and ids and scores of its best k among the columns of ``m``.
+    """For each query (rows of ``queries``): its id, and ids and best scores of its best k ids among the columns of ``m``.
 
-    ``floors`` has scores that k candidates elsewhere reach; what stays below may be left out.
+    ``floors`` has scores that k candidates elsewhere reach; what stays below may be left out. Where ids have more
+    than one column, as many more columns stand for at least k ids, so bounds are taken that much further down.
     """
     dims = max(queries.shape[1], m.shape[0])
     queries = np.pad(queries, ((0, 0), (0, dims - queries.shape[1])))
@@ -81,6 +82,7 @@ def search_block(
     own = remaining(m.astype(np.float64) ** 2)
     theirs = remaining(queries.T.astype(np.float64) ** 2)
     begun = queries[:, steps[0]] @ m[steps[0]]
+    wide = k + len(ids) - len(np.unique(ids))
     for i, q in enumerate(queries):
         alive = np.flatnonzero(ids != query_ids[i])
         score = begun[i, alive]
@@ -88,18 +90,21 @@ def search_block(
         for j, step in enumerate(steps):
             if j:
                 score = score + q[step] @ m[step][:, alive]
-            if len(alive) <= k:
+            if len(alive) <= wide:
                 continue
             slack = theirs[j][i] * own[j][alive]
             if j + 1 < len(steps):
                 if j == 0:  # exact scores of the most promising give the first floor
-                    best = alive[np.argpartition(score + slack, len(alive) - k)[-k:]]
+                    best = alive[np.argpartition(score + slack, len(alive) - wide)[-wide:]]
                     floor = max(floor, float((q @ m[:, best]).min()))
                 else:
-                    floor = max(floor, float(np.partition(score - slack, len(alive) - k)[-k]))
+                    floor = max(floor, float(np.partition(score - slack, len(alive) - wide)[-wide]))
                 stay = score + slack >= floor - 1e-6 * (1 + abs(floor))
                 alive, score = alive[stay], score[stay]
-        order = np.lexsort((ids[alive], -score))[:k]
+        order = np.lexsort((ids[alive], -score))[:wide]
+        if wide > k:
+            order = order[np.sort(np.unique(ids[alive][order], return_index=True)[1])]
+        order = order[:k]
         yield query_ids[i], ids[alive][order], score[order].astype(np.int64)
 
 
@@ -117,10 +122,11 @@ def top_k(
     """(query_id, rank, vec_id, score): the k best of all other rows for each row with id % query_every = 0.
 
     Ties go to the smaller id. A query with fewer than k other rows gets them all. Rows that share the
-    query's id count as its own. Of rows with one id the one with the greatest vector, compared component by
-    component, takes part, so repeated rows are one query and one candidate. Empty tables give no rows. Queries and candidates meet in blocks; no block grows with the data.
+    query's id count as its own. Equal rows are one; rows of one id with different vectors all take part, as
+    queries and as candidates, and two ids have the best score that any of their vectors reach. Empty tables give
+    no rows. Queries and candidates meet in blocks; no block grows with the data, or with the vectors of an id.
     """
-    rows = cut(quantised(vectors, id_col=id_col, vec_col=vec_col, scale=scale).groupBy("vec_id").agg(F.max("v").alias("v")))
+    rows = cut(quantised(vectors, id_col=id_col, vec_col=vec_col, scale=scale).distinct())
     asked = rows.where(F.col("vec_id") % query_every == 0)
     n, n_asked = rows.count(), asked.count()
     candidates = blocks(rows, rows_per_block, n)
@@ -153,9 +159,10 @@ def top_k(
     if count > 1:
         found = cut(found)
         # No query block has more than its own queries, so neither has a row of floors.
-        kth = found.groupBy("q_block", "query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k)
+        kth = found.groupBy("q_block", "query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("q_block", "query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k)
         floors = kth.groupBy("q_block").agg(F.collect_list(F.struct("query_id", "floor")).alias("floors"))
         others = queries.withColumn("block", F.explode(F.sequence(F.lit(1), F.lit(count - 1))))
         found = found.unionByName(met(others.join(floors, "q_block", "left")))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # one shuffle for both
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -797,3 +797,20 @@ def test_topk_of_repeated_rows(spark):
     rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, [0.5, 0.0])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2, query_every=20).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(20, 1, 1, 64 * 128), (20, 2, 2, 64 * 64)]
+
+
+@pytest.mark.parametrize("block", [4, 64])
+def test_topk_of_ids_with_several_vectors(spark, block):
+    """All vectors of an id take part, as queries and as candidates, and the best score between two ids counts."""
+    r = np.random.default_rng(9)
+    rows = [(int(i), [float(x) for x in r.integers(-3, 4, 6)]) for i in r.integers(0, 40, 200)] + [(7, [3.0] * 6)] * 3 + [(8, [3.0] * j + [1.0] * (6 - j)) for j in range(7)]
+    best = {}
+    for i, v in rows:
+        for j, w in rows:
+            if i % 4 == 0 and i != j:
+                best[i, j] = max(best.get((i, j), -(10**9)), int(np.floor(64 * np.array(v)) @ np.floor(64 * np.array(w))))
+    want = []
+    for i in {i for i, _ in best}:
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(sorted((-s, j) for (a, j), s in best.items() if a == i)[:5])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, query_every=4, rows_per_block=block, queries_per_block=8).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
