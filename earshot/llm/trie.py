@@ -62,11 +62,16 @@ class Trie:
         out = np.full(len(contexts), ABSENT, "<u2")
         if self.n == 0 or len(contexts) == 0:
             return out
-        at = self.contexts.successor(contexts)
-        known = np.flatnonzero(at < self.contexts.n)
-        known = known[self.contexts[at[known]] == contexts[known]]
-        rank = at[known]
-        first, last = self.pointers[rank].astype(np.int64), self.pointers[rank + 1].astype(np.int64)
+        distinct, of = np.unique(contexts, return_inverse=True)
+        at = self.contexts.successor(distinct)
+        there = np.flatnonzero(at < self.contexts.n)
+        there = there[self.contexts[at[there]] == distinct[there]]
+        ranks = np.full(len(distinct), -1, np.int64)
+        ranks[there] = at[there]
+        begin, end = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        begin[there], end[there] = self.pointers[at[there]].astype(np.int64), self.pointers[at[there] + 1].astype(np.int64)
+        known = np.flatnonzero(ranks[of] >= 0)
+        rank, first, last = (x[of[known]] for x in (ranks, begin, end))
         want = rank.astype(np.uint64) * np.uint64(self.universe) + successors[known]
         found = self.successors.successor(want, first, last)
         hit = found < last
