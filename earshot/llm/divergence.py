@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ from .common import cut, in_small_batches
 
 #: Documents of its language that a term must be in; terms named for a source; pseudo-count; units of a share.
 MIN_DOCS, TOP, PRIOR, UNITS = 30, 50, 5, 1_000_000_000
-#: Characters of texts counted at once, rows of counts tallied in a task, pairs tallied at once; they bound memory only.
-BLOCK_CHARS, TALLY_ROWS, PAIRS_AT_ONCE = 8 << 20, 100_000, 1 << 20
+#: Characters of texts read at once, terms whose counts a task holds, rows of counts tallied in a task, pairs tallied at once; they bound memory only.
+BLOCK_CHARS, HELD, TALLY_ROWS, PAIRS_AT_ONCE = 2 << 20, 500_000, 100_000, 1 << 20
 #: Parts in which the terms of a source are ranked before their best meet.
 RANK_PARTS = 32
 
@@ -36,31 +37,48 @@ _COUNTS_ARROW = pa.schema([("lang", pa.string()), ("source", pa.string()), ("ter
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of each term and documents that hold it, for each source in a block of texts."""
-    for langs, texts, sources in batched(batches, BLOCK_CHARS):
-        seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        for lang, text, source in zip(langs, texts, sources):
-            n, docs = seen.setdefault((lang, source), (Counter(), Counter()))
-            own = Counter(text.encode("utf-8", "surrogatepass").translate(_FOLD).split())
-            n.update(own)
-            docs.update(own.keys())
+    """Occurrences of each term and documents that hold it, by source, for as many texts as bring HELD terms to be held."""
+    seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+    def told() -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in seen.items():
             terms = [b"", *n]  # the empty term keeps sources without any
             for a in range(0, len(terms), 16384):
                 some = terms[a : a + 16384]
                 same = [pa.array([v] * len(some), pa.string()) for v in (lang, source)]
-                text = pa.array([t.decode("utf-8", "surrogatepass") for t in some], pa.string())
-                yield pa.RecordBatch.from_arrays([*same, text, pa.array([n[t] for t in some], pa.int64()), pa.array([docs[t] for t in some], pa.int64())], schema=_COUNTS_ARROW)
-        del seen
+                yield pa.RecordBatch.from_arrays([*same, pa.array(some, pa.binary()).cast(pa.string()), pa.array([n[t] for t in some], pa.int64()), pa.array([docs[t] for t in some], pa.int64())], schema=_COUNTS_ARROW)
+        seen.clear()
         give_back()
 
+    for langs, texts, sources in batched(batches, BLOCK_CHARS):
+        for lang, text, source in zip(langs, texts, sources):
+            n, docs = seen.setdefault((lang, source), (Counter(), Counter()))
+            own = text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
+            n.update(own)
+            docs.update(set(own))
+        if sum(len(n) + 1 for n, _ in seen.values()) >= HELD:
+            yield from told()
+    yield from told()
+
 
 _JOINT = "lang string, source string, item string, a long, b long, terms long"
 _JOINT_ARROW = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("terms", pa.int64())])
 
 
+def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with the sums of their times."""
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], times[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(times, first) if len(first) else times
+
+
 def _tally(table: pa.Table) -> pa.Table:
-    """How many of these terms of a language each two sources (the lesser name first) hold with which two counts, both above zero."""
+    """How many of these terms of a language each two sources (the lesser name first) hold with which two counts.
+
+    A cell is a combination of counts above zero. What lies in such cells is taken from the cells with one zero and
+    put back into that with two, as these are first filled from the sources' own histograms.
+    """
     if not table.num_rows:
         return _JOINT_ARROW.empty_table()
     lang = table.column("lang")[0].as_py()
@@ -68,32 +86,35 @@ def _tally(table: pa.Table) -> pa.Table:
     number = {s: i for i, s in enumerate(names)}
     source = np.array([number[s] for s in table.column("source").to_pylist()], np.int64)
     term = table.column("term").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    values, count = np.unique(table.column("n").to_numpy(), return_inverse=True)
+    values, count = np.unique(np.append(table.column("n").to_numpy(), 0), return_inverse=True)  # code 0 is the count 0
     order = np.lexsort((source, term))
-    source, term, count = source[order], term[order], count[order].astype(np.int64)
-    # Row i of a term meets the rows behind it in that term.
-    behind = np.searchsorted(term, term, side="right") - np.arange(len(term)) - 1
+    source, term, count = source[order], term[order], count[:-1][order].astype(np.int64)
+    # A cell in one number: pair of sources, pair of codes; the codes of a part are as few as its rows.
+    pairs, codes = len(names) ** 2, len(values)
+    if pairs * codes**2 >= 1 << 63 and term[-1] > 0:  # too many of both: the terms in two halves
+        low = pa.array(table.column("term").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) <= term[-1] // 2)
+        return pa.concat_tables([_tally(table.filter(low)), _tally(table.filter(pc.invert(low)))])
+    behind = np.searchsorted(term, term, side="right") - np.arange(len(term)) - 1  # row i of a term meets the rows behind it in that term
     upto = np.cumsum(behind)
-    found: dict[tuple[int, int, int, int], int] = {}
+    keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
     a = 0
     while a < len(term):
         b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS_AT_ONCE, side="right")))
         left = np.repeat(np.arange(a, b), behind[a:b])
-        starts = np.cumsum(behind[a:b]) - behind[a:b]
-        right = left + 1 + np.arange(len(left)) - np.repeat(starts, behind[a:b])
-        cells, times = np.unique(np.stack([source[left], source[right], count[left], count[right]]), axis=1, return_counts=True)
-        for cell, n in zip(map(tuple, cells.T.tolist()), times.tolist()):
-            found[cell] = found.get(cell, 0) + n
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(behind[a:b]) - behind[a:b], behind[a:b])
+        met, n = np.unique(((source[left] * len(names) + source[right]) * codes + count[left]) * codes + count[right], return_counts=True)
+        keys, times = _summed(np.append(keys, met), np.append(times, n))
         a = b
-    cells = np.array(list(found), np.int64).reshape(-1, 4)
+    x = keys // codes % codes
+    y = keys % codes
+    one, n_one = _summed(keys - y, times)  # (a, 0)
+    two, n_two = _summed(keys - x * codes, times)  # (0, b)
+    none, n_none = _summed(keys // codes**2 * codes**2, times)  # (0, 0)
+    keys, times = np.concatenate([keys, one, two, none]), np.concatenate([times, -n_one, -n_two, n_none])
+    pair = keys // codes**2
     named = pa.array(names, pa.string())
-    return pa.Table.from_arrays(
-        [
-            pa.array([lang] * len(cells), pa.string()), named.take(pa.array(cells[:, 0])), named.take(pa.array(cells[:, 1])),
-            pa.array(values[cells[:, 2]]), pa.array(values[cells[:, 3]]), pa.array(list(found.values()), pa.int64()),
-        ],
-        schema=_JOINT_ARROW,
-    )
+    cells = [named.take(pa.array(pair // len(names))), named.take(pa.array(pair % len(names))), pa.array(values[keys // codes % codes]), pa.array(values[keys % codes]), pa.array(times)]
+    return pa.Table.from_arrays([pa.array([lang] * len(keys), pa.string()), *cells], schema=_JOINT_ARROW)
 
 
 def _share(count: str, total: str, terms: str) -> Column:
@@ -102,28 +123,21 @@ def _share(count: str, total: str, terms: str) -> Column:
 
 
 def _joint_histograms(kept: DataFrame, groups: DataFrame) -> DataFrame:
-    """(lang, source, item, a, b, terms): how many kept terms two sources hold ``a`` and ``b`` times, zeros included; each pair both ways round."""
+    """(lang, source, item, a, b, terms): how many kept terms two sources, the lesser name first, hold ``a`` and ``b`` times, zeros included."""
     parts = max(1, -(-kept.count() // TALLY_ROWS))
     dealt = kept.select("lang", "source", "term", "n", F.pmod(F.xxhash64("term"), F.lit(parts)).alias("part"))
     joint = dealt.groupBy("lang", "part").applyInArrow(_tally, _JOINT)
-    # What both hold is counted, and taken from the cells in which either is zero.
-    cells = F.array(*(F.struct(a.alias("a"), b.alias("b"), n.alias("terms")) for a, b, n in (
-        (F.col("a"), F.col("b"), F.col("terms")), (F.col("a"), F.lit(0).cast("long"), -F.col("terms")),
-        (F.lit(0).cast("long"), F.col("b"), -F.col("terms")), (F.lit(0).cast("long"), F.lit(0).cast("long"), F.col("terms")),
-    )))
-    joint = joint.groupBy("lang", "source", "item", "a", "b").agg(F.sum("terms").alias("terms"))
-    joint = joint.select("lang", "source", "item", F.inline(cells))
-    turned = joint.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), F.col("b").alias("a"), F.col("a").alias("b"), "terms")
     # A source's own histogram: beside a source that holds nothing, these are the cells with one zero, and the rest has two.
     own = kept.groupBy("lang", "source", "n").agg(F.count("*").alias("terms"))
     other = groups.select("lang", F.col("source").alias("item"))
     zero = F.lit(0).cast("long")
-    first = own.join(other, "lang").where("source <> item").select("lang", "source", "item", F.col("n").alias("a"), zero.alias("b"), "terms")
-    second = first.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), F.col("b").alias("a"), F.col("a").alias("b"), "terms")
-    held = first.unionByName(second)
-    none = groups.select("lang", "source", "terms").join(other, "lang").where("source <> item").select("lang", "source", "item", zero.alias("a"), zero.alias("b"), "terms")
-    gone = held.select("lang", "source", "item", zero.alias("a"), zero.alias("b"), (-F.col("terms")).alias("terms"))
-    every = joint.unionByName(turned).unionByName(held).unionByName(none).unionByName(gone)
+    pair = (F.least("source", "item").alias("source"), F.greatest("source", "item").alias("item"))
+    lesser = F.col("source") < F.col("item")
+    held = own.join(other, "lang").where("source <> item").select("lang", *pair, F.when(lesser, F.col("n")).otherwise(zero).alias("a"), F.when(lesser, zero).otherwise(F.col("n")).alias("b"), "terms")
+    totals = kept.groupBy("lang", "source").agg((-F.count("*")).alias("terms"))
+    gone = totals.join(other, "lang").where("source <> item").select("lang", *pair, zero.alias("a"), zero.alias("b"), "terms")
+    none = groups.select("lang", "source", "terms").join(other, "lang").where("source < item").select("lang", "source", "item", zero.alias("a"), zero.alias("b"), "terms")
+    every = joint.unionByName(held).unionByName(none).unionByName(gone)
     return every.groupBy("lang", "source", "item", "a", "b").agg(F.sum("terms").alias("terms"))
 
 
@@ -168,8 +182,9 @@ def source_divergence(
     cells = _joint_histograms(kept, groups).where("terms <> 0").join(own, ["lang", "source"]).join(beside, ["lang", "item"])
     apart = F.abs(_share("a", "total", "v") - _share("b", "other", "v")) * F.col("terms")
     sums = cells.select("lang", "source", "item", apart.alias("value")).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
-    pairs = own.join(beside, "lang").where("source <> item").select("lang", "source", "item")
+    pairs = own.join(beside, "lang").where("source < item").select("lang", "source", "item")
     pairs = pairs.join(sums, ["lang", "source", "item"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
+    pairs = pairs.select("lang", F.inline(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))), "value")
 
     order = (F.desc("value"), F.asc("item"))
     pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order)))

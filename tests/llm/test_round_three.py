@@ -137,6 +137,7 @@ def test_divergence_in_small_tallies(docs, rows, monkeypatch):
     monkeypatch.setattr(divergence, "TALLY_ROWS", 40)
     monkeypatch.setattr(divergence, "PAIRS_AT_ONCE", 3)
     monkeypatch.setattr(divergence, "BLOCK_CHARS", 500)
+    monkeypatch.setattr(divergence, "HELD", 30)
     assert divergence_of(docs, min_docs=2) == plain_divergence(rows, 2)
 
 
