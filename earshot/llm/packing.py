@@ -36,8 +36,8 @@ LARGEST, BRANCHES = 255, 128
 #: Windows that are worked out at once; bounds memory only.
 WINDOWS_AT_ONCE = 4096
 #: Words kept in a worker's cache; bounds memory only.
-CACHE_WORDS = 500_000
-_TAIL = re.compile(rb"(?<=[a-z0-9])[.,;:!?|]+$")
+CACHE_WORDS = 800_000
+_TAIL, _ENDS = re.compile(rb"(?<=[a-z0-9])[.,;:!?|]+$"), frozenset(b".,;:!?|")
 
 
 def _gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -72,15 +72,15 @@ class WordTokenizer:
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, number of ids of each)."""
-        index: dict[bytes, int] = {}
-        halves = []
+        cores, tails = [], []
         for w in words:
             if b"<|" not in w:  # special tokens are only recognised as written
                 w = w.lower()
-            m = _TAIL.search(w)
-            core, tail = (w[: m.start()], m[0]) if m else (w, b"")
-            halves += [index.setdefault(core, len(index)), index.setdefault(tail, len(index))]
-        pieces = list(index)
+            m = _TAIL.search(w) if w[-1] in _ENDS else None
+            cores.append(w[: m.start()] if m else w)
+            tails.append(m[0] if m else b"")
+        both = pa.array(cores + tails, pa.large_binary()).dictionary_encode()
+        pieces = both.dictionary.to_pylist()
         keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), "<u8").reshape(-1, 2)
         at = np.minimum(np.searchsorted(self.keys[:, 0], keys[:, 0]), max(0, len(self.keys) - 1))
         known = (self.keys[at] == keys).all(1) if len(self.keys) else np.zeros(len(keys), bool)
@@ -97,7 +97,7 @@ class WordTokenizer:
         size[new] = sizes
         first[new] = len(self.flat) + np.cumsum(size[new]) - size[new]
         flat = np.concatenate([self.flat, np.array(ids, dtype="<u4")])
-        which = np.array(halves, dtype=np.int64)
+        which = both.indices.to_numpy().astype(np.int64).reshape(2, -1).T.ravel()  # core and tail, word by word
         out = _gather(flat, first[which], size[which])
         room = max(0, CACHE_WORDS - len(self.keys))
         if room and len(new):
@@ -110,17 +110,19 @@ class WordTokenizer:
 
     def texts(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, each closed by ``end``; number of ids of each text)."""
-        index: dict[bytes | None, int] = {None: 0}
-        words: list[int] = []
+        words: list[bytes] = []
         counts = []
         for t in texts:
             own = t.encode("utf-8", "surrogatepass").split()
-            words += [index.setdefault(w, len(index)) for w in own]
-            words.append(0)
+            words += own
             counts.append(len(own) + 1)
-        flat, size = self.words(list(index)[1:])
+        coded = pa.array(words, pa.large_binary()).dictionary_encode()
+        flat, size = self.words(coded.dictionary.to_pylist())
         flat, size = np.append(np.array([end], "<u4"), flat), np.append(1, size)
-        at = np.array(words, dtype=np.int64)
+        at = np.zeros(len(words) + len(texts), np.int64)
+        inside = np.ones(len(at), bool)
+        inside[np.cumsum(counts, dtype=np.int64) - 1] = False  # the end closes each text
+        at[inside] = coded.indices.to_numpy() + 1
         ids = _gather(flat, (np.cumsum(size) - size)[at], size[at])
         ends = np.cumsum(size[at])[np.cumsum(counts) - 1] if counts else np.zeros(0, np.int64)
         return ids, np.diff(ends, prepend=0)
