@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .library import Library
+from .library import Library, content_digest
 from .operators.numbering import shared_folder
 
 
@@ -72,9 +71,9 @@ def library(spark: SparkSession, sf_dir: str) -> Library:
 
 
 def stored_library(spark: SparkSession, sf_dir: str) -> Library:
-    """The library with its rollups stored in the shared folder, in one that belongs to this session and these tables."""
-    folder = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
-    return replace(library(spark, sf_dir), store=f"{shared_folder(spark)}/rollups-{spark.sparkContext.applicationId}-{folder}")
+    """The library with its rollups stored in the shared folder, in one that belongs to this session and the files that the rollups come from."""
+    content = content_digest(*(read(spark, sf_dir, t) for t in ("events", "part", "lineitem")))
+    return replace(library(spark, sf_dir), store=f"{shared_folder(spark)}/rollups-{spark.sparkContext.applicationId}-{content}")
 
 
 def big_listens(spark: SparkSession, sf_dir: str) -> DataFrame:

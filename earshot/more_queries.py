@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures
-from .functions import links, romanize, text
+from .functions import links, readings, text
 from .library import Library
 from .operators import catalogue, history, merging, stats
 from .operators.numbering import cut, shared_folder
 from .plans.timeframe import Timeframe
 from .queries import LATE, USER, _albums_sql, _artists_sql, _days, _tracks_sql, query, table_query
-from .sources import importers
+from .sources import importers, index
 from .streaming import live
 
 # ---- readers: each listen written in a service's format, several files, and read back
@@ -236,7 +236,15 @@ def _origin_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- romanised names: built syllable by syllable, so that the right spelling is known from the pieces
 
-_JAMO = {"i": romanize.INITIALS, "v": romanize.VOWELS, "f": romanize.FINALS}
+# Fixed values of the test: how the jamo are spelt, written out beside the module's own table; _ is none.
+_JAMO = {
+    "i": "g kk n d tt r m b pp s ss _ j jj ch k t p h",
+    "v": "a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i",
+    "f": "_ g kk gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j ch k t p h",
+}
+_JAMO = {k: ["" if x == "_" else x for x in v.split(" ")] for k, v in _JAMO.items()}
+#: The first of the words below before each of them: the small tsu doubles what follows it, or has nothing to double.
+_DOUBLED = ["", "gakkou", "garraa", "gammen", "gakkya", "gattso", "", "gann", "gaffa", "", "gaoo", ""]
 _KANA_WORDS = [("がっ", None), ("こう", "kou"), ("ラー", "raa"), ("メン", "men"), ("きゃ", "kya"), ("ツォ", "tso"), ("っぽ", "ppo"), ("ん", "n"), ("ふぁ", "fa"), ("ABC", "ABC"), ("を", "o"), ("ょ", None)]
 
 
@@ -253,16 +261,37 @@ def _romanized_hangul(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.read(spark, sf_dir, "orders").select("o_orderkey", name.alias("name")).withColumn("spelt", text.romanize_name("name"))
 
 
-@table_query("romanized_kana", f"""SELECT o_orderkey, a || b AS name, CASE WHEN x IS NULL OR y IS NULL OR a || b = 'ABCABC' THEN '' ELSE x || y END AS spelt FROM (
+@table_query("romanized_kana", f"""SELECT o_orderkey, a || b AS name, CASE WHEN a = 'がっ' THEN {_listed(_DOUBLED)}[n + 1] WHEN x IS NULL OR y IS NULL OR a || b = 'ABCABC' THEN '' ELSE x || y END AS spelt FROM (
   SELECT o_orderkey, {_listed([k for k, _ in _KANA_WORDS])}[o_orderkey % 12 + 1] AS a, {_listed([k for k, _ in _KANA_WORDS])}[o_custkey % 12 + 1] AS b,
-  {_listed([v for _, v in _KANA_WORDS])}[o_orderkey % 12 + 1] AS x, {_listed([v for _, v in _KANA_WORDS])}[o_custkey % 12 + 1] AS y FROM orders) WHERE a <> 'がっ'""")
+  {_listed([v for _, v in _KANA_WORDS])}[o_orderkey % 12 + 1] AS x, {_listed([v for _, v in _KANA_WORDS])}[o_custkey % 12 + 1] AS y, o_custkey % 12 AS n FROM orders)""")
 def _romanized_kana(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.array(*(F.lit(k) for k, _ in _KANA_WORDS))
     piece = lambda c: F.get(said, (F.col(c) % 12).cast("int"))
-    rows = fixtures.read(spark, sf_dir, "orders").where("o_orderkey % 12 > 0").select("o_orderkey", F.concat(piece("o_orderkey"), piece("o_custkey")).alias("name"))
+    rows = fixtures.read(spark, sf_dir, "orders").select("o_orderkey", F.concat(piece("o_orderkey"), piece("o_custkey")).alias("name"))
     return rows.withColumn("spelt", text.romanize_name("name"))
 
 
+#: Two made-up signs of a customer and an order, perhaps with kana behind: each sign has a kana reading, and two neighbouring ones a cheaper one together.
+_SIGNS = [("か", "ka"), ("き", "ki"), ("く", "ku"), ("け", "ke"), ("こ", "ko"), ("さ", "sa"), ("た", "ta"), ("な", "na"), ("は", "ha"), ("ま", "ma")]
+_SIGN = 0x4E00
+
+
+@table_query("romanized_readings", f"""SELECT o_orderkey, chr(({_SIGN} + x)::INTEGER) || chr(({_SIGN} + y)::INTEGER) || CASE o_orderkey % 3 WHEN 0 THEN 'カ' WHEN 1 THEN chr({_SIGN + 99}) ELSE '' END AS name,
+  CASE WHEN o_orderkey % 3 = 1 THEN '' ELSE CASE WHEN y = x + 1 THEN 'no' || s[x % 10 + 1] ELSE s[x % 10 + 1] || ' ' || s[y % 10 + 1] END || CASE o_orderkey % 3 WHEN 0 THEN ' ka' ELSE '' END END AS spelt
+  FROM (SELECT o_orderkey, o_custkey % 25 AS x, o_orderkey // 2 % 25 AS y, {_listed([v for _, v in _SIGNS])} AS s FROM orders)""")
+def _romanized_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sign = lambda n: F.decode(F.unhex(F.lpad(F.hex(F.lit(_SIGN) + n), 4, "0")), "UTF-16BE")
+    kana = F.get(F.array(*(F.lit(k) for k, _ in _SIGNS)), (F.col("n") % 10).cast("int"))
+    nation = fixtures.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n"))
+    one = nation.select(sign(F.col("n")).alias("surface"), kana.alias("reading"), F.lit(10.0).alias("cost"))
+    two = nation.select(F.concat(sign(F.col("n")), sign(F.col("n") + 1)).alias("surface"), F.concat(F.lit("の"), kana).alias("reading"), F.lit(15.0).alias("cost"))
+    spelt = readings.romanizer(one.unionByName(two))
+    key = F.col("o_orderkey")
+    behind = F.when(key % 3 == 0, "カ").when(key % 3 == 1, chr(_SIGN + 99)).otherwise("")
+    name = F.concat(sign(F.col("o_custkey") % 25), sign(F.floor(key / 2) % 25), behind)
+    return fixtures.read(spark, sf_dir, "orders").select("o_orderkey", name.alias("name")).withColumn("spelt", spelt("name"))
+
+
 # ---- periods
 
 _PERIODS = [("America/New_York", {"year": 2024, "month": 2}), ("Asia/Tokyo", {"year": 2020, "week": 53}), ("UTC", {"year": 2024}), ("Europe/Paris", {"period": "week"}), ("Asia/Kolkata", {"period": "month"}), ("America/Los_Angeles", {"period": "day"}), ("UTC", {"period": "all_time"})]
@@ -317,6 +346,28 @@ def _search_sql(kind: str, table: str, name: str) -> str:
 
 
 query("search_all", " UNION ALL ".join(_search_sql(*x) for x in (("artist", "artists", "name"), ("album", "albums", "name"), ("song", "songs", "name"), ("user", "users", "username"))))(lambda lib: history.search(lib, "Take 1 the"))
+_CHANGED = {
+    "artists_now": "SELECT id, CASE WHEN id % 4 = 1 THEN 'Take ' || name ELSE name END AS name FROM artists",
+    "songs_now": "SELECT id, name FROM songs WHERE id % 11 > 0",
+}
+
+
+@query("search_stored", " UNION ALL ".join(_search_sql(*x) for x in (("artist", "artists_now", "name"), ("album", "albums", "name"), ("song", "songs_now", "name"), ("user", "users", "username"))), **_CHANGED)
+def _search_stored(lib: Library) -> DataFrame:
+    """An index written in three parts; then some artists are renamed and some songs taken out."""
+    spark = lib.listens.sparkSession
+    store = index.SearchIndex(spark, f"{shared_folder(spark)}/search-{spark.sparkContext.applicationId}-{datetime.now().timestamp():.6f}", fan=2)
+    docs = cut(index.documents(lib))
+    for i in range(3):
+        store.change(i, docs.where(F.col("id") % 3 == i))
+    renamed = F.when(F.col("id") % 4 == 1, F.concat(F.lit("Take "), "name")).otherwise(F.col("name"))
+    after = lib.changed(artists=lib.artists.withColumn("name", renamed))
+    changed = lib.artists.where("id % 4 = 1").select(F.lit("artist").alias("kind"), "id")
+    store.change(3, index.documents(after, changed))  # these artists, and the albums and songs that show their names
+    store.change(4, None, lib.songs.where("id % 11 = 0").select(F.lit("song").alias("kind"), "id"))
+    return store.search("Take 1 the")
+
+
 query("search_aliases", "SELECT id, entity_type, entity_id, alias FROM aliases WHERE entity_type = 'song' AND alias ILIKE '%take 1%' ORDER BY alias, id LIMIT 50")(lambda lib: history.search_aliases(lib.aliases, "song", "take 1", 50))
 
 _CACHE = """SELECT CASE WHEN c_custkey % 3 > 0 THEN c_custkey END AS user_id, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END::BIGINT AS artist_id, c_mktsegment AS resource, c_custkey AS n,
@@ -356,6 +407,33 @@ def _now_playing_state(lib: Library) -> DataFrame:
     return history.latest_now_playing(present, parts[1], datetime(2024, 1, 25)).select("user_id", "song_id", "started_at")
 
 
+_ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@query("stream_now_playing", """SELECT user_id, arg_max(song_id, [epoch_us(listened_at), song_id]) AS song_id, max(listened_at) AS started_at FROM listens GROUP BY user_id
+      HAVING max(listened_at) + INTERVAL 3 HOUR > (SELECT max(listened_at) FROM listens)""")
+def _stream_now_playing(lib: Library) -> DataFrame:
+    """Starts by day, three hours each, as a stream; what is played at its end, by the last change that it gave of each user."""
+    spark = lib.listens.sparkSession
+    folder = f"{shared_folder(spark)}/playing-{spark.sparkContext.applicationId}-{datetime.now().timestamp():.6f}"
+    starts = lib.listens.select("user_id", "song_id", F.col("listened_at").alias("started_at"), F.lit(3 * 3_600_000).cast("long").alias("duration_ms"))
+    ten = F.floor(F.dayofmonth("started_at") / 10)
+    for i in range(4):  # a file, and so a batch, for each ten days
+        starts.where(ten == i).coalesce(1).write.parquet(f"{folder}/in/part={i}")
+    before = spark.conf.get(_ROCKS[0])
+    spark.conf.set(*_ROCKS)
+    try:
+        stream = spark.readStream.schema(starts.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        written = lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{folder}/out/{i}")
+        live.live_now_playing(stream).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/ck").foreachBatch(written).trigger(availableNow=True).start().awaitTermination(600)
+    finally:
+        spark.conf.set(_ROCKS[0], before)
+    rows = spark.read.parquet(f"{folder}/out/*")
+    last = rows.groupBy("user_id").agg(F.max_by(F.struct("song_id", "started_us", "playing"), F.struct("batch", "started_us", ~F.col("playing"))).alias("r")).select("user_id", "r.*")
+    end = lib.listens.agg(F.unix_micros(F.max("listened_at").cast("timestamp")).alias("end"))
+    return last.where("playing").join(F.broadcast(end), F.col("started_us") + 3 * 3_600_000_000 > F.col("end")).select("user_id", "song_id", F.timestamp_micros("started_us").cast("timestamp_ntz").alias("started_at"))
+
+
 # ---- streams: the driver's listens as a stream of files, folded batch by batch
 
 
@@ -377,11 +455,50 @@ _ONCE = {
 @query("stream_daily", "SELECT user_id, song_id, listened_at::DATE AS day, count(*) AS listen_count, sum(played_ms)::BIGINT AS played_ms FROM once_heard GROUP BY ALL", **_ONCE)
 def _stream_daily(lib: Library) -> DataFrame:
     stream, folder = _streamed(lib, "stream")
-    store = live.Store(lib.listens.sparkSession, f"{folder}/store", compact_every=3)
-    live.start(stream, store, lib.songs, lib.song_albums, lib.song_artists, f"{folder}/ck", every=None).awaitTermination(600)
+    store = live.Store(lib.listens.sparkSession, f"{folder}/store", fan=3)
+    live.start(stream, store, lib.songs, f"{folder}/ck", every=None).awaitTermination(600)
     return store.daily()
 
 
+#: Listens as a stream that then deletes those of some ids: what is left, and what of it counts.
+_LEFT = {
+    "once": "SELECT DISTINCT ON (user_id, song_id, listened_at) * FROM listens ORDER BY user_id, song_id, listened_at, id",
+    "kept": "SELECT * FROM once o WHERE NOT EXISTS (SELECT 1 FROM listens d WHERE d.id % 7 < 2 AND d.user_id = o.user_id AND d.song_id = o.song_id AND d.listened_at = o.listened_at)",
+    "kept_heard": """SELECT l.user_id, l.song_id, l.listened_at, coalesce(l.duration_played_ms, s.duration_ms, 0) AS played_ms FROM kept l JOIN songs s ON s.id = l.song_id
+      WHERE coalesce(s.duration_ms, 0) <= 0 OR 2 * coalesce(l.duration_played_ms, s.duration_ms, 0) >= s.duration_ms OR coalesce(l.duration_played_ms, s.duration_ms, 0) >= 240000""",
+    "kept_attributed": """SELECT h.*, 'song' AS entity_type, song_id AS entity_id FROM kept_heard h UNION ALL SELECT h.*, 'album', album_id FROM kept_heard h JOIN song_albums USING (song_id)
+      UNION ALL SELECT h.*, 'artist', artist_id FROM kept_heard h JOIN song_artists USING (song_id)""",
+    "kept_runs": """SELECT user_id, count(*) AS length, max(day) AS last_day FROM (SELECT user_id, day, day - row_number() OVER (PARTITION BY user_id ORDER BY day)::INTEGER AS island
+      FROM (SELECT DISTINCT user_id, listened_at::DATE AS day FROM kept_heard)) GROUP BY user_id, island""",
+}
+
+
+def _retracted(lib: Library, name: str) -> live.Store:
+    """The store after six batches: listens dealt by id, so in no order of time, then deletions in two."""
+    spark = lib.listens.sparkSession
+    folder = f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{datetime.now().timestamp():.6f}"
+    dealt = lib.listens.withColumns({"deleted": F.lit(False), "part": F.col("id") % 4})
+    taken = lib.listens.where("id % 7 < 2").withColumns({"deleted": F.lit(True), "part": F.lit(4) + F.col("id") % 7})
+    rows = dealt.unionByName(taken)
+    rows.repartition("part").sortWithinPartitions("id").write.partitionBy("part").parquet(f"{folder}/in")
+    store = live.Store(spark, f"{folder}/store", fan=3)
+    for i in range(6):
+        live.fold_batch(store, lib.songs, spark.read.schema(rows.drop("part").schema).parquet(f"{folder}/in/part={i}"), i)
+    return store
+
+
+@query("retracted_statistics", """SELECT entity_type, entity_id, count(*) AS plays, count(DISTINCT user_id) AS unique_listeners, sum(played_ms)::BIGINT AS played_ms, min(listened_at) AS first_listened_at FROM kept_attributed GROUP BY ALL""", **_LEFT)
+def _retracted_statistics(lib: Library) -> DataFrame:
+    return _retracted(lib, "retracted").global_stats(lib.song_albums, lib.song_artists)
+
+
+@query("retracted_user_state", """SELECT l.user_id, max(listened_at) AS last_listened_at,
+      coalesce(max((SELECT length FROM kept_runs r WHERE r.user_id = l.user_id AND last_day >= DATE '2024-01-30' ORDER BY last_day DESC LIMIT 1)), 0) AS current_streak,
+      coalesce(max((SELECT max(length) FROM kept_runs r WHERE r.user_id = l.user_id)), 0) AS longest_streak FROM kept l GROUP BY l.user_id""", **_LEFT)
+def _retracted_user_state(lib: Library) -> DataFrame:
+    return _retracted(lib, "retracted-state").user_state(datetime(2024, 1, 31).date())
+
+
 @query("stream_streaks", """SELECT user_id, max(last_day) AS last_day, arg_max(length, last_day) AS current_streak, max(length) AS longest_streak FROM runs GROUP BY user_id""")
 def _stream_streaks(lib: Library) -> DataFrame:
     spark = lib.listens.sparkSession

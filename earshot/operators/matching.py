@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import best_similarity, duration_similarity, jaccard, normalized, trigrams, version_mismatch
+from ..functions.text import best_similarity, duration_similarity, jaccard, normalize_name, normalized, romanize_name, trigrams, version_mismatch
 from .numbering import cut
 
 # Weights and bands of the score.
@@ -60,18 +60,55 @@ def _ids_of_names(similar: DataFrame, own: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("at", best).where(F.col("at") <= limit).select("query", "id", F.col("similarity").alias("hint"))
 
 
-def exact_matches(inputs: DataFrame, catalogue: DataFrame) -> DataFrame:
+#: Columns of either side that a score or a scope reads, beside names and lengths; empty where a table lacks them.
+CONTEXT = {"artists": "array<string>", "artist_names": "array<string>", "tracks": "array<string>"}
+
+
+def completed(table: DataFrame) -> DataFrame:
+    """``table`` with all columns that the matchers read: missing lists are empty, a missing romanised name is made."""
+    missing = {c: F.array().cast(t) for c, t in CONTEXT.items() if c not in table.columns}
+    nulls = {c: F.coalesce(c, F.array().cast(t)) for c, t in CONTEXT.items() if c in table.columns}
+    if "name_romanized" not in table.columns:
+        missing["name_romanized"] = romanize_name("name")
+    if "duration_ms" not in table.columns:
+        missing["duration_ms"] = F.lit(None).cast("long")
+    return table.withColumns(missing | nulls)
+
+
+def _lowest(catalogue: DataFrame, like: list[str], lowest: int | None) -> DataFrame:
+    """Of entities that are the same in the columns ``like``, those with the lowest ids: the rest can neither be best nor runner-up."""
+    if lowest is None:
+        return catalogue
+    at = F.row_number().over(Window.partitionBy(*like).orderBy("id"))
+    return catalogue.withColumn("_at", at).where(F.col("_at") <= lowest).drop("_at")
+
+
+def exact_matches(inputs: DataFrame, catalogue: DataFrame, lowest: int | None = None) -> DataFrame:
     """(input_id, id): entities of the very name. Where an input has artists the entity must share one of them,
-    and then, where it has an ``album`` too, must be on it; ``album`` and the catalogue's ``albums`` may be missing."""
-    by_artist = inputs.where(F.size(F.coalesce("artists", F.array().cast("array<string>"))) > 0)
+    and then, where it has an ``album`` too, must be on it; ``album`` and the catalogue's ``albums`` may be missing.
+
+    With ``lowest``, of entities that every score takes for the same only so many are found, by lowest ids: a name
+    that very many entities bear then costs as much as the different artists, lengths and so on beside it. An input
+    without artist ids but with ``artist_names`` meets entities that bear one of these, or none at all, as any other
+    would score nothing.
+    """
+    inputs, catalogue = completed(inputs), completed(catalogue)
     scope = [c for c in ("album",) if c in inputs.columns and "albums" in catalogue.columns]
-    mine = by_artist.select("input_id", "name", *scope, F.explode("artists").alias("artist"))
-    theirs = catalogue.select("id", "name", *(["albums"] if scope else []), F.explode("artists").alias("artist"))
+    like = [c for c in ("name", "duration_ms", *CONTEXT, "albums", "services", "pinned") if c in catalogue.columns]
+    own = _lowest(catalogue, like, lowest)
+    ids, names = F.size("artists") > 0, F.size("artist_names") > 0
+    mine = inputs.where(ids).select("input_id", "name", *scope, F.explode("artists").alias("artist"))
+    theirs = own.select("id", "name", *(["albums"] if scope else []), F.explode("artists").alias("artist"))
     found = mine.join(theirs, ["name", "artist"])
     if scope:
         found = found.where("album IS NULL OR array_contains(albums, album)")
-    anywhere = inputs.join(by_artist.select("input_id"), "input_id", "left_anti").select("input_id", "name").join(catalogue.select("id", "name"), "name")
-    return found.select("input_id", "id").unionByName(anywhere.select("input_id", "id")).distinct()
+    by_names = inputs.where(~ids & names).select("input_id", "name", F.explode("artist_names").alias("artist"))
+    bearing = by_names.join(own.select("id", "name", F.explode("artist_names").alias("artist")), ["name", "artist"])
+    nobody = by_names.select("input_id", "name").distinct().join(own.where(~ids & ~names).select("id", "name"), "name")
+    alone = [c for c in like if c not in ("artists", "artist_names", "albums")]  # an input without artists tells none apart
+    anywhere = inputs.where(~ids & ~names).select("input_id", "name").join(_lowest(own, alone, lowest).select("id", "name"), "name")
+    every = [x.select("input_id", "id") for x in (found, bearing, nobody, anywhere)]
+    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3]).distinct()
 
 
 def words(name: Column) -> Column:
@@ -96,27 +133,29 @@ def word_matches(queries: DataFrame, documents: DataFrame, limit: int = CANDIDAT
     return shared.where(F.col("hint") >= floor).withColumn("at", best).where(F.col("at") <= limit).select("query", "id", "hint")
 
 
-def candidates(inputs: DataFrame, catalogue: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+def candidates(inputs: DataFrame, catalogue: DataFrame, limit: int = CANDIDATES, lowest: int | None = None) -> DataFrame:
     """(input_id, id, hint): what all matchers find, the larger hint kept.
 
-    ``inputs`` has (input_id, name, name_normalized, artists) and perhaps album, ``catalogue`` (id, name,
-    name_normalized, name_romanized, artists) and perhaps albums and words (what its documents hold beside the
-    names). The matchers are the very name within the artists given (hint 1), trigrams of either spelling, and
-    words. Work is done for distinct names.
+    ``inputs`` has (input_id, name, name_normalized, artists) and perhaps name_romanized, artist_names and album,
+    ``catalogue`` (id, name, name_normalized, name_romanized, artists) and perhaps artist_names, albums and words
+    (what its documents hold beside the names). The matchers are the very name within the artists given (hint 1),
+    trigrams of the normalised against normalised and the romanised against romanised names, and words. Work is done
+    for distinct names. ``lowest`` is told to the first (see exact_matches).
     """
-    found = exact_matches(inputs, catalogue).withColumn("hint", F.lit(1.0))
-    queries = inputs.select(F.col("name_normalized").alias("query")).where("query <> ''").distinct()
-    by_name = None
+    inputs, catalogue = completed(inputs), completed(catalogue)
+    found = exact_matches(inputs, catalogue, lowest).withColumn("hint", F.lit(1.0))
+    similar = []
     for column in ("name_normalized", "name_romanized"):
+        asked = inputs.where(F.coalesce(F.col(column), F.lit("")) != "").select("input_id", F.col(column).alias("query"))
         own = catalogue.where(F.coalesce(F.col(column), F.lit("")) != "").select("id", F.col(column).alias("name"))
-        near = _ids_of_names(trigram_matches(queries, own.select("name"), limit=None), own, limit)
-        by_name = near if by_name is None else by_name.unionByName(near)
-    more = [F.col("words")] if "words" in catalogue.columns else []
-    held = F.flatten(F.array(words(F.col("name_normalized")), words(F.col("name_romanized")), *more))
-    by_name = by_name.unionByName(word_matches(queries, catalogue.select("id", held.alias("words")), limit))
-    by_name = by_name.groupBy("query", "id").agg(F.max("hint").alias("hint"))
-    similar = inputs.select("input_id", F.col("name_normalized").alias("query")).join(by_name, "query").select("input_id", "id", "hint")
-    return found.unionByName(similar).groupBy("input_id", "id").agg(F.max("hint").alias("hint"))
+        near = _ids_of_names(trigram_matches(asked, own.select("name"), limit=None), own, limit)
+        if column == "name_normalized":
+            more = [F.col("words")] if "words" in catalogue.columns else []
+            held = F.flatten(F.array(words(F.col("name_normalized")), words(F.col("name_romanized")), *more))
+            near = near.unionByName(word_matches(asked, catalogue.select("id", held.alias("words")), limit))
+            near = near.groupBy("query", "id").agg(F.max("hint").alias("hint"))
+        similar.append(asked.join(near, "query").select("input_id", "id", "hint"))
+    return found.unionByName(similar[0]).unionByName(similar[1]).groupBy("input_id", "id").agg(F.max("hint").alias("hint"))
 
 
 def without_source(found: DataFrame, inputs: DataFrame, sources: DataFrame, entity_type: str) -> DataFrame:
@@ -126,39 +165,54 @@ def without_source(found: DataFrame, inputs: DataFrame, sources: DataFrame, enti
     return found.join(bad.select("input_id", "id"), ["input_id", "id"], "left_anti")
 
 
-def _parts(name: Column, other: Column, artists: Column, other_artists: Column, duration: Column, other_duration: Column) -> tuple[Column, Column, Column]:
-    """(veto, overlap of artists, similarity of lengths): a version word on one side only, lengths far apart, known artists without overlap."""
-    known = (F.size(F.coalesce(artists, F.array().cast("array<string>"))) > 0) & (F.size(F.coalesce(other_artists, F.array().cast("array<string>"))) > 0)
-    overlap = F.when(known, jaccard(artists, other_artists)).otherwise(F.lit(1.0))
-    length = duration_similarity(duration, other_duration)
-    return version_mismatch(name, other) | length.isNull() | (known & (overlap == 0)), overlap, length
+def _share(a: Column, b: Column) -> Column:
+    """Share of common elements of two sets given as arrays; 0 if either is empty."""
+    common = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(common.cast("double") / (F.size(a) + F.size(b) - common))
 
 
-def _weighted(similarity: Column, overlap: Column, length: Column) -> Column:
-    return NAME * similarity + ARTIST * overlap + DURATION * length
+def _parts(a: dict[str, Column], b: dict[str, Column]) -> tuple[Column, Column, Column, Column]:
+    """(veto, overlap of artists, similarity of lengths, what tracks add).
+
+    A veto is a version word on one side only, lengths far apart, or known artists without overlap, by id or by
+    normalised name: so a forked artist is seen by its name. Without artists on one side the overlap is whole.
+    Tracks count only where both sides have some.
+    """
+    known = ((F.size(a["artists"]) > 0) | (F.size(a["artist_names"]) > 0)) & ((F.size(b["artists"]) > 0) | (F.size(b["artist_names"]) > 0))
+    overlap = F.when(known, F.greatest(_share(a["artists"], b["artists"]), _share(a["artist_names"], b["artist_names"]))).otherwise(F.lit(1.0))
+    length = duration_similarity(a["duration_ms"], b["duration_ms"])
+    veto = version_mismatch(a["name"], b["name"]) | length.isNull() | (overlap == 0)
+    return veto, overlap, length, TRACKS * _share(a["tracks"], b["tracks"])
+
+
+#: What is read of either side of a pair.
+_READ = ("name", "name_normalized", "name_romanized", "duration_ms", *CONTEXT)
+_SPELLINGS = ("name", "name_normalized", "name_romanized")
 
 
-def score(name: Column, other: Column, artists: Column, other_artists: Column, duration: Column, other_duration: Column, tracks: Column | None = None, other_tracks: Column | None = None) -> Column:
-    """Weighted similarity, null for a veto."""
-    veto, overlap, length = _parts(name, other, artists, other_artists, duration, other_duration)
-    raw = _weighted(best_similarity(name, other), overlap, length)
-    if tracks is not None:
-        raw = raw + F.when((F.size(tracks) > 0) & (F.size(other_tracks) > 0), TRACKS * jaccard(tracks, other_tracks)).otherwise(F.lit(0.0))
-    return F.when(~veto, raw)
+def name_similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """The best similarity of raw, normalised and romanised names. A spelling that says no more than the raw one is not compared again."""
+    raw = best_similarity(a["name"], b["name"])
+    same = (F.lower(a["name"]) == a["name_normalized"]) & (F.lower(b["name"]) == b["name_normalized"])
+    normal = best_similarity(F.when(~same, a["name_normalized"]), b["name_normalized"])
+    return F.greatest(raw, normal, best_similarity(a["name_romanized"], b["name_romanized"]))
 
 
 def scored(inputs: DataFrame, pairs: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(input_id, name_normalized, id, score) of the pairs (input_id, id) without a veto, and each other input once with nulls.
 
-    Names are compared once for each two spellings that meet, after vetoes, and not once a pair.
+    Names are compared once for each two names that meet, after vetoes, and not once a pair.
     """
-    theirs = catalogue.select("id", F.col("name").alias("c_name"), F.col("artists").alias("c_artists"), F.col("duration_ms").alias("c_duration"))
-    met = pairs.join(inputs.select("input_id", "name", "artists", "duration_ms"), "input_id").join(theirs, "id")
-    veto, overlap, length = _parts(F.col("name"), F.col("c_name"), F.col("artists"), F.col("c_artists"), F.col("duration_ms"), F.col("c_duration"))
-    live = cut(met.where(~veto).select("input_id", "id", "name", "c_name", overlap.alias("overlap"), length.alias("length")))
-    names = live.select("name", "c_name").distinct().withColumn("similarity", best_similarity(F.col("name"), F.col("c_name")))
-    value = _weighted(F.col("similarity"), F.col("overlap"), F.col("length"))
-    found = live.join(names, ["name", "c_name"]).select("input_id", "id", value.alias("score"))
+    theirs = completed(catalogue).select("id", *(F.col(c).alias(f"c_{c}") for c in _READ))
+    met = pairs.join(completed(inputs).select("input_id", *_READ), "input_id").join(theirs, "id")
+    a, b = {c: F.col(c) for c in _READ}, {c: F.col(f"c_{c}") for c in _READ}
+    veto, overlap, length, tracks = _parts(a, b)
+    spelt = [*_SPELLINGS, *(f"c_{c}" for c in _SPELLINGS)]
+    rest = (ARTIST * overlap + DURATION * length + tracks).alias("rest")
+    live = cut(met.where(~veto).select("input_id", "id", F.xxhash64(*spelt).alias("names"), *spelt, rest))
+    names = live.groupBy("names", *spelt).agg(F.count("*").alias("n")).withColumn("similarity", name_similarity(a, b))
+    live = live.select("input_id", "id", "names", "name", "c_name", "rest")
+    found = live.join(names.select("names", "name", "c_name", "similarity"), ["names", "name", "c_name"]).select("input_id", "id", (NAME * F.col("similarity") + F.col("rest")).alias("score"))
     return inputs.select("input_id", "name_normalized").join(found, "input_id", "left")
 
 
@@ -178,29 +232,45 @@ def decide(scored: DataFrame) -> DataFrame:
     return top.select("input_id", "id", "score", "runner_up", final.alias("final"), band.alias("decision"))
 
 
+def _with_services(catalogue: DataFrame, sources: DataFrame, entity_type: str) -> DataFrame:
+    """The catalogue with the services that know each entity: entities that differ in these are not taken for the same."""
+    own = sources.where((F.col("entity_type") == entity_type) & F.col("source_type").isNotNull()).groupBy(F.col("entity_id").alias("id"))
+    return catalogue.join(own.agg(F.array_sort(F.collect_set("source_type")).alias("services")), "id", "left")
+
+
 def resolve(inputs: DataFrame, catalogue: DataFrame, limit: int = CANDIDATES, sources: DataFrame | None = None, entity_type: str = "song") -> DataFrame:
     """A decision for each row of ``inputs`` (input_id, name, name_normalized, artists array<string>, duration_ms)
     against ``catalogue`` (id, name, name_normalized, name_romanized, artists, duration_ms); see candidates for more columns.
 
-    With ``sources``, candidates that already have a source of the input's ``service`` are left out.
+    Names are alike by their raw, normalised and romanised spellings, artists by ids or ``artist_names`` (normalised),
+    albums by ``tracks`` too where both sides have some. With ``sources``, candidates that already have a source of
+    the input's ``service`` are left out. Inputs that are the same in all of this are decided once.
     """
-    inputs, catalogue = cut(inputs), cut(catalogue)  # spellings are made once, however many matchers read them
-    pairs = candidates(inputs, catalogue, limit).select("input_id", "id")
     if sources is not None:
-        pairs = without_source(pairs, inputs, sources, entity_type)
-    return decide(scored(inputs, pairs, catalogue))
+        catalogue = _with_services(catalogue, sources, entity_type)
+    inputs, catalogue = completed(inputs), cut(completed(catalogue))  # spellings are made once, however many matchers read them
+    read = [c for c in (*_READ, "album", "service") if c in inputs.columns]
+    inputs = cut(inputs.select("input_id", *read, F.sha2(F.to_json(F.struct(*read), {"ignoreNullFields": "false"}), 256).alias("_alike")))
+    first = inputs.groupBy("_alike").agg(F.min("input_id").alias("_first"))
+    asked = cut(inputs.join(first.select(F.col("_first").alias("input_id")), "input_id", "left_semi"))
+    pairs = candidates(asked, catalogue, limit, lowest=2).select("input_id", "id")
+    if sources is not None:
+        pairs = without_source(pairs, asked, sources, entity_type)
+    decided = decide(scored(asked, pairs, catalogue)).withColumnRenamed("input_id", "_first")
+    return inputs.select("input_id", "_alike").join(first, "_alike").join(decided, "_first").drop("_alike", "_first")
 
 
 def reconcile(catalogue: DataFrame, touched: DataFrame, entity_type: str, sources: DataFrame) -> DataFrame:
-    """(entity_type, winner_id, loser_id, score, action) for touched entities (id) that match another one.
+    """(entity_type, winner_id, loser_id, score, action): each pair once that a touched entity (id) and its best match make.
 
-    Pinned entities are not judged. Two entities that one source knows under different ids are only
-    suggested. The pinned side wins, else the lower id.
+    Pinned entities are not judged. Two entities that one source knows under different ids are only suggested. The
+    pinned side wins, else the lower id. Where both sides judge the other, the higher score counts.
     """
-    catalogue = cut(catalogue)
-    own = catalogue.join(touched.select("id"), "id", "left_semi").where(~F.col("pinned"))
-    inputs = cut(own.select(F.col("id").alias("input_id"), "name", "name_normalized", "artists", "duration_ms"))
-    pairs = candidates(inputs, catalogue, CANDIDATES + 1).where("input_id <> id").select("input_id", "id")
+    catalogue = cut(completed(catalogue))
+    own = catalogue.join(touched.select("id").distinct(), "id", "left_semi").where(~F.col("pinned"))
+    inputs = cut(own.select(F.col("id").alias("input_id"), *_READ))
+    # One more candidate and one more of the same, as an entity finds itself.
+    pairs = candidates(inputs, catalogue, CANDIDATES + 1, lowest=3).where("input_id <> id").select("input_id", "id")
     decided = decide(scored(inputs, pairs, catalogue)).where("decision <> 'create'")
     mine = sources.where((F.col("entity_type") == entity_type) & F.col("extracted_id").isNotNull()).select("entity_id", "source_type", "extracted_id")
     a = mine.toDF("input_id", "source_type", "x")
@@ -210,16 +280,14 @@ def reconcile(catalogue: DataFrame, touched: DataFrame, entity_type: str, source
     judged = decided.join(apart, ["input_id", "id"], "left").join(pinned, "id")
     winner = F.when(F.col("other_pinned"), F.col("id")).otherwise(F.least("input_id", "id"))
     action = F.when(F.col("apart").isNull() & (F.col("decision") == "accept"), "merge").otherwise("suggest")
-    return judged.select(
-        F.lit(entity_type).alias("entity_type"), winner.alias("winner_id"), (F.col("input_id") + F.col("id") - winner).alias("loser_id"), F.col("final").alias("score"), action.alias("action")
-    )
+    found = judged.select(winner.alias("winner_id"), (F.col("input_id") + F.col("id") - winner).alias("loser_id"), F.col("final").alias("score"), action.alias("action"))
+    once = found.groupBy("winner_id", "loser_id").agg(F.max("score").alias("score"), F.min("action").alias("action"))  # 'merge' before 'suggest'
+    return once.select(F.lit(entity_type).alias("entity_type"), "winner_id", "loser_id", "score", "action")
 
 
 def prepared(catalogue: DataFrame) -> DataFrame:
     """``catalogue`` with normalised and romanised names."""
-    from ..functions.text import normalize_name, romanize_name
-
     return catalogue.withColumn("name_normalized", normalize_name("name")).withColumn("name_romanized", romanize_name("name"))
 
 
-__all__ = ["candidates", "decide", "exact_matches", "normalized", "prepared", "reconcile", "resolve", "score", "scored", "trigram_matches", "without_source", "word_matches"]
+__all__ = ["candidates", "completed", "decide", "exact_matches", "name_similarity", "normalized", "prepared", "reconcile", "resolve", "scored", "trigram_matches", "without_source", "word_matches"]

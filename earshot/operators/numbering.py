@@ -35,7 +35,7 @@ def numbered(df: DataFrame, *order: str, into: str = "n") -> DataFrame:
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(df.repartitionByRange(width, *order).withColumn("_range", F.spark_partition_id()))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
-    before = sizes.withColumnRenamed("_range", "_earlier").withColumnRenamed("_size", "_n")
-    starts = sizes.join(before, F.col("_earlier") < F.col("_range"), "left").groupBy("_range").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_start"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
     at = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return ranged.withColumn("_at", at).join(F.broadcast(starts), "_range").withColumn(into, (F.col("_start") + F.col("_at")).cast("long")).drop("_range", "_at", "_start")

@@ -150,21 +150,27 @@ def fold(stored: dict[str, DataFrame], heard: DataFrame, song_albums: DataFrame,
 
 
 def unrecord(stored: dict[str, DataFrame], removed: DataFrame, remaining: DataFrame, song_albums: DataFrame, song_artists: DataFrame) -> dict[str, DataFrame]:
-    """The rollups after counting listens were deleted. Sums go down; first times and listener counts of the
-    touched entities alone are worked out again from what remains."""
+    """The rollups after counting listens were deleted; ``remaining`` are the listens that are left.
+
+    Counts go down by what was deleted. Whether a listener still has the entity, and since when, is worked out again
+    from what remains of these users alone; an entity's own first time is the earliest of its listeners'. So the
+    history of an entity that many hear is not read for a deletion by one of them.
+    """
     keys = ["entity_type", "entity_id"]
-    touched = cut(attributed(removed.select("song_id").distinct(), song_albums, song_artists).select(*keys).distinct())
-    songs_touched = (
-        touched.where("entity_type = 'song'").select(F.col("entity_id").alias("song_id"))
-        .unionByName(song_albums.join(touched.where("entity_type = 'album'").select(F.col("entity_id").alias("album_id")), "album_id", "left_semi").select("song_id"))
-        .unionByName(song_artists.join(touched.where("entity_type = 'artist'").select(F.col("entity_id").alias("artist_id")), "artist_id", "left_semi").select("song_id"))
-        .distinct()
-    )
-    again = cut(per_user(remaining.join(songs_touched, "song_id", "left_semi"), song_albums, song_artists).join(touched, keys, "left_semi"))
-    left = totals(again)
+    gone = cut(per_user(removed, song_albums, song_artists))
+    own = remaining.join(removed.select("user_id").distinct(), "user_id", "left_semi")
+    again = cut(per_user(own, song_albums, song_artists).join(gone.select(*PER_USER), PER_USER, "left_semi").select(*PER_USER, "first_at"))
+    firsts = cut(stored["first_listens"].join(gone.select(*PER_USER), PER_USER, "left_anti").select(*PER_USER, "first_at").unionByName(again))
+    lost = gone.join(again.select(*PER_USER), PER_USER, "left_anti").groupBy(*keys).agg(F.count("*").alias("unique_listeners"))
+    less = gone.groupBy(*keys).agg(F.sum("plays").alias("plays"), F.sum("played_ms").alias("played_ms")).join(lost, keys, "left").withColumn("unique_listeners", F.coalesce("unique_listeners", F.lit(0)))
+    since = firsts.join(less.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.min("first_at").alias("first_listened_at"))
+    old = stored["global_stats"]
+    touched = old.drop("first_listened_at").join(less.select(*keys, *(F.col(c).alias(f"_{c}") for c in ("plays", "played_ms", "unique_listeners"))), keys)
+    touched = touched.select(*keys, (F.col("plays") - F.col("_plays")).alias("plays"), (F.col("unique_listeners") - F.col("_unique_listeners")).alias("unique_listeners"), F.greatest(F.col("played_ms") - F.col("_played_ms"), F.lit(0)).alias("played_ms"))
+    left = touched.where("plays > 0").join(since, keys, "left")
     return {
         "daily": take_off(stored["daily"], daily(removed), ["user_id", "song_id", "day"]),
         "clock": take_off(stored["clock"], clock(removed), ["user_id", "day", "hour"]),
-        "first_listens": stored["first_listens"].join(touched, keys, "left_anti").select(*PER_USER, "first_at").unionByName(again.select(*PER_USER, "first_at")),
-        "global_stats": stored["global_stats"].join(touched, keys, "left_anti").select(*left.columns).unionByName(left),
+        "first_listens": firsts,
+        "global_stats": old.join(less.select(*keys), keys, "left_anti").select(*left.columns).unionByName(left),
     }

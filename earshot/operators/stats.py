@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..library import Library
 from ..plans.buckets import bucket_days, bucket_table, shifted_day
-from ..plans.timeframe import Timeframe, truncate
+from ..plans.timeframe import Timeframe, add, bucket_starts, truncate
 from . import rollups
 
 SESSION_GAP_SECONDS = 300
@@ -185,12 +185,18 @@ def clamp(lib: Library, period: Timeframe, user_id: int | None = None, aligned:
     return Timeframe(truncate(first, "day") if aligned else first, period.stop)
 
 
+def _bucketed(df: DataFrame, period: Timeframe, step: str) -> DataFrame:
+    """Days of a rollup that the buckets can hold; the bounds reach the scan and the months of a stored one."""
+    starts = bucket_starts(period.start, period.stop, step)
+    return in_days(df, Timeframe(starts[0], add(starts[-1], step) + timedelta(1))) if starts else df.where(F.lit(False))
+
+
 def activity(
     lib: Library, period: Timeframe, step: str, user_id: int | None = None, artist_id: int | None = None, album_id: int | None = None, song_id: int | None = None
 ) -> DataFrame:
     """(bucket, listen_count, minutes_listened) with zeros, from the start of the period to its end included."""
     spark = lib.daily.sparkSession
-    own = of_entity(of_user(lib.daily, user_id), lib, artist_id, album_id, song_id)
+    own = of_entity(of_user(_bucketed(lib.daily, period, step), user_id), lib, artist_id, album_id, song_id)
     per_day = own.groupBy(shifted_day(F.col("day"), period.start).alias("shifted_day")).agg(F.sum("listen_count").alias("n"), F.sum("played_ms").alias("ms"))
     per_bucket = bucket_days(spark, period.start, period.stop, step).join(per_day, "shifted_day").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("ms").alias("ms"))
     every = bucket_table(spark, period.start, period.stop, step).join(per_bucket, "bucket", "left")
@@ -201,8 +207,10 @@ def discovery(lib: Library, period: Timeframe, step: str, user_id: int | None =
     """(bucket, total, discoveries, rate): all plays, and songs heard for the first time."""
     spark = lib.daily.sparkSession
     days = bucket_days(spark, period.start, period.stop, step)
-    plays = of_user(lib.daily, user_id).groupBy(shifted_day(F.col("day"), period.start).alias("shifted_day")).agg(F.sum("listen_count").alias("n"))
-    firsts = of_user(lib.first_listens, user_id).where("entity_type = 'song'").groupBy(shifted_day(F.col("first_at"), period.start).alias("shifted_day")).agg(F.count("*").alias("n"))
+    plays = of_user(_bucketed(lib.daily, period, step), user_id).groupBy(shifted_day(F.col("day"), period.start).alias("shifted_day")).agg(F.sum("listen_count").alias("n"))
+    starts = bucket_starts(period.start, period.stop, step)
+    within = F.col("first_at").between(F.lit(starts[0]), F.lit(add(starts[-1], step))) if starts else F.lit(False)
+    firsts = of_user(lib.first_listens, user_id).where(within & (F.col("entity_type") == "song")).groupBy(shifted_day(F.col("first_at"), period.start).alias("shifted_day")).agg(F.count("*").alias("n"))
     total = days.join(plays, "shifted_day").groupBy("bucket").agg(F.sum("n").alias("total"))
     found = days.join(firsts, "shifted_day").groupBy("bucket").agg(F.sum("n").alias("discoveries"))
     every = bucket_table(spark, period.start, period.stop, step).join(total, "bucket", "left").join(found, "bucket", "left")

@@ -5,111 +5,86 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..operators import rollups
+from ..operators.numbering import cut
+from .store import LISTEN, Store, month_of
 
-#: Keys of the stored deltas, and how their measures combine.
-KEYS = {"daily": ["user_id", "song_id", "day"], "clock": ["user_id", "day", "hour"], "per_user": rollups.PER_USER}
-MEASURES = {"listen_count": F.sum, "played_ms": F.sum, "plays": F.sum, "first_at": F.min}
+def fold_batch(store: Store, songs: DataFrame, batch: DataFrame, batch_id: int) -> None:
+    """Add one micro-batch of listens, those with ``deleted`` (which may be missing) taken back.
 
-
-class Store:
-    """Rollups in a shared folder as one delta for each batch, added up when they are read.
-
-    A batch writes no more than its own share, into folders named by its number; a replay replaces them. Every
-    ``compact_every`` batches the deltas are added up into an epoch of their own, so a table never has more
-    folders than that. An epoch counts from the moment its row of the manifest is there, which is written last;
-    until then readers and a restart see the one before. Old epochs are left for the storage's own retention.
+    A listen is its user, song and time: one that the store has already is dropped, and a deletion of one that it
+    lacks does nothing. Within a batch deletions come after additions. Only the months of the batch are looked at,
+    unless a deletion takes away a first or last time; then the next one is sought in the listens of that user and
+    song, or user. A batch that the store has already, so a replay, does nothing.
     """
+    if batch_id <= store.last_batch():
+        return
+    gone = F.col("deleted") if "deleted" in batch.columns else F.lit(False)
+    batch = batch.withColumn("_gone", F.coalesce(gone, F.lit(False)))
+    columns = ["id", *LISTEN, "client", "duration_played_ms"]
+    kinds = {"client": "string", "listened_at": "timestamp_ntz"}
+    batch = batch.select(*(F.col(c).cast(kinds.get(c, "long")).alias(c) for c in columns), "_gone")
+    adds = rollups.dedupe(batch.where("NOT _gone").select(*columns))
+    deletes = batch.where("_gone").select(*LISTEN).distinct()
+    keys = adds.select(*LISTEN).unionByName(deletes).distinct()
+    months = keys.select(month_of("listened_at").alias("month")).distinct()
+    present = store.listens(months).join(keys, LISTEN, "left_semi").select(*columns)
+    new = adds.join(present.select(*LISTEN), LISTEN, "left_anti").join(deletes, LISTEN, "left_anti").select(*columns, F.lit(1).cast("long").alias("n"))
+    removed = present.join(deletes, LISTEN, "left_semi").select(*columns, F.lit(-1).cast("long").alias("n"))
+    signed = cut(new.unionByName(removed).withColumn("month", month_of("listened_at")))
+
+    counting = lambda n: rollups.eligible_listens(signed.where(F.col("n") == n), songs).withColumn("n", F.lit(n).cast("long"))
+    heard = cut(counting(1).unionByName(counting(-1)).withColumns({"month": month_of("listened_at"), "day": F.to_date("listened_at"), "hour": F.hour("listened_at").cast("long"), "played": F.col("n") * F.col("played_ms")}))
+    plus = lambda c: F.when(F.col("n") > 0, F.col(c))
+    stamps = {"asof": F.lit(batch_id).cast("long"), "reset": F.lit(False)}
+    plays = heard.groupBy("user_id", "song_id").agg(F.sum("n").alias("plays"), F.sum("played").alias("played_ms"), F.min(plus("listened_at")).alias("first_at")).withColumns(stamps)
+    last = signed.groupBy("user_id").agg(F.max(plus("listened_at")).alias("last_at")).withColumns(stamps)
+    if not signed.where("n < 0").isEmpty():
+        plays, last = _sought_again(store, songs, signed, heard, plays, last)
+    store.add(
+        batch_id,
+        {
+            "listens": signed,
+            "daily": heard.groupBy("user_id", "song_id", "day", "month").agg(F.sum("n").alias("listen_count"), F.sum("played").alias("played_ms")),
+            "clock": heard.groupBy("user_id", "day", "hour", "month").agg(F.sum("n").alias("listen_count")),
+            "plays": plays,
+            "last": last,
+        },
+    )
 
-    def __init__(self, spark: SparkSession, path: str, compact_every: int = 100):
-        self.spark, self.path, self.compact_every = spark, path, compact_every
-
-    def _read(self, folder: str) -> DataFrame | None:
-        try:
-            return self.spark.read.option("basePath", folder).parquet(folder)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-
-    def epoch(self) -> tuple[int, int]:
-        """(number of the present epoch, last batch that it began with)."""
-        manifest = self._read(f"{self.path}/manifest")
-        return (0, -1) if manifest is None else tuple(manifest.agg(F.max_by("epoch", "epoch"), F.max_by("through", "epoch")).first())
-
-    def _folder(self, table: str) -> str:
-        return f"{self.path}/epoch-{self.epoch()[0]}/{table}"
-
-    def exists(self) -> bool:
-        return self._read(self._folder("listens")) is not None
-
-    def deltas(self, table: str, before: int | None = None) -> DataFrame:
-        df = self._read(self._folder(table))
-        return (df if before is None else df.where(F.col("batch") < before)).drop("batch")
-
-    def write(self, batch_id: int, tables: dict[str, DataFrame], epoch: int | None = None) -> None:
-        number = self.epoch()[0] if epoch is None else epoch
-        for name, df in tables.items():
-            (df.write.partitionBy("day") if name == "listens" else df.write).mode("overwrite").parquet(f"{self.path}/epoch-{number}/{name}/batch={batch_id}")
-
-    def _sum(self, table: str) -> DataFrame:
-        df = self.deltas(table)
-        return df.groupBy(*KEYS[table]).agg(*(MEASURES[c](c).alias(c) for c in df.columns if c not in KEYS[table]))
-
-    def daily(self) -> DataFrame:
-        return self._sum("daily")
-
-    def clock(self) -> DataFrame:
-        return self._sum("clock")
-
-    def first_listens(self) -> DataFrame:
-        return self._sum("per_user").select("user_id", "entity_type", "entity_id", "first_at")
-
-    def global_stats(self) -> DataFrame:
-        return rollups.totals(self._sum("per_user"))
-
-    def compact(self, through: int) -> None:
-        """Begin a new epoch with the sums of all batches up to ``through``; only between batches."""
-        number = self.epoch()[0] + 1
-        self.write(-1, {t: self._sum(t) for t in KEYS} | {"listens": self.deltas("listens")}, number)
-        self.spark.createDataFrame([(number, through)], "epoch long, through long").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
-
-
-def fold_batch(store: Store, songs: DataFrame, song_albums: DataFrame, song_artists: DataFrame, batch: DataFrame, batch_id: int) -> None:
-    """Add one micro-batch. Listens that an earlier batch holds are dropped; only the days of this batch are looked at for that.
 
-    A batch that the present epoch began with has been added already: a replay of it does nothing.
-    """
-    through = store.epoch()[1]
-    if batch_id <= through:
-        return
-    new = rollups.dedupe(batch).withColumn("day", F.to_date("listened_at"))
-    if store.exists():
-        days = new.select("day").distinct()
-        key = ["user_id", "song_id", "listened_at"]
-        present = store.deltas("listens", before=batch_id).join(F.broadcast(days), "day", "left_semi").select(*key)
-        new = new.join(present, key, "left_anti")
-    new = new.select("id", "user_id", "song_id", "listened_at", "client", "duration_played_ms", "day").persist()
-    heard = rollups.eligible_listens(new, songs)
-    store.write(batch_id, {"listens": new, "daily": rollups.daily(heard), "clock": rollups.clock(heard), "per_user": rollups.per_user(heard, song_albums, song_artists)})
-    new.unpersist()
-    if batch_id - through >= store.compact_every:
-        store.compact(batch_id)
-
-
-def start(listens: DataFrame, store: Store, songs: DataFrame, song_albums: DataFrame, song_artists: DataFrame, checkpoint: str, every: str | None = "1 second") -> StreamingQuery:
-    """Keep the store up to date with a stream (id, user_id, song_id, listened_at, client, duration_played_ms).
+def _sought_again(store: Store, songs: DataFrame, signed: DataFrame, heard: DataFrame, plays: DataFrame, last: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``plays`` and ``last`` of a batch with the extremes set anew whose own listens the batch deletes."""
+    now = store.table("plays").select("user_id", "song_id", F.col("first_at").alias("_at"))
+    firsts = cut(heard.where("n < 0").join(now, ["user_id", "song_id"]).where("listened_at <= _at").select("user_id", "song_id").distinct())
+    now = store.table("last").select("user_id", F.col("last_at").alias("_at"))
+    lasts = cut(signed.where("n < 0").join(now, "user_id").where("listened_at >= _at").select("user_id").distinct())
+    columns = ["id", *LISTEN, "client", "duration_played_ms"]
+    after = store.listens().select(*columns).join(signed.where("n < 0").select(*LISTEN), LISTEN, "left_anti").unionByName(signed.where("n > 0").select(*columns))
+    if not firsts.isEmpty():
+        left = rollups.eligible_listens(after.join(firsts, ["user_id", "song_id"], "left_semi"), songs).groupBy("user_id", "song_id").agg(F.min("listened_at").alias("_first"))
+        again = firsts.join(left, ["user_id", "song_id"], "left").withColumn("_again", F.lit(True))
+        plays = plays.join(again, ["user_id", "song_id"], "left").withColumns({"first_at": F.when(F.col("_again"), F.col("_first")).otherwise(F.col("first_at")), "reset": F.coalesce("_again", "reset")}).drop("_first", "_again")
+    if not lasts.isEmpty():
+        left = after.join(lasts, "user_id", "left_semi").groupBy("user_id").agg(F.max("listened_at").alias("_last"))
+        again = lasts.join(left, "user_id", "left").withColumn("_again", F.lit(True))
+        last = last.join(again, "user_id", "left").withColumns({"last_at": F.when(F.col("_again"), F.col("_last")).otherwise(F.col("last_at")), "reset": F.coalesce("_again", "reset")}).drop("_last", "_again")
+    return plays, last
+
+
+def start(listens: DataFrame, store: Store, songs: DataFrame, checkpoint: str, every: str | None = "1 second") -> StreamingQuery:
+    """Keep the store up to date with a stream (id, user_id, song_id, listened_at, client, duration_played_ms, perhaps deleted).
 
     ``every`` bounds the time of a batch, the source its rows: set maxOffsetsPerTrigger, maxFilesPerTrigger or
     rowsPerSecond where the stream is made.
     """
-    writer = listens.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda b, i: fold_batch(store, songs, song_albums, song_artists, b, i))
+    writer = listens.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda b, i: fold_batch(store, songs, b, i))
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
@@ -148,3 +123,52 @@ def live_streaks(heard: DataFrame) -> DataFrame:
     return heard.groupBy("user_id").applyInPandasWithState(
         _streak, "user_id long, last_day date, current_streak long, longest_streak long", "last_day long, current_streak long, longest_streak long", "update", GroupStateTimeout.NoTimeout
     )
+
+
+# ---- who plays what just now
+
+
+class _Playing(StatefulProcessor):
+    """A user's latest start, until the song is over: a timer in event time takes it away."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", "song_id long, started_us long, ends_ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        last = None
+        for batch in rows:
+            for song, started, length in zip(batch["song_id"], batch["started_us"], batch["duration_ms"]):
+                if last is None or (started, song) > (last[1], last[0]):
+                    last = (int(song), int(started), int(started) // 1000 + (0 if pd.isna(length) else int(length)))
+        held = self.now.get() if self.now.exists() else None
+        if held is not None and (held[1], held[0]) >= (last[1], last[0]):
+            return
+        if held is not None:
+            self.handle.deleteTimer(held[2])
+        if last[2] <= timerValues.getCurrentWatermarkInMs():  # over before it arrived
+            self.now.clear()
+        else:
+            self.now.update(last)
+            self.handle.registerTimer(last[2])
+        yield pd.DataFrame({"user_id": [key[0]], "song_id": [last[0]], "started_us": [last[1]], "ends_ms": [last[2]], "playing": [last[2] > timerValues.getCurrentWatermarkInMs()]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.now.get()
+        self.now.clear()
+        yield pd.DataFrame({"user_id": [key[0]], "song_id": [held[0]], "started_us": [held[1]], "ends_ms": [held[2]], "playing": [False]})
+
+    def close(self) -> None:
+        pass
+
+
+def live_now_playing(starts: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """(user_id, song_id, started_us, ends_ms, playing) of each change: a start that is the user's latest, and its end.
+
+    ``starts`` is a stream (user_id, song_id, started_at, duration_ms); a song of unknown length is over at once. The
+    state holds one start of each user who plays something, and lets go of it when the watermark has passed its end.
+    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    """
+    timed = starts.withColumn("started_at", F.col("started_at").cast("timestamp")).withWatermark("started_at", late)
+    rows = timed.select("user_id", "song_id", "started_at", F.unix_micros("started_at").alias("started_us"), "duration_ms")
+    return rows.groupBy("user_id").transformWithStateInPandas(_Playing(), "user_id long, song_id long, started_us long, ends_ms long, playing boolean", "Update", "EventTime")

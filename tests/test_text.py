@@ -100,3 +100,27 @@ def test_uris(spark, uri, want):
 def test_registered_in_sql(spark):
     text.register(spark)
     assert spark.sql("select normalize_name('AC/DC') a, romanize('한글') b, jaro_winkler('abc', 'abc') c").first() == ("ac dc", "hangeul", 1.0)
+
+
+def test_readings_by_least_cost(spark):
+    from earshot.functions import readings
+
+    table = spark.createDataFrame([("東", "ひがし", 5.0), ("京", "きょう", 5.0), ("東京", "とうきょう", 6.0), ("都", "と", 4.0), ("京都", "きょうと", 3.0), ("東", "あずま", 9.0)], "surface string, reading string, cost double")
+    at = readings.lattice(table)
+    assert at("東京") == ["とうきょう"] and at("東京都") == ["ひがし", "きょうと"] and at("東x京") == ["ひがし", "x", "きょう"]
+    assert at("北") is None and at("東北") is None and at("") == [] and at("東のカラー") == ["ひがし", "のカラー"] and at("京  都") == ["きょう", "と"]
+    long = "東京" * 3000
+    assert at(long) == ["とうきょう"] * 3000
+    pinyin = spark.createDataFrame([("北", "bei", 1.0), ("京", "jing", 1.0)], "surface string, reading string, cost double")
+    names = spark.createDataFrame([("東京タワー",), ("北京",), ("한글",), ("abc",), (None,), ("北京の",)], "name string")
+    spell = lambda **kw: [r[0] for r in names.select(readings.romanizer(**kw)("name")).collect()]
+    assert spell(readings=table) == ["toukyou tawaa", "", "hangeul", "", "", ""]
+    assert spell(readings=table, pinyin=pinyin, prefer_chinese=True) == ["toukyou tawaa", "bei jing", "hangeul", "", "", ""]
+
+
+def test_reading_tables_are_bounded(spark, monkeypatch):
+    from earshot.functions import readings
+
+    monkeypatch.setattr(readings, "MOST_ENTRIES", 1)
+    with pytest.raises(ValueError, match="too large"):
+        readings.lattice(spark.createDataFrame([("a", "b", 1.0), ("c", "d", 1.0)], "surface string, reading string, cost double"))
