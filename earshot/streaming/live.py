@@ -50,7 +50,7 @@ def fold_batch(store: Store, songs: DataFrame, batch: DataFrame, batch_id: int)
     store.add(
         batch_id,
         {
-            "listens": signed,
+            "listens": signed.withColumns({"asof": stamps["asof"], "live": F.col("n") > 0}),
             "daily": heard.groupBy("user_id", "song_id", "day", "month").agg(F.sum("n").alias("listen_count"), F.sum("played").alias("played_ms")),
             "clock": heard.groupBy("user_id", "day", "hour", "month").agg(F.sum("n").alias("listen_count")),
             "plays": plays,

@@ -20,14 +20,15 @@ def month_of(time: str) -> Column:
 class Store(Runs):
     """Listens, daily counts, hours, plays by user and song, and last times, in runs (see Runs); days lie by month.
 
-    Counts add up, deletions as negative ones, and rows that cancel out go. An extreme (a first or last time) counts
+    Of a listen the latest batch tells whether it is there. Counts add up, deletions as negative ones, and rows that
+    cancel out go. An extreme (a first or last time) counts
     from the latest row that sets it anew, which a deletion of the extreme itself writes; older rows are void.
     Albums and artists come in when a table is read, by the bridges of then.
     """
 
     KEYS = {"listens": LISTEN, "daily": ["user_id", "song_id", "day"], "clock": ["user_id", "day", "hour"], "plays": ["user_id", "song_id"], "last": ["user_id"]}
     SCHEMAS = {
-        "listens": "id long, user_id long, song_id long, listened_at timestamp_ntz, client string, duration_played_ms long, n long, month string",
+        "listens": "id long, user_id long, song_id long, listened_at timestamp_ntz, client string, duration_played_ms long, asof long, live boolean, month string",
         "daily": "user_id long, song_id long, day date, listen_count long, played_ms long, month string",
         "clock": "user_id long, day date, hour long, listen_count long, month string",
         "plays": "user_id long, song_id long, plays long, played_ms long, first_at timestamp_ntz, asof long, reset boolean",
@@ -39,8 +40,8 @@ class Store(Runs):
         keys, extreme = self.KEYS[name], {"plays": ("first_at", F.array_min), "last": ("last_at", F.array_max)}.get(name)
         month = [F.first("month").alias("month")] if "month" in rows.columns else []
         if name == "listens":
-            out = rows.groupBy(*keys).agg(F.min_by(F.struct("id", "client", "duration_played_ms"), "id").alias("r"), F.sum("n").alias("n"), *month)
-            return out.where("n <> 0").select("r.*", *keys, "n", "month")
+            latest = F.max_by(F.struct("id", "client", "duration_played_ms", "asof", "live"), "asof").alias("r")
+            return rows.groupBy(*keys).agg(latest, *month).select(*keys, "r.*", "month")
         if extreme is None:
             counts = [c for c in rows.columns if c not in (*keys, "month")]
             out = rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in counts), *month)
@@ -53,7 +54,7 @@ class Store(Runs):
         return out if name == "last" else out.where("plays <> 0 OR played_ms <> 0 OR first_at IS NOT NULL OR reset")
 
     def listens(self, months: DataFrame | list[str] | None = None) -> DataFrame:
-        return self.table("listens", months).where("n > 0").drop("n", "month")
+        return self.table("listens", months).where("live").drop("asof", "live", "month")
 
     def daily(self, months: list[str] | None = None) -> DataFrame:
         return self.table("daily", months).where("listen_count > 0").drop("month")
