@@ -136,11 +136,11 @@ _EXPORTED = """SELECT NULL::VARCHAR AS origin_url, s.name AS song, (SELECT name
 
 @query("read_own_export", _EXPORTED + str(USER))
 def _own_export(lib: Library) -> DataFrame:
-    from .sources.export import export_document
+    from .sources.export import write_documents
 
     spark = lib.listens.sparkSession
     path = f"{shared_folder(spark)}/own-export-{spark.sparkContext.applicationId}"
-    export_document(lib, USER).write.mode("overwrite").json(path)
+    write_documents(lib, USER, path, listens=5)  # so that a history is in several
     return _read(importers.FORMATS["export"](spark, path))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..library import Library
+from ..operators.numbering import cut, numbered
 from ..operators.stats import of_user
 
 
@@ -40,34 +41,40 @@ def write_export(lib: Library, user_id: int, path: str) -> None:
         df.write.mode("overwrite").json(f"{path}/{name}")
 
 
-def export_document(lib: Library, user_id: int) -> DataFrame:
-    """One nested document, as services exchange it: maps of artists, albums and songs, and the listens in order.
+#: Listens in one document of an export.
+LISTENS = 20_000
 
-    For one user's history; whole corpora go through write_export.
+
+def export_document(lib: Library, user_id: int, listens: int = LISTENS) -> DataFrame:
+    """Nested documents, as services exchange them: maps of artists, albums and songs, and listens in order.
+
+    There is one for each ``listens`` listens in the order of time, so for most users one in all, and each holds the
+    entities that its own listens refer to. So each can be read alone, and none grows with the history. A user without
+    listens of known songs has none.
     """
     parts = export_entities(lib, user_id)
     blank = F.array().cast("array<struct<source_type:string,raw_url:string>>")
-    as_map = lambda df, key, *more: df.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), F.struct("name", blank.alias("sources"), *more)))))
-    songs = parts["songs"].agg(
-        F.map_from_entries(
-            F.collect_list(
-                F.struct(
-                    F.col("song_id").cast("string"),
-                    F.struct("name", F.transform("sources", lambda s: F.struct(s["source_type"].alias("source_type"), F.lit(None).cast("string").alias("raw_url"))).alias("sources"),
-                             "duration_ms", F.col("artist_ids"), F.col("album_ids")),
-                )
-            )
-        ).alias("songs")
-    )
-    stamp = F.date_format("listened_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("listened_at")
     rows = of_user(lib.listens, user_id).join(lib.songs.select(F.col("id").alias("song_id")), "song_id", "left_semi")
-    listens = rows.agg(F.array_sort(F.collect_list(F.struct("listened_at", "id", "song_id", "client", "duration_played_ms"))).alias("l")).select(
-        F.transform("l", lambda x: F.struct(x["song_id"].alias("song_id"), F.date_format(x["listened_at"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("listened_at"), x["client"].alias("client"), x["duration_played_ms"].alias("duration_played_ms"))).alias("listens")
-    )
-    del stamp
-    head = F.lit("earshot").alias("format"), F.lit(1).alias("version")
-    artists, albums = as_map(parts["artists"], "id").toDF("artists"), as_map(parts["albums"], "id").toDF("albums")
-    return artists.crossJoin(albums).crossJoin(songs).crossJoin(listens).select(*head, "artists", "albums", "songs", "listens")
+    rows = numbered(rows.select("id", "song_id", "listened_at", "client", "duration_played_ms"), "listened_at", "id").withColumn("part", F.floor((F.col("n") - 1) / listens))
+    time = F.date_format("listened_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("listened_at")
+    heard = rows.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("n", F.struct("song_id", time, "client", "duration_played_ms").alias("l")))).alias("l"))
+    out = heard.select("part", F.transform("l", lambda x: x["l"]).alias("listens"))
+    songs = cut(rows.select("part", "song_id").distinct().join(parts["songs"], "song_id"))
+    links = F.transform("sources", lambda s: F.struct(s["source_type"].alias("source_type"), F.lit(None).cast("string").alias("raw_url"))).alias("sources")
+    entries = {"songs": songs.select("part", F.col("song_id").alias("id"), F.struct("name", links, "duration_ms", "artist_ids", "album_ids").alias("entry"))}
+    for kind in ("artist", "album"):
+        ids = songs.select("part", F.explode(f"{kind}_ids").alias("id")).distinct()
+        entries[f"{kind}s"] = ids.join(parts[f"{kind}s"].select("id", F.struct("name", blank.alias("sources")).alias("entry")), "id")
+    for name, df in entries.items():
+        held = df.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), "entry"))).alias(name))
+        out = out.join(held, "part", "left")
+    maps = [F.coalesce(c, F.create_map().cast(out.schema[c].dataType)).alias(c) for c in ("artists", "albums", "songs")]
+    return out.select(F.lit("earshot").alias("format"), F.lit(1).alias("version"), *maps, "listens")
+
+
+def write_documents(lib: Library, user_id: int, path: str, listens: int = LISTENS) -> None:
+    """The documents of an export as JSON, each in a file of its own."""
+    export_document(lib, user_id, listens).write.option("maxRecordsPerFile", 1).mode("overwrite").json(path)
 
 
 def search_documents(lib: Library, changed: DataFrame | None = None) -> DataFrame:

@@ -120,6 +120,10 @@ def test_export_round_trip(spark, lib, tmp_path):
     assert back.count() == want
     names = {r.name for r in lib.songs.collect()}
     assert {r.song for r in back.collect()} <= names
+    export.write_documents(lib, user, str(tmp_path / "many"), listens=7)
+    assert len(list((tmp_path / "many").glob("*.json"))) == -(-want // 7)
+    again = importers.read_export(spark, str(tmp_path / "many"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, back.collect()))
     export.write_export(lib, user, str(tmp_path / "parts"))
     assert spark.read.json(str(tmp_path / "parts" / "listens")).count() == want
 
