@@ -673,9 +673,9 @@ def _resolve(lib: Library) -> DataFrame:
     return found.select("input_id", "id", *(F.round(c, 9).alias(c) for c in ("score", "runner_up", "final")), "decision")
 
 
-@query("reconcile_songs", """SELECT 'song' AS entity_type, CASE WHEN other.pinned THEN d.id ELSE least(input_id, d.id) END AS winner_id, CASE WHEN other.pinned THEN input_id ELSE greatest(input_id, d.id) END AS loser_id, round(final, 9) AS score,
+@query("reconcile_songs", """SELECT entity_type, winner_id, loser_id, max(score) AS score, min(action) AS action FROM (SELECT 'song' AS entity_type, CASE WHEN other.pinned THEN d.id ELSE least(input_id, d.id) END AS winner_id, CASE WHEN other.pinned THEN input_id ELSE greatest(input_id, d.id) END AS loser_id, round(final, 9) AS score,
       CASE WHEN decision = 'accept' AND NOT EXISTS (SELECT 1 FROM sources x JOIN sources y USING (source_type) WHERE x.entity_id = input_id AND y.entity_id = d.id AND x.extracted_id <> y.extracted_id) THEN 'merge' ELSE 'suggest' END AS action
-      FROM decided d JOIN songs other ON other.id = d.id WHERE decision <> 'create'""",
+      FROM decided d JOIN songs other ON other.id = d.id WHERE decision <> 'create') GROUP BY ALL""",
       **_matching(11, "SELECT id AS input_id, name, artists, duration_ms FROM known WHERE NOT pinned",
                   ranked=_MATCHING["ranked"].replace("WHERE score IS NOT NULL", "WHERE score IS NOT NULL AND input_id <> id")))
 def _reconcile(lib: Library) -> DataFrame:
