@@ -132,3 +132,14 @@ def test_search_documents_follow_renames(lib):
     changed = lib.artists.where("id = 3").select(F.lit("artist").alias("kind"), "id")
     got = export.search_documents(lib, changed)
     assert got.where("kind = 'song'").count() == lib.song_artists.where("artist_id = 3").select("song_id").distinct().join(lib.songs.select(F.col("id").alias("song_id")), "song_id").count()
+
+
+def test_users_of_one_song_are_dealt_by_their_number(spark, monkeypatch):
+    """A song that all hear fans out in partitions of users, and all rows of a user are in one of them."""
+    monkeypatch.setattr(rollups, "_ROWS_DEALT", 100)
+    songs = spark.range(1000).select(F.col("id").alias("user_id"), F.lit(7).cast("long").alias("song_id"))
+    bridge = lambda c, n: spark.range(n).select(F.lit(7).cast("long").alias("song_id"), F.col("id").alias(c))
+    out = rollups.attributed(songs, bridge("album_id", 1), bridge("artist_id", 5)).withColumn("at", F.spark_partition_id())
+    sizes = [r["count"] for r in out.groupBy("at").count().collect()]
+    assert sum(sizes) == 7000 and len(sizes) > 8 and max(sizes) < 1500
+    assert out.select("user_id", "at").distinct().count() == 1000
