@@ -1,3 +1,4 @@
+import datetime as dt
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -102,3 +103,20 @@ def test_streaming_windows(spark, sf_dir, tmp_path):
     q = live.live_sessions(stream).writeStream.outputMode("append").format("memory").queryName("live_sessions").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("live_sessions").count() > 0
+
+
+def test_live_streaks_of_users_that_share_a_state(spark, tmp_path, monkeypatch):
+    """A batch makes no more groups than there are buckets; each user's streak goes on from its own last day."""
+    monkeypatch.setattr(live, "STREAK_BUCKETS", 2)
+    day = lambda n: dt.datetime(2024, 1, n, 12)
+    batches = [[(u, day(n)) for u in range(9) for n in (1, 2)], [(u, day(3 if u % 2 else 5)) for u in range(0, 9, 2)] + [(1, day(3)), (1, day(2)), (99, day(7))]]
+    schema = "user_id long, listened_at timestamp_ntz"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/part={i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sizes = []
+    q = live.live_streaks(stream).writeStream.outputMode("update").foreachBatch(lambda b, i: sizes.append(sorted(map(tuple, b.collect())))).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+    assert sizes[0] == [(u, dt.date(2024, 1, 2), 2, 2) for u in range(9)]
+    assert sizes[1] == sorted([(u, dt.date(2024, 1, 5), 1, 2) for u in range(0, 9, 2)] + [(1, dt.date(2024, 1, 3), 3, 3), (99, dt.date(2024, 1, 7), 1, 1)])
