@@ -3,8 +3,8 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from earshot import fixtures
-from earshot.operators import catalogue, history, merging, rollups, stats
+from earshot import fixtures, library
+from earshot.operators import catalogue, history, merging, numbering, rollups, stats
 from earshot.plans.timeframe import Timeframe
 from earshot.sources import export, importers
 
@@ -143,3 +143,13 @@ def test_users_of_one_song_are_dealt_by_their_number(spark, monkeypatch):
     sizes = [r["count"] for r in out.groupBy("at").count().collect()]
     assert sum(sizes) == 7000 and len(sizes) > 8 and max(sizes) < 1500
     assert out.select("user_id", "at").distinct().count() == 1000
+
+
+def test_only_songs_that_occur_are_opened(spark, lib):
+    """The lists of a bridge are made for songs with listens alone, and rows are dealt by what they open to."""
+    songs = spark.createDataFrame([(u, 7) for u in range(50)], "user_id long, song_id long")
+    bridge = lambda c: spark.range(100_000).select((F.col("id") % 10_000).alias("song_id"), F.col("id").alias(c))
+    out = rollups.attributed(songs, bridge("album_id"), bridge("artist_id"))
+    assert out.count() == 50 * 21
+    read = [f for f in out.inputFiles() if "table-" in f]
+    assert sum(spark.read.parquet(f).count() for f in read) == 50 + 1  # users of the song, and its one list
