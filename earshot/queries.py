@@ -12,6 +12,7 @@ from . import fixtures
 from .functions import links, text
 from .library import Library
 from .operators import catalogue, history, ingest, matching, merging, rollups, stats
+from .operators.numbering import cut
 from .plans.timeframe import Timeframe
 from .sources import export
 
@@ -158,11 +159,11 @@ def _fold_first(lib: Library) -> DataFrame:
     return _folded(lib)["first_listens"]
 
 
-def _stored(lib: Library, heard: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "daily": rollups.daily(heard), "clock": rollups.clock(heard), "first_listens": rollups.first_listens(heard, lib.song_albums, lib.song_artists),
-        "global_stats": rollups.global_stats(heard, lib.song_albums, lib.song_artists),
-    }
+def _stored(lib: Library, heard: DataFrame) -> rollups.Lazily:
+    return rollups.Lazily(
+        daily=lambda: rollups.daily(heard), clock=lambda: rollups.clock(heard), first_listens=lambda: cut(rollups.first_listens(heard, lib.song_albums, lib.song_artists)),
+        global_stats=lambda: rollups.global_stats(heard, lib.song_albums, lib.song_artists),
+    )
 
 
 def _folded(lib: Library) -> dict[str, DataFrame]:

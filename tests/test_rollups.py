@@ -145,6 +145,16 @@ def test_users_of_one_song_are_dealt_by_their_number(spark, monkeypatch):
     assert out.select("user_id", "at").distinct().count() == 1000
 
 
+def test_changes_are_dealt_by_the_number_of_rows(spark, lib, monkeypatch):
+    """First listens after a change come from tasks of bounded size, whatever the session's number of partitions."""
+    new = lib.eligible.where("id % 4 = 0")
+    firsts = {"first_listens": numbering.cut(lib.first_listens)}
+    monkeypatch.setattr(rollups, "_ROWS_DEALT", 100)
+    for out in (rollups.fold(firsts, new, lib.song_albums, lib.song_artists),):
+        sizes = [r["count"] for r in out["first_listens"].groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) > 500 and len(sizes) > 4 and max(sizes) < 300
+
+
 def test_only_songs_that_occur_are_opened(spark, lib):
     """The lists of a bridge are made for songs with listens alone, and rows are dealt by what they open to."""
     songs = spark.createDataFrame([(u, 7) for u in range(50)], "user_id long, song_id long")
