@@ -145,12 +145,45 @@ def test_users_of_one_song_are_dealt_by_their_number(spark, monkeypatch):
     assert out.select("user_id", "at").distinct().count() == 1000
 
 
+def test_a_wanted_rollup_plans_no_other(lib, monkeypatch):
+    """Days and hours are folded and taken back without writing what first listens and totals need."""
+
+    def never(df):
+        raise AssertionError("a table was written")
+
+    want, new = {n: getattr(lib, n) for n in ("daily", "clock")}, lib.eligible.where("id % 4 = 0")
+    monkeypatch.setattr(rollups, "cut", never)
+    for name in want:
+        for change in (rollups.fold(want, new, lib.song_albums, lib.song_artists), rollups.unrecord(want, new, lib.eligible, lib.song_albums, lib.song_artists)):
+            assert change[name].count() > 0
+
+
+def small_change(spark):
+    """Stored rollups of three users, one entity each of a song, an album and an artist, and listens of which some go."""
+    schema = "id long, user_id long, song_id long, listened_at timestamp_ntz, client string, played_ms long"
+    at = lambda n: None if n is None else T0 + timedelta(hours=n)
+    rows = [(1, 1, 7, 0), (2, 1, 7, 5), (3, 2, 7, 0), (4, 2, 8, 3), (5, 3, 8, 1), (6, 3, 8, None), (7, 3, 7, 9)]
+    heard = spark.createDataFrame([(i, u, s, at(n), "c", 10) for i, u, s, n in rows], schema)
+    bridge = lambda c: spark.createDataFrame([(7, 1), (8, 1), (8, 2)], f"song_id long, {c} long")
+    return heard, bridge("album_id"), bridge("artist_id")
+
+
+@pytest.mark.parametrize("gone", [[1, 3], [4, 5], [1, 2, 3, 4, 5, 6, 7]])
+def test_first_times_that_go_are_sought_again(spark, gone):
+    heard, *bridges = small_change(spark)
+    want = {"first_listens": rollups.first_listens(heard, *bridges), "global_stats": rollups.global_stats(heard, *bridges)}
+    left = heard.where(~F.col("id").isin(gone))
+    back = rollups.unrecord(want, heard.where(F.col("id").isin(gone)), left, *bridges)
+    assert key(back["first_listens"]) == key(rollups.first_listens(left, *bridges))
+    assert key(back["global_stats"]) == key(rollups.global_stats(left, *bridges))
+
+
 def test_changes_are_dealt_by_the_number_of_rows(spark, lib, monkeypatch):
     """First listens after a change come from tasks of bounded size, whatever the session's number of partitions."""
     new = lib.eligible.where("id % 4 = 0")
     firsts = {"first_listens": numbering.cut(lib.first_listens)}
     monkeypatch.setattr(rollups, "_ROWS_DEALT", 100)
-    for out in (rollups.fold(firsts, new, lib.song_albums, lib.song_artists),):
+    for out in (rollups.fold(firsts, new, lib.song_albums, lib.song_artists), rollups.unrecord(firsts, new, lib.eligible.where("id % 4 > 0"), lib.song_albums, lib.song_artists)):
         sizes = [r["count"] for r in out["first_listens"].groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) > 500 and len(sizes) > 4 and max(sizes) < 300
 
