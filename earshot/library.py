@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import rollups
+from .operators.numbering import cut
 
 #: Rollups that are stored by month of their day.
 DAYS = ("daily", "clock")
+#: Rows of a stored rollup that one task sorts and writes.
+_ROWS_SORTED = 524_288
 _MANIFEST = "name string, folder string, written timestamp"
 
 
@@ -33,13 +36,15 @@ def content_digest(*tables: DataFrame) -> str:
 
 
 def write_rollup(df: DataFrame, name: str, path: str) -> None:
-    """A rollup in its stored form, in a folder of its own."""
+    """A rollup in its stored form, in a folder of its own; it is worked out once, and sorted in ranges of bounded size."""
+    df = cut(df)
+    ranges = df.count() // _ROWS_SORTED + 1
     if name in DAYS:
         df = df.withColumn("month", F.date_format("day", "yyyy-MM"))
-        df.repartitionByRange("month", "user_id").sortWithinPartitions("month", "user_id").write.partitionBy("month").parquet(path)
+        df.repartitionByRange(ranges, "month", "user_id").sortWithinPartitions("month", "user_id").write.partitionBy("month").parquet(path)
     else:
         first = [c for c in ("user_id", "entity_type", "entity_id") if c in df.columns]
-        df.repartitionByRange(*first).sortWithinPartitions(*first).write.parquet(path)
+        df.repartitionByRange(ranges, *first).sortWithinPartitions(*first).write.parquet(path)
 
 
 def _listed(spark: SparkSession, store: str, name: str) -> str | None:

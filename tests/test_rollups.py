@@ -196,3 +196,15 @@ def test_only_songs_that_occur_are_opened(spark, lib):
     assert out.count() == 50 * 21
     read = [f for f in out.inputFiles() if "table-" in f]
     assert sum(spark.read.parquet(f).count() for f in read) == 50 + 1  # users of the song, and its one list
+
+
+def test_stored_rollups_are_sorted_in_ranges_of_bounded_size(spark, lib, tmp_path, monkeypatch):
+    monkeypatch.setattr(library, "_ROWS_SORTED", 100)
+    firsts = lib.first_listens
+    library.write_rollup(firsts, "first_listens", str(tmp_path / "f"))
+    back = spark.read.parquet(str(tmp_path / "f"))
+    assert key(back) == key(firsts)
+    sizes = [r["count"] for r in back.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 300
+    library.write_rollup(lib.daily, "daily", str(tmp_path / "d"))
+    assert key(spark.read.parquet(str(tmp_path / "d")).drop("month").select(*lib.daily.columns)) == key(lib.daily)
