@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..library import Library
 from ..operators.numbering import cut
 from ..operators.runs import Runs
-from .export import search_documents
 
 #: Longest pieces of a name; shorter words of a query are asked by themselves.
 PIECE = 3
@@ -23,13 +22,20 @@ def pieces(texts: Column) -> Column:
 def documents(lib: Library, changed: DataFrame | None = None) -> DataFrame:
     """(kind, id, name, texts) of artists, albums, songs and users: the name, and the aliases of entities.
 
-    With ``changed`` (kind, id), these alone and what shows their names (see export.search_documents).
+    With ``changed`` (kind, id), these alone: a document says its own name and aliases, so that no other one changes with it.
     """
-    entities = search_documents(lib, changed).select("kind", "id", "name", F.concat(F.array("name"), "aliases").alias("texts"))
-    users = lib.users.select(F.lit("user").alias("kind"), "id", F.col("username").alias("name"), F.array("username").alias("texts"))
+    tables = (("artist", lib.artists, "name"), ("album", lib.albums, "name"), ("song", lib.songs, "name"), ("user", lib.users, "username"))
+    docs = None
+    for kind, table, name in tables:
+        part = table.select(F.lit(kind).alias("kind"), "id", F.col(name).alias("name"))
+        docs = part if docs is None else docs.unionByName(part)
     if changed is not None:
-        users = users.join(changed.select("kind", "id"), ["kind", "id"], "left_semi")
-    return entities.unionByName(users)
+        docs = docs.join(changed.select("kind", "id").distinct(), ["kind", "id"], "left_semi")
+    if lib.aliases is None:
+        return docs.withColumn("texts", F.array("name"))
+    alias = lib.aliases.where("entity_type <> 'user'").groupBy(F.col("entity_type").alias("kind"), F.col("entity_id").alias("id")).agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    empty = F.array().cast("array<string>")
+    return docs.join(alias, ["kind", "id"], "left").select("kind", "id", "name", F.concat(F.array("name"), F.coalesce("aliases", empty)).alias("texts"))
 
 
 class SearchIndex(Runs):
@@ -61,7 +67,7 @@ class SearchIndex(Runs):
         tables = super().merged(runs)
         latest = tables["documents"].select("kind", "id", F.col("asof").alias("_latest"))
         held = tables["postings"].join(latest, ["kind", "id"], "left").where("_latest IS NULL OR _latest = asof")
-        return tables | {"postings": held.drop("_latest")}
+        return tables | {"postings": cut(held.drop("_latest"))}  # dealt by range, for which a plan is worked out twice
 
     def change(self, batch_id: int, put: DataFrame | None = None, gone: DataFrame | None = None) -> None:
         """Write documents (kind, id, name, texts), new or changed, and take out others (kind, id). A batch that the index has does nothing."""
@@ -75,7 +81,7 @@ class SearchIndex(Runs):
             docs = docs.unionByName(gone.select("kind", "id", F.lit(None).cast("string").alias("name"), F.array().cast("array<string>").alias("texts"), stamp, F.lit(True).alias("gone"), self._bucket("kind", "id").alias("bucket")))
         docs = cut(docs)
         posted = docs.where("NOT gone").select(F.explode(pieces(F.col("texts"))).alias("piece"), "kind", "id", "asof")
-        self.add(batch_id, {"documents": docs, "postings": posted.withColumn("bucket", self._bucket("piece"))})
+        self.add(batch_id, {"documents": docs, "postings": cut(posted.withColumn("bucket", self._bucket("piece")))})
 
     def asked(self, words: list[str], runs: list | None = None) -> DataFrame:
         """(kind, id, n, word): documents that hold all pieces of a word, so perhaps the word; reads the buckets of the pieces alone."""
